@@ -5,18 +5,94 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import sha256_hex, table
+from .decontaminate import benchmark_matches, is_contaminated
+from .linededup import drop_repeated_lines
 from .neardup import near_duplicates
+from .sentencepieces import encode_and_decode, load_model
+
+
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct("matches.item_id"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+        sha256_hex(F.array_join(items, ",")).alias("items_sha256"), is_contaminated().alias("contaminated"),
+    )
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_and_decode(table(spark, sf_dir, "documents"), load_model(piece_model_path()))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP1 = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split),
+keys AS (SELECT *, translate(trim(line, {WHITE_SQL}), {ABC}) AS key FROM lines),
+common AS (SELECT key, max(doc_id) AS last_doc FROM keys WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT k.doc_id, k.line, k.pos, c.key IS NOT NULL AS dropped FROM keys k LEFT JOIN common c ON k.key = c.key AND k.doc_id < c.last_doc)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+WORDS4 = f"regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, {WORDS4} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {WORDS4} AS w FROM benchmark),
+sizes AS (SELECT item_id, w, least(13, len(w)) AS size FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sizes)),
+dw AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM sizes) WHERE len(w) >= size)),
+hits AS (SELECT doc_id, item_id, i, size FROM dw JOIN bw USING (size, words)),
+per_doc AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hits GROUP BY doc_id),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN per_doc USING (doc_id) LEFT JOIN hit_words USING (doc_id)
+"""
+
+WORDS3 = f"regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[^\\x20\\x09-\\x0D]+')"
+
+OP3 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS3} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN low USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1, "op3_minhash_near_dedup": OP3, "op4_benchmark_decontamination": OP4}
