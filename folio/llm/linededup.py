@@ -73,8 +73,9 @@ class LineRuns:
         return batch.join(common, same, "left_anti")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, n_lines, n_dropped, text), a row for each row of docs.
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, carry: list[str] | None = None) -> DataFrame:
+    """documents(doc_id, text) -> (doc_id, n_lines, n_dropped, text), a row for each row of docs, with the columns of
+    docs named in carry.
 
     A text is split at newlines; null and empty texts have one empty line. A line's key is the line without ASCII white
     space at its ends, with A-Z lower-cased. Keys of min_chars code points or more that at least min_docs documents
@@ -84,9 +85,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
 
     The lines' hashes go through LineRuns in `batches` batches of documents, as crawls would arrive.
     """
-    docs = read_rows_only(docs, doc_id="doc_id", text="text")
+    carried = {f"carried_{i}": c for i, c in enumerate(carry or [])}
+    docs = read_rows_only(docs, doc_id="doc_id", text="text", **carried)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    lines = save(hashed_lines(docs, min_chars).withColumn("batch", batch), "lines", partition_by="batch")
+    lines = save(hashed_lines(docs.select("doc_id", "text"), min_chars).withColumn("batch", batch), "lines", partition_by="batch")
     runs = LineRuns()
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i))
@@ -100,4 +102,5 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
         F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n").alias("text"),
+        *[F.col(own).alias(c) for own, c in carried.items()],
     )
