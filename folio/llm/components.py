@@ -10,9 +10,8 @@ from .common import forget, save
 
 def _are_stars(edges: DataFrame) -> bool:
     """Every u has one v, and no v is a u."""
-    branching = edges.groupBy("u").count().where("count > 1").select("u")
-    chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
-    return branching.union(chained).isEmpty()
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 or ups > 0 and low = 0").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,13 +24,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = save(
         links.where("a is not null and b is not null and a != b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")),
         "edges",
     )
     while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = save(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
