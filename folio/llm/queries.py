@@ -12,6 +12,7 @@ from .decontaminate import benchmark_matches, is_contaminated
 from .langid import held_out, identify, profiles
 from .linededup import drop_repeated_lines
 from .neardup import near_duplicates
+from .quality import quality_rules
 from .sentencepieces import encode_and_decode, load_model
 from .toxicity import toxicity
 from .urlfilter import filter_urls
@@ -52,6 +53,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, known).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -36,8 +36,9 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 20)) * STEP)
 
 
-#: A random number for each byte; A-Z have those of a-z.
-BYTE_CODES = constants(256, 1)
+#: A random number for each byte; in BYTE_CODES A-Z have those of a-z.
+RAW_CODES = constants(256, 1)
+BYTE_CODES = RAW_CODES.copy()
 BYTE_CODES[0x41:0x5B] = BYTE_CODES[0x61:0x7B]
 BASE = int(constants(1, 2)[0]) | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -66,13 +67,17 @@ class Slice:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def word_hashes(self) -> np.ndarray:
-        """A hash of each word with A-Z lower-cased, from differences of one running polynomial sum."""
+    def word_hashes(self, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
+        """A hash of each word, with A-Z lower-cased unless codes are RAW_CODES."""
+        return self.span_hashes(self.starts, self.ends, codes)
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """A hash of the bytes of each span, from differences of one running polynomial sum."""
         room = 1 << max(21, int(len(self.data)).bit_length())
         total = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(BYTE_CODES[self.data] * powers(BASE, room)[: len(self.data)], out=total[1:])
-        value = (total[self.ends] - total[self.starts]) * powers(BASE_INVERSE, room)[self.starts]
-        return mix(value + (self.ends - self.starts).astype(U64) * STEP)
+        np.cumsum(codes[self.data] * powers(BASE, room)[: len(self.data)], out=total[1:])
+        value = (total[ends] - total[starts]) * powers(BASE_INVERSE, room)[np.minimum(starts, room - 1)]
+        return mix(value + (ends - starts).astype(U64) * STEP)
 
 
 def slices(column: pa.Array, is_word: np.ndarray = NOT_SPACE, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
