@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sha256_hex, table
@@ -14,8 +14,10 @@ from .linededup import drop_repeated_lines
 from .neardup import near_duplicates
 from .quality import quality_rules
 from .sentencepieces import encode_and_decode, load_model
+from .substrings import repeated_passages
 from .toxicity import toxicity
 from .urlfilter import filter_urls
+from .warc import resolve_revisits
 
 
 def piece_model_path() -> str:
@@ -29,6 +31,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,31 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) as archive records: page p is captured in full at hour 8p, and asked for again 3 hours
+    and 90 days later; every fourth page has another entity tag by then, every fifth no entity tag at all."""
+    def headers(name: str, *more: tuple[str, Column]) -> Column:
+        pairs = [("date", F.date_format(name, "yyyy-MM-dd HH:mm:ss")), *more]
+        return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v for _, v in pairs]))
+
+    at = F.timestamp_seconds(F.col("page_id") * 8 * 3600)
+    pages = pages.select("page_id", "url", at.alias("ts"), F.substring(F.sha2("html", 256), 1, 16).alias("tag"))
+    full = headers("ts", ("content-type", F.lit("text/html")), ("etag", F.col("tag")))
+    first = pages.select((F.col("page_id") * 3).alias("record_id"), "url", "ts", F.lit("response").alias("kind"), full.alias("headers"))
+    again = pages.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    later = (F.col("ts").cast("long") + F.when(F.col("n") == 1, 3 * 3600).otherwise(90 * 86400)).cast("timestamp")
+    again = again.withColumn("ts", later)
+    changed = F.when((F.col("n") == 2) & (F.col("page_id") % 4 == 0), F.lit("changed")).otherwise(F.concat(F.lit("W/"), F.col("tag")))
+    fresh = F.when(F.col("page_id") % 5 == 0, headers("ts")).otherwise(headers("ts", ("etag", changed), ("content-type", F.lit("none"))))
+    return first.union(again.select(F.col("page_id") * 3 + F.col("n"), "url", "ts", F.lit("revisit"), fresh))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    header = lambda name: F.try_element_at("headers", F.lit(name))
+    return out.select("record_id", "canonical", "response_id", "outcome", header("date").alias("date"), header("etag").alias("etag"), header("content-type").alias("content_type"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -116,6 +147,22 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 """
 
 
+OP8 = """
+WITH p AS (SELECT page_id, url, to_timestamp(page_id * 8 * 3600) AT TIME ZONE 'UTC' AS ts, substr(sha256(html), 1, 16) AS tag FROM pages),
+rest AS (SELECT *, CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '^[^:/?#]*://([^#]*)', 1) END AS r FROM p),
+cut AS (SELECT *, lower(regexp_replace(regexp_extract(r, '^([^/?]*)', 1), '^.*@|:(80|443)?$', '')) AS h, regexp_extract(r, '^[^/?]*([^?]*)', 1) AS pa,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(r, '\\?(.*)$', 1), '&'), lambda x: x <> '')), '&') AS q FROM rest),
+c AS (SELECT page_id, ts, tag, CASE WHEN r IS NOT NULL THEN h || CASE WHEN pa = '' THEN '/' ELSE pa END || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical FROM cut),
+resp AS (SELECT page_id * 3 AS record_id, canonical, ts, tag FROM c),
+rev AS (SELECT page_id * 3 + n AS record_id, canonical, ts + CASE WHEN n = 1 THEN INTERVAL 3 HOUR ELSE INTERVAL 90 DAY END AS ts,
+  CASE WHEN page_id % 5 = 0 THEN NULL WHEN n = 2 AND page_id % 4 = 0 THEN 'changed' ELSE tag END AS tag, n FROM c, (VALUES (1), (2)) v(n)),
+best AS (SELECT v.record_id, v.canonical, v.ts, v.tag, max(struct_pack(ts := r.ts, id := r.record_id, tag := r.tag)) AS b
+  FROM rev v LEFT JOIN resp r ON r.canonical = v.canonical AND (r.ts < v.ts OR r.ts = v.ts AND r.record_id < v.record_id) GROUP BY ALL),
+judged AS (SELECT record_id, canonical, b.id AS response_id, ts, tag, CASE WHEN b.id IS NULL THEN 'no response' WHEN tag IS NULL THEN 'unchecked' WHEN tag = b.tag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM best)
+SELECT record_id, canonical, response_id, outcome, CASE WHEN outcome = 'resolved' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,
+  CASE WHEN outcome = 'resolved' THEN 'W/' || tag END AS etag, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type FROM judged
+"""
+
 OP10 = """
 WITH r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) v(verdict, h, p)),
 cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -127,4 +174,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op3_minhash_near_dedup": OP3, "op4_benchmark_decontamination": OP4, "op10_url_filters": OP10}
+    return {"op1_line_dedup": OP1, "op3_minhash_near_dedup": OP3, "op4_benchmark_decontamination": OP4, "op8_warc_revisits": OP8, "op10_url_filters": OP10}
