@@ -1,7 +1,7 @@
 """Substring deduplication by paragraph MinHash banding (operator 2).
 
-Texts are cut into small paragraphs: at newlines and behind sentence ends, so a passage that was pasted into other text
-has the same paragraphs everywhere but perhaps at its edges. Paragraphs of equal shingle sets are one class. Classes that
+Texts are cut into small paragraphs: at newlines and behind sentence ends, and where these lie close or far apart by the
+hashes of the words. So a passage that was pasted into other text has the same paragraphs everywhere but at its edges. Paragraphs of equal shingle sets are one class. Classes that
 collide in a band are compared with the smallest of their bucket, the exact Jaccard similarity is verified, confirmed
 links make components, and neighbouring paragraphs whose component spans several documents make the passages.
 """
@@ -24,7 +24,7 @@ from .words import BYTE_CODES, NOT_SPACE, U64, Slice, constants, mix, slices
 #: 0.9 with one of 0.005 %. Equal paragraphs are never missed.
 BANDS, ROWS = 6, 2
 MULTIPLY, ADD = constants(BANDS * ROWS, 21) | U64(1), constants(BANDS * ROWS, 22)
-SIZE = 5
+SIZE, LONG = 5, 32
 END = np.zeros(256, bool)
 END[list(b".!?")] = True
 
@@ -39,6 +39,16 @@ def paragraphs(part: Slice, min_words: int) -> tuple[np.ndarray, np.ndarray, np.
     cut[1:n] = END[part.data[part.ends[:-1] - 1]] | (newlines[part.starts[1:]] > newlines[part.ends[:-1]])
     cut[part.first] = True
     cut[0] = cut[n] = True
+    # Sentences that are too short or very long are joined or cut where the words themselves say so, which is again the
+    # same wherever the passage stands.
+    hashes, edges = part.word_hashes(BYTE_CODES), np.flatnonzero(cut)
+    sizes = np.diff(edges)
+    inner = edges[1:-1]
+    joined = (sizes[:-1] < min_words) & (sizes[1:] < min_words) & (hashes[inner - 1] % U64(4) != 0)
+    cut[inner[joined]] = False
+    in_long = np.repeat(sizes > LONG, sizes)
+    cut[:n] |= in_long & (hashes % U64(16) == 0)
+    cut[part.first] = True
     edges = np.flatnonzero(cut)
     a, b = edges[:-1], edges[1:]
     long_ = b - a >= max(min_words, SIZE)
