@@ -68,7 +68,7 @@ class LineRuns:
     def merge_anti_join(self, batch: DataFrame, min_docs: int) -> DataFrame:
         """The rows of batch that stay: those whose key fewer than min_docs documents of the runs hold, and those of the
         largest document that holds it. Both sides meet in hash order; a hot key's rows are split among tasks."""
-        common = self._merged(self.runs()).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+        common = save(self._merged(self.runs()).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "common")
         same = (batch.h1 == common.h1) & (batch.h2 == common.h2) & (batch.doc_id < common.last_doc)
         return batch.join(common, same, "left_anti")
 
