@@ -1,4 +1,4 @@
-"""Toxicity by cumulative-link ordinal regression over sparse word features (operator 9).
+"""Toxicity by cumulative-link ordinal regression over sparse features: words and their stems (operator 9).
 
 P(grade > k | x) = sigmoid(w . x - theta_k): one weight for each word, shared by all ordered thresholds.
 """
@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_rows_only
-from .words import ALNUM, slices
+from .words import ALNUM, BYTE_CODES, U64, Slice, slices
 
 GRADES = ("clean", "toxic", "severe")
+STEMS = (4, 5, 6)
+#: The least z-score of a feature: far enough out that none of a million features gets there by chance.
+TELLING = 9
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -66,11 +69,24 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return params[:n_columns], np.concatenate([cuts[:1], cuts[0] + np.cumsum(np.exp(cuts[1:]))])
 
 
+def features(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each word and, of longer words, of their first 4, 5 and 6 bytes: in languages that build words
+    from stems, a stem tells more than its many words."""
+    hashes, places = [part.word_hashes()], [np.arange(len(part.starts))]
+    for size in STEMS:
+        longer = np.flatnonzero(part.ends - part.starts > size)
+        hashes.append(part.span_hashes(part.starts[longer], part.starts[longer] + size, BYTE_CODES) ^ U64(size))
+        places.append(longer)
+    return np.concatenate(hashes).view(np.int64), np.searchsorted(part.first, np.concatenate(places), "right") - 1
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch["text"], ALNUM):
-            hashes = part.word_hashes().view(np.int64)
-            found = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(part.first[:-1], part.first[1:], strict=True)]
+            hashes, text = features(part)
+            hashes = hashes[np.argsort(text, kind="stable")]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.n))])
+            found = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             own = batch.slice(part.lo, part.n)
             yield pa.RecordBatch.from_arrays(
                 [own["toxic"], pa.array(np.diff(part.first)), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))],
@@ -86,7 +102,7 @@ def _fitted(sample: pd.DataFrame, max_words: int) -> pd.DataFrame:
     in_toxic, in_all = np.bincount(columns, toxic[rows], len(words)), np.bincount(columns, minlength=len(words))
     share = toxic.mean() if len(toxic) else 0.0
     score = (in_toxic - share * in_all) / np.sqrt(np.maximum(share * (1 - share) * in_all, 1e-9))
-    chosen = np.flatnonzero((np.abs(score) > 4) & (in_all >= 4))
+    chosen = np.flatnonzero(np.abs(score) > TELLING)
     chosen = np.sort(chosen[np.argsort(-np.abs(score[chosen]), kind="stable")][:max_words])
     place = np.full(len(words), -1)
     place[chosen] = np.arange(len(chosen))
@@ -107,7 +123,7 @@ def _fitted(sample: pd.DataFrame, max_words: int) -> pd.DataFrame:
     })
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, max_words: int = 3000) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, max_words: int = 3000) -> OrdinalModel:
     """A model of documents(doc_id, text) with labels(doc_id, toxic 0 or 1).
 
     It is fitted on a bounded sample: of the toxic and of the other labelled rows, the rows_per_class with the smallest
@@ -130,12 +146,11 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, max_wo
 def _scored(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch["text"], ALNUM):
-            hashes = part.word_hashes().view(np.int64)
+            hashes, text = features(part)
             at = np.searchsorted(model.words, hashes)
             at[at == len(model.words)] = 0
             hit = np.flatnonzero(model.words[at] == hashes) if len(model.words) else np.zeros(0, np.int64)
-            text = np.searchsorted(part.first, hit, "right") - 1
-            pairs, counts = np.unique(text * len(model.words) + at[hit], return_counts=True)
+            pairs, counts = np.unique(text[hit] * len(model.words) + at[hit], return_counts=True)
             text, word = np.divmod(pairs, max(1, len(model.words)))
             values = feature_values(counts, np.diff(part.first)[text]) * model.weights[word]
             above = model.probabilities(np.bincount(text, values, part.n))
@@ -146,16 +161,17 @@ def _scored(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[
             )
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, max_words: int = 3000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, max_words: int = 3000, least: float = 0.15) -> DataFrame:
     """documents(doc_id, text), labels(doc_id, toxic) -> (doc_id, severity, p_toxic, grade, toxic, kept), a row for each
     row of docs.
 
     severity is the expected grade, from 0 (clean) to 2 (severe); grade the largest k with P(grade >= k) of a half or
-    more; toxic says that it is 1 or more, and kept the opposite. Null and empty texts have no features and are clean;
+    more; p_toxic is P(grade >= 1), toxic says that it is at least `least`, and kept the opposite. Few features are used,
+    each one sure, so texts without any stay far below and a low bar finds those with a single one. Null and empty texts have no features and are clean;
     repeated rows are scored alike; a row without doc_id is scored too; labels without a document or with other values
     are left out; an empty table gives no rows. Whole texts are scored, in their own tasks, without a shuffle.
     """
     model = train(docs, labels, rows_per_class, max_words)
     docs = read_rows_only(docs, doc_id="doc_id", text="text")
     out = docs.mapInArrow(lambda batches: _scored(batches, model), "doc_id long, severity double, p_toxic double, grade int")
-    return out.withColumn("toxic", F.col("grade") >= 1).withColumn("kept", F.col("grade") < 1)
+    return out.withColumn("toxic", F.col("p_toxic") >= least).withColumn("kept", F.col("p_toxic") < least)
