@@ -71,8 +71,25 @@ def _flat(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(sizes.sum())) - np.repeat(heads - a, sizes), heads
 
 
-def _units(batches: Iterator[pa.RecordBatch], min_words: int, kind: str) -> Iterator[pa.RecordBatch]:
-    """kind `place`: (unit, doc_id, start_word, n_words); `band`: (unit, k) for each band; `set`: (unit, shingles)."""
+def _among(values: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Which of values are in the sorted array known; all, if there is none."""
+    if known is None:
+        return np.ones(len(values), bool)
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _sorted_values(rows: DataFrame, column: str, most: int) -> np.ndarray | None:
+    """The column as a sorted array of at most `most` longs; None if there are more: then a join has to do it."""
+    if rows.count() > most:
+        return None
+    return np.sort(rows.select(column).toArrow().column(0).to_numpy())
+
+
+def _units(batches: Iterator[pa.RecordBatch], min_words: int, kind: str, known: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """kind `place`: (unit, doc_id, start_word, n_words); `band`: (unit, k) for each band; `set`: (unit, shingles). With
+    known, bands of those keys or sets of those units only."""
     for batch in batches:
         for part in slices(batch["text"], NOT_SPACE):
             text, a, b = paragraphs(part, min_words)
@@ -97,12 +114,15 @@ def _units(batches: Iterator[pa.RecordBatch], min_words: int, kind: str) -> Iter
                 for band in range(BANDS):
                     lowest = [np.minimum.reduceat(shingles * MULTIPLY[i] + ADD[i], heads) for i in range(band * ROWS, band * ROWS + ROWS)]
                     keys.append(mix(lowest[0] + mix(lowest[1] + U64(band))))
-                units = pa.array(np.tile(unit.to_numpy(), BANDS))
-                yield pa.RecordBatch.from_arrays([units, pa.array(np.concatenate(keys).view(np.int64))], ["unit", "k"])
+                k = np.concatenate(keys).view(np.int64)
+                wanted = _among(k, known)
+                units = np.tile(unit.to_numpy(), BANDS)[wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(k[wanted])], ["unit", "k"])
             else:
                 ends = pa.array(np.append(heads, len(owner)).astype(np.int32) * 8)
                 sets = pa.Array.from_buffers(pa.binary(), len(a), [None, ends.buffers()[1], pa.py_buffer(shingles.tobytes())])
-                yield pa.RecordBatch.from_arrays([unit, sets], ["unit", "shingles"])
+                wanted = pa.array(_among(unit.to_numpy(), known))
+                yield pa.RecordBatch.from_arrays([unit.filter(wanted), sets.filter(wanted)], ["unit", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -165,7 +185,7 @@ def across_components(members: DataFrame, sets: DataFrame, joined: DataFrame, pe
     return save(dealt.mapInArrow(lambda batches: _across(batches, percent), "a long, b long"), "links")
 
 
-def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, min_passage: int = 24, max_gap: int = 12) -> DataFrame:
+def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, min_passage: int = 24, max_gap: int = 12, most_sent: int = 4_000_000) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, start_word, n_words, n_paragraphs, first_doc, removed), a row for each passage.
 
     A passage is a run of paragraphs that other documents have too, with at most max_gap words between, of at least
@@ -174,19 +194,28 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, mi
     doc_id among the documents that share a paragraph of it; removed says that this document is another one, so that
     one copy stays. Null and empty texts, rows without doc_id and empty tables have no passages; rows that repeat a
     doc_id count as one document.
+
+    most_sent: colliding band keys, and the classes that they need, are sent to the tasks as sorted arrays when they are no
+    more than that; more are met by a join instead, with the same result.
     """
     docs = read_rows_only(docs, doc_id="doc_id", text="text").where("doc_id is not null")
 
-    def units(kind: str, schema: str) -> DataFrame:
-        return docs.mapInArrow(lambda batches: _units(batches, min_words, kind), schema)
+    def units(kind: str, schema: str, known: np.ndarray | None = None) -> DataFrame:
+        if known is None:
+            return docs.mapInArrow(lambda batches: _units(batches, min_words, kind), schema)
+        sent = docs.sparkSession.sparkContext.broadcast(known)
+        return docs.mapInArrow(lambda batches: _units(batches, min_words, kind, sent.value), schema)
 
     places = save(units("place", "unit long, doc_id long, start_word long, n_words long"), "paragraphs")
     bands = units("band", "unit long, k long")
     buckets = bands.groupBy("k").agg(F.min("unit").alias("hub"), F.max("unit").alias("other")).where("hub != other").drop("other")
+    buckets = save(buckets, "collisions")
+    bands = units("band", "unit long, k long", _sorted_values(buckets, "k", most_sent))
     members = save(bands.join(buckets, "k").distinct(), "buckets")
-    needed = members.select("unit").distinct()
+    needed = save(members.select("unit").distinct(), "needed")
     pairs = members.where("unit != hub").select("hub", "unit").distinct()
-    sets = save(units("set", "unit long, shingles binary").join(needed, "unit", "left_semi").groupBy("unit").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = units("set", "unit long, shingles binary", _sorted_values(needed, "unit", most_sent)).join(needed, "unit", "left_semi")
+    sets = save(sets.groupBy("unit").agg(F.first("shingles").alias("shingles")), "sets")
     set_a, set_b = sets.select(F.col("unit").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("unit").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.select(F.col("hub").alias("a"), F.col("unit").alias("b")).join(set_b, "b").join(set_a, "a")
     links = save(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda batches: _similar(batches, percent), "a long, b long"), "links")
