@@ -147,7 +147,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, b
     tables give no rows or no matches.
 
     The benchmark goes to the tasks in blocks of about block_chars characters (it is counted first). A benchmark of one
-    block needs no shuffle; for more, the documents are searched once a block and the blocks' matches are put together.
+    block needs no shuffle; for more, the documents are searched once a block and the blocks' matches are put together by
+    doc_id, so that rows which repeat a doc_id then give one row.
     """
     docs = read_rows_only(docs, doc_id="doc_id", text="text")
     items = read_rows_only(benchmark, item_id="item_id", text="text").where("item_id is not null and text is not null")
