@@ -101,7 +101,9 @@ def _renumbered(answers: pd.Series, maps: pd.Series) -> pd.Series:
             kept = list(dict.fromkeys(new[x] for x in old if new[x] is not None))
             return f"[{', '.join(map(str, kept))}]" if kept else ""
         return None if answer is None else re.sub(r"[ \t]+([.,;])", r"\1", re.sub(r"\[(\d+(?:\s*,\s*\d+)*)\]", group, answer))
-    return pd.Series([one(a, dict(m) if m is not None else {}) for a, m in zip(answers, maps, strict=True)])
+    # A map with nulls arrives with floats.
+    clean = [{int(k): None if v is None or v != v else int(v) for k, v in dict(m).items()} if m is not None else {} for m in maps]
+    return pd.Series([one(a, m) for a, m in zip(answers, clean, strict=True)])
 
 
 def renumber(answer: Column, new: Column) -> Column:
