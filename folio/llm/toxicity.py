@@ -102,7 +102,9 @@ def _fitted(sample: pd.DataFrame, max_words: int) -> pd.DataFrame:
     in_toxic, in_all = np.bincount(columns, toxic[rows], len(words)), np.bincount(columns, minlength=len(words))
     share = toxic.mean() if len(toxic) else 0.0
     score = (in_toxic - share * in_all) / np.sqrt(np.maximum(share * (1 - share) * in_all, 1e-9))
-    chosen = np.flatnonzero(np.abs(score) > TELLING)
+    # A small sample can't have such scores: half of what a word in all its toxic rows would have is enough there.
+    most = np.sqrt(toxic.sum() * (1 - share) / max(share, 1e-9))
+    chosen = np.flatnonzero(np.abs(score) > min(TELLING, most / 2))
     chosen = np.sort(chosen[np.argsort(-np.abs(score[chosen]), kind="stable")][:max_words])
     place = np.full(len(words), -1)
     place[chosen] = np.arange(len(chosen))
