@@ -3,11 +3,16 @@
 Texts are cut into small paragraphs: at newlines and behind sentence ends, and where these lie close or far apart by the
 hashes of the words. So a passage that was pasted into other text has the same paragraphs everywhere but at its edges. Paragraphs of equal shingle sets are one class. Classes that
 collide in a band are compared with the smallest of their bucket, the exact Jaccard similarity is verified, confirmed
-links make components, and neighbouring paragraphs whose component spans several documents make the passages.
+links make components, and paragraphs whose component spans several documents are shared.
+
+Verbatim runs need no paragraphs. The smallest 8-word hash of every window of min_passage words is an anchor, so a run of
+that length has the same anchors wherever it stands. Around anchors of several documents all 8-word hashes are compared,
+which gives each run to its exact ends. Shared paragraphs and runs that lie close together make the passages.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,9 @@ from .words import BYTE_CODES, NOT_SPACE, U64, Slice, constants, mix, slices
 BANDS, ROWS = 6, 2
 MULTIPLY, ADD = constants(BANDS * ROWS, 21) | U64(1), constants(BANDS * ROWS, 22)
 SIZE, LONG = 5, 32
+GRAM = 8
+#: A map of 2 ** MAP_BITS bits says which anchors several documents may have; a wrong yes only costs rows.
+MAP_BITS = 28
 END = np.zeros(256, bool)
 END[list(b".!?")] = True
 
@@ -125,6 +133,140 @@ def _units(batches: Iterator[pa.RecordBatch], min_words: int, kind: str, known:
                 yield pa.RecordBatch.from_arrays([unit.filter(wanted), sets.filter(wanted)], ["unit", "shingles"])
 
 
+def _anchors(part: Slice, min_passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of GRAM words from each word on, and of each window of min_passage words inside one text: its first
+    word, its text and its smallest hash."""
+    words, factors = part.word_hashes(BYTE_CODES), constants(GRAM, 6) | U64(1)
+    grams = np.zeros(max(0, len(words) - GRAM + 1), U64)
+    for k in range(GRAM):
+        grams += words[k : k + len(grams)] * factors[k]
+    grams = mix(grams)
+    lowest, width, wanted = grams, 1, min_passage - GRAM + 1
+    while width < wanted and len(lowest):
+        step = min(width, wanted - width)
+        lowest, width = np.minimum(lowest[: max(0, len(lowest) - step)], lowest[step:]), width + step
+    sizes = np.maximum(np.diff(part.first) - min_passage + 1, 0)
+    text = np.repeat(np.arange(part.n), sizes)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + part.first[text]
+    return grams, at, text, mix(lowest[at])
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], min_passage: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch["text"], NOT_SPACE):
+            _, _, text, lowest = _anchors(part, min_passage)
+            new = np.ones(len(text), bool)
+            new[1:] = (lowest[1:] != lowest[:-1]) | (text[1:] != text[:-1])
+            doc = batch["doc_id"].slice(part.lo, part.n).take(pa.array(text[new]))
+            yield pa.RecordBatch.from_arrays([pa.array(lowest[new].view(np.int64)), doc], ["h", "doc_id"])
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch], min_passage: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All hashes inside the windows whose anchor is in the map."""
+    for batch in batches:
+        for part in slices(batch["text"], NOT_SPACE):
+            grams, at, _, lowest = _anchors(part, min_passage)
+            place = lowest >> U64(64 - MAP_BITS)
+            at = at[(bits[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1]
+            near = np.zeros(len(grams) + 1, np.int32)
+            near[at] += 1
+            near[at + min_passage - GRAM + 1] -= 1
+            at = np.flatnonzero(np.cumsum(near)[:-1])
+            text = np.searchsorted(part.first, at, "right") - 1
+            doc = batch["doc_id"].slice(part.lo, part.n).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), doc, pa.array(at - part.first[text])], ["h", "doc_id", "start_word"])
+
+
+def _bit_map(anchors: DataFrame) -> np.ndarray:
+    place = F.shiftrightunsigned("h", 64 - MAP_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - MAP_BITS}) & 63 as int))")
+    found = anchors.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), U64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().view(U64)
+    return out
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of doc_id -> tables of whole documents; a document's rows may be in several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch["doc_id"][-1].as_py()
+        if last != (held[0] if held else batch)["doc_id"][0].as_py():
+            done = int(np.searchsorted(batch["doc_id"].to_numpy(), last))
+            yield pa.Table.from_batches([*held, batch.slice(0, done)])
+            held, batch = [], batch.slice(done)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _runs(rows: pa.Table, min_passage: int) -> pa.RecordBatch:
+    """Shared hashes -> runs of hashes at consecutive words that span min_passage words, cut where first_doc changes."""
+    doc, start, first_doc = (rows[c].to_numpy() for c in ("doc_id", "start_word", "first_doc"))
+    order = np.lexsort((first_doc, start, doc))
+    doc, start, first_doc = doc[order], start[order], first_doc[order]
+    once = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+    doc, start, first_doc = doc[once], start[once], first_doc[once]
+    apart = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(start) > 1))
+    heads = np.flatnonzero(apart)
+    sizes = np.diff(np.append(heads, len(doc)))
+    whole = np.repeat(sizes + GRAM - 1 >= min_passage, sizes)
+    heads = np.flatnonzero(apart | np.append(True, first_doc[1:] != first_doc[:-1]))
+    sizes = np.diff(np.append(heads, len(doc))) + GRAM - 1
+    columns = (doc[heads], start[heads], sizes, first_doc[heads])
+    return pa.RecordBatch.from_arrays([pa.array(x[whole[heads]]) for x in columns], ["doc_id", "start_word", "n_words", "first_doc"])
+
+
+def verbatim_runs(docs: DataFrame, min_passage: int) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, start_word, n_words, first_doc): runs whose every GRAM words another document has
+    too, in full length; parts of a run with a different smallest document are rows of their own and overlap. Every run
+    of min_passage words that some other document has is found."""
+    spread = [F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high")]
+    anchors = docs.mapInArrow(lambda batches: _anchor_rows(batches, min_passage), "h long, doc_id long")
+    anchors = save(anchors.groupBy("h").agg(*spread).where("first_doc != high").select("h"), "anchors")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(anchors))
+    grams = docs.mapInArrow(lambda batches: _gram_rows(batches, min_passage, sent.value), "h long, doc_id long, start_word long")
+    alike = Window.partitionBy("h")
+    shared = grams.select("h", "doc_id", "start_word", F.min("doc_id").over(alike).alias("first_doc"), F.max("doc_id").over(alike).alias("high")).where("first_doc != high")
+    rows = shared.select("doc_id", "start_word", "first_doc").repartition("doc_id").sortWithinPartitions("doc_id")
+    schema = "doc_id long, start_word long, n_words long, first_doc long"
+    return save(rows.mapInArrow(lambda batches: (_runs(x, min_passage) for x in _by_document(batches)), schema), "runs")
+
+
+def _spans(rows: pa.Table, min_passage: int, max_gap: int) -> pa.RecordBatch:
+    """The shared paragraphs and runs of whole documents -> passages. Each document's words lie one after the other in
+    one array, the documents more than max_gap apart."""
+    doc, start, size, first_doc = (rows[c].to_numpy() for c in ("doc_id", "start_word", "n_words", "first_doc"))
+    is_run = rows["is_run"].to_numpy() == 1
+    docs, of = np.unique(doc, return_inverse=True)
+    room = np.full(len(docs), max_gap + 1)
+    np.maximum.at(room, of, start + size + max_gap + 1)
+    base = np.cumsum(room) - room
+    at, total, own = start + base[of], int(room.sum()), first_doc == doc
+    # A word of a shared paragraph is judged with it; another stays if this document is the first of any run there.
+    state = np.zeros(total, np.int8)
+    for rank, value in ((is_run & ~own, 1), (is_run & own, 2), (~is_run & ~own, 1), (~is_run & own, 2)):
+        change = np.bincount(at[rank], minlength=total) - np.bincount((at + size)[rank], minlength=total)
+        state[np.cumsum(change) > 0] = value
+    first = np.full(total, np.iinfo(np.int64).max)
+    words = np.repeat(at, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    np.minimum.at(first, words, np.repeat(first_doc, size))
+    edges = np.flatnonzero(np.diff(state, prepend=0))
+    a = edges[state[edges] > 0]
+    b = edges[np.searchsorted(edges, a, "right")]
+    heads = np.flatnonzero(np.append(True, (a[1:] - b[:-1] > max_gap) | (state[a[1:]] != state[a[:-1]])))
+    lows = np.minimum.reduceat(np.minimum.reduceat(first, np.stack([a, b], 1).ravel())[::2], heads)
+    a, b = a[heads], b[np.append(heads[1:], len(b)) - 1]
+    of, removed, starts = np.searchsorted(base, a, "right") - 1, state[a] == 1, np.sort(at[~is_run])
+    columns = (docs[of], a - base[of], b - a, np.searchsorted(starts, b) - np.searchsorted(starts, a), np.where(removed, lows, docs[of]), removed)
+    return pa.RecordBatch.from_arrays([pa.array(x[b - a >= min_passage]) for x in columns], SPAN)
+
+
+SPAN = ["doc_id", "start_word", "n_words", "n_paragraphs", "first_doc", "removed"]
+
+
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch["set_a"].to_pylist(), batch["set_b"].to_pylist()
@@ -188,11 +330,14 @@ def across_components(members: DataFrame, sets: DataFrame, joined: DataFrame, pe
 def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, min_passage: int = 24, max_gap: int = 12, most_sent: int = 4_000_000) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, start_word, n_words, n_paragraphs, first_doc, removed), a row for each passage.
 
-    A passage is a run of paragraphs that other documents have too, with at most max_gap words between, of at least
-    min_passage words. Paragraphs under min_words words are not compared themselves. Paragraphs are the same when
-    100 * |A & B| >= percent * |A | B| over their 5-word shingles, or linked through such. first_doc is the smallest
-    doc_id among the documents that share a paragraph of it; removed says that this document is another one, so that
-    one copy stays. Null and empty texts, rows without doc_id and empty tables have no passages; rows that repeat a
+    A passage is made of paragraphs and verbatim runs that other documents have too, with at most max_gap words between,
+    and has at least min_passage words. Any min_passage consecutive words that another document has are found, wherever
+    sentences begin and end; white space and A-Z or a-z don't count. Paragraphs of min_words words or more are the same
+    when 100 * |A & B| >= percent * |A | B| over their 5-word shingles, or linked through such. Each word is judged by
+    the smallest doc_id that shares its paragraph or, outside of shared paragraphs, its 8-word runs: removed words are
+    those that another document keeps, and a passage is all removed or all kept, so that one copy of everything stays.
+    n_paragraphs counts the shared paragraphs that begin in it; first_doc is the smallest doc_id that shares some of it.
+    Null and empty texts, rows without doc_id and empty tables have no passages; rows that repeat a
     doc_id count as one document.
 
     most_sent: colliding band keys, and the classes that they need, are sent to the tasks as sorted arrays when they are no
@@ -206,6 +351,10 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, mi
         sent = docs.sparkSession.sparkContext.broadcast(known)
         return docs.mapInArrow(lambda batches: _units(batches, min_words, kind, sent.value), schema)
 
+    runs = verbatim_runs(docs, min_passage)
+    # Spark deletes shuffle files once the JVM has collected their plans; the runs' are not to lie beside the bands'.
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     places = save(units("place", "unit long, doc_id long, start_word long, n_words long"), "paragraphs")
     bands = units("band", "unit long, k long")
     buckets = bands.groupBy("k").agg(F.min("unit").alias("hub"), F.max("unit").alias("other")).where("hub != other").drop("other")
@@ -225,12 +374,7 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, mi
     spread = spread.join(joined, spread.unit == joined.node, "left").select("unit", "low", "high", F.coalesce("component", "unit").alias("component"))
     shared = spread.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("component", F.col("low").alias("first_doc"))
     firsts = save(spread.join(shared, "component").select("unit", "first_doc"), "shared")
-    found = places.join(firsts, "unit").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("start_word", "n_words", "unit")
-    gap = F.col("start_word") - F.lag(F.col("start_word") + F.col("n_words")).over(by_doc)
-    runs = found.withColumn("new", F.coalesce((gap > max_gap).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by_doc))
-    passages = runs.groupBy("doc_id", "run").agg(
-        F.min("start_word").alias("start_word"), (F.max(F.col("start_word") + F.col("n_words")) - F.min("start_word")).alias("n_words"),
-        F.count("*").alias("n_paragraphs"), F.min("first_doc").alias("first_doc"),
-    )
-    return passages.where(F.col("n_words") >= min_passage).drop("run").withColumn("removed", F.col("doc_id") != F.col("first_doc"))
+    found = places.join(firsts, "unit").distinct().select("doc_id", "start_word", "n_words", "first_doc", F.lit(0).alias("is_run"))
+    rows = found.unionByName(runs.withColumn("is_run", F.lit(1))).repartition("doc_id").sortWithinPartitions("doc_id")
+    schema = "doc_id long, start_word long, n_words long, n_paragraphs long, first_doc long, removed boolean"
+    return rows.mapInArrow(lambda batches: (_spans(x, min_passage, max_gap) for x in _by_document(batches)), schema)

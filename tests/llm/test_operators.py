@@ -223,6 +223,50 @@ def test_passages(spark, most_sent):
     assert all(r.first_doc == 0 and r.removed == (r.doc_id != 0) and r.n_words >= 48 for r in found)
 
 
+def test_passages_without_sentences(spark):
+    rng = random.Random(16)
+    rows, planted = [], {}
+    for i in range(120):
+        passage, a, b = words_of(rng, rng.randrange(51, 61), 5000), rng.randrange(0, 200), rng.randrange(0, 200)
+        rows += [(i, " ".join(words_of(rng, a, 5000) + passage + words_of(rng, 90, 5000))), (1000 + i, " ".join(words_of(rng, b, 5000) + passage))]
+        planted |= {i: (a, len(passage), i, False), 1000 + i: (b, len(passage), i, True)}
+    short = words_of(rng, 24, 5000)  # the shortest passage, and one word less
+    rows += [(2000, " ".join(short)), (2001, " ".join(["x", *short, "y"])), (2002, " ".join(words_of(rng, 30, 5000) + short[1:]))]
+    planted |= {2000: (0, 24, 2000, False), 2001: (1, 24, 2000, True)}
+    # Against all 8-word runs of all documents.
+    seen, texts = defaultdict(set), {i: t.split() for i, t in rows}
+    for i, w in texts.items():
+        for j in range(len(w) - 7):
+            seen[tuple(w[j : j + 8])].add(i)
+    brute = {}
+    for i, w in texts.items():
+        at = [j for j in range(len(w) - 7) if len(seen[tuple(w[j : j + 8])]) > 1]
+        if at and at[-1] - at[0] + 8 >= 24:
+            brute[i] = (at[0], at[-1] - at[0] + 8)
+    assert brute == {i: p[:2] for i, p in planted.items()}
+    found = repeated_passages(frame(spark, rows), percent=100).collect()
+    assert len(found) == len(planted) and {r.doc_id: (r.start_word, r.n_words, r.first_doc, r.removed) for r in found} == planted
+    # At 75 % a paragraph may bring some words of its host.
+    found = {r.doc_id: r for r in repeated_passages(frame(spark, rows)).collect()}
+    assert set(found) == set(planted)
+    for i, (start, n, first_doc, removed) in planted.items():
+        r = found[i]
+        assert r.start_word <= start and r.start_word + r.n_words >= start + n and (r.first_doc, r.removed) == (first_doc, removed)
+
+
+def test_passages_keep_a_copy(spark):
+    rng = random.Random(26)
+    sentence = lambda n: " ".join(words_of(rng, n, 5000)).capitalize() + "."
+    for text in (lambda: " ".join(sentence(12) for _ in range(4)), lambda: " ".join(words_of(rng, 45, 5000))):
+        a, b, c = text(), text(), text()
+        rows = [(1, f"{text()} {a}"), (5, f"{a} {b} {c}"), (7, f"{c} {text()}"), (9, f"{text()} {b}"), (11, f"{b} {c}")]
+        left = {i: t.split() for i, t in rows}
+        for r in repeated_passages(frame(spark, rows)).where("removed").collect():
+            left[r.doc_id][r.start_word : r.start_word + r.n_words] = [None] * r.n_words
+        copies = [sum(f" {x} " in " " + " ".join(w or "-" for w in words) + " " for words in left.values()) for x in (a, b, c)]
+        assert copies == [1, 1, 1]
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(50)] + [(100, j) for j in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
