@@ -40,6 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         after = save(small, "small-star")
         forget(edges, large)
         edges = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    own = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    out = save(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own), "components")
+    forget(edges)
+    return out

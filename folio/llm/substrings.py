@@ -1,13 +1,19 @@
 """Substring deduplication by paragraph MinHash banding (operator 2).
 
 Texts are cut into small paragraphs: at newlines and behind sentence ends, and where these lie close or far apart by the
-hashes of the words. So a passage that was pasted into other text has the same paragraphs everywhere but at its edges. Paragraphs of equal shingle sets are one class. Classes that
-collide in a band are compared with the smallest of their bucket, the exact Jaccard similarity is verified, confirmed
-links make components, and paragraphs whose component spans several documents are shared.
+hashes of the words. So a passage that was pasted into other text has the same paragraphs everywhere but at its edges.
+Paragraphs of equal shingle sets are one class. Classes that collide in a band are compared with the smallest of their
+bucket, the exact Jaccard similarity is verified, confirmed links make components, and paragraphs whose component spans
+several documents are shared.
 
 Verbatim runs need no paragraphs. The smallest 8-word hash of every window of min_passage words is an anchor, so a run of
 that length has the same anchors wherever it stands. Around anchors of several documents all 8-word hashes are compared,
 which gives each run to its exact ends. Shared paragraphs and runs that lie close together make the passages.
+
+The texts are read twice. The first reading gives every band key and anchor to one aggregation, which finds the keys that
+more than one paragraph or document has. A bit map of fixed size says which these may be. The second reading gives only
+rows of such keys: paragraphs with their shingles, and 8-word hashes. Exact joins decide from there, so a full map costs
+rows and never changes a result.
 """
 
 from __future__ import annotations
@@ -19,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import read_rows_only, save
+from .common import forget, read_rows_only, save
 from .components import components
 from .words import BYTE_CODES, NOT_SPACE, U64, Slice, constants, mix, slices
 
@@ -31,8 +36,6 @@ BANDS, ROWS = 6, 2
 MULTIPLY, ADD = constants(BANDS * ROWS, 21) | U64(1), constants(BANDS * ROWS, 22)
 SIZE, LONG = 5, 32
 GRAM = 8
-#: A map of 2 ** MAP_BITS bits says which anchors several documents may have; a wrong yes only costs rows.
-MAP_BITS = 28
 END = np.zeros(256, bool)
 END[list(b".!?")] = True
 
@@ -79,58 +82,30 @@ def _flat(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(sizes.sum())) - np.repeat(heads - a, sizes), heads
 
 
-def _among(values: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-    """Which of values are in the sorted array known; all, if there is none."""
-    if known is None:
-        return np.ones(len(values), bool)
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
-def _sorted_values(rows: DataFrame, column: str, most: int) -> np.ndarray | None:
-    """The column as a sorted array of at most `most` longs; None if there are more: then a join has to do it."""
-    if rows.count() > most:
-        return None
-    return np.sort(rows.select(column).toArrow().column(0).to_numpy())
-
-
-def _units(batches: Iterator[pa.RecordBatch], min_words: int, kind: str, known: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """kind `place`: (unit, doc_id, start_word, n_words); `band`: (unit, k) for each band; `set`: (unit, shingles). With
-    known, bands of those keys or sets of those units only."""
-    for batch in batches:
-        for part in slices(batch["text"], NOT_SPACE):
-            text, a, b = paragraphs(part, min_words)
-            if not len(a):
-                continue
-            at, heads = _flat(a, b)
-            shingles = _shingles(part)[at]
-            # A class: the sum of mixed shingles, each distinct one once.
-            owner = np.repeat(np.arange(len(a)), b - a - SIZE + 1)
-            order = np.lexsort((shingles, owner))
-            shingles, owner = shingles[order], owner[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
-            shingles, owner = shingles[new], owner[new]
-            heads = np.searchsorted(owner, np.arange(len(a)))
-            unit = pa.array(mix(np.add.reduceat(mix(shingles + U64(1)), heads)).view(np.int64))
-            if kind == "place":
-                doc = batch["doc_id"].slice(part.lo, part.n).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([unit, doc, pa.array(a - part.first[text]), pa.array(b - a)], ["unit", "doc_id", "start_word", "n_words"])
-            elif kind == "band":
-                keys = []
-                for band in range(BANDS):
-                    lowest = [np.minimum.reduceat(shingles * MULTIPLY[i] + ADD[i], heads) for i in range(band * ROWS, band * ROWS + ROWS)]
-                    keys.append(mix(lowest[0] + mix(lowest[1] + U64(band))))
-                k = np.concatenate(keys).view(np.int64)
-                wanted = _among(k, known)
-                units = np.tile(unit.to_numpy(), BANDS)[wanted]
-                yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(k[wanted])], ["unit", "k"])
-            else:
-                ends = pa.array(np.append(heads, len(owner)).astype(np.int32) * 8)
-                sets = pa.Array.from_buffers(pa.binary(), len(a), [None, ends.buffers()[1], pa.py_buffer(shingles.tobytes())])
-                wanted = pa.array(_among(unit.to_numpy(), known))
-                yield pa.RecordBatch.from_arrays([unit.filter(wanted), sets.filter(wanted)], ["unit", "shingles"])
+def _classes(part: Slice, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The two halves of each paragraph's 128-bit class, and its distinct shingles, sorted, with where each one's begin.
+    A class is made of two sums over the distinct shingles."""
+    at, heads = _flat(a, b)
+    shingles = _shingles(part)[at]
+    owner = np.repeat(np.arange(len(a)), b - a - SIZE + 1)
+    order = np.lexsort((shingles, owner))
+    shingles, owner = shingles[order], owner[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
+    shingles, owner = shingles[new], owner[new]
+    heads = np.searchsorted(owner, np.arange(len(a)))
+    high = mix(np.add.reduceat(mix(shingles + U64(1)), heads))
+    low = mix(np.add.reduceat(mix(shingles ^ MULTIPLY[0]), heads))
+    return high, low, shingles, heads
+
+
+def _band_keys(shingles: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """BANDS rows of a key for each paragraph."""
+    keys = np.empty((BANDS, len(heads)), U64)
+    for band in range(BANDS):
+        lowest = [np.minimum.reduceat(shingles * MULTIPLY[i] + ADD[i], heads) for i in range(band * ROWS, band * ROWS + ROWS)]
+        keys[band] = mix(lowest[0] + mix(lowest[1] + U64(band)))
+    return keys
 
 
 def _anchors(part: Slice, min_passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,37 +126,76 @@ def _anchors(part: Slice, min_passage: int) -> tuple[np.ndarray, np.ndarray, np.
     return grams, at, text, mix(lowest[at])
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], min_passage: int) -> Iterator[pa.RecordBatch]:
+def _key_rows(batches: Iterator[pa.RecordBatch], min_words: int, min_passage: int) -> Iterator[pa.RecordBatch]:
+    """(k, x): each anchor with its document, and each band key with a hash of its paragraph's class and document."""
     for batch in batches:
+        docs = batch["doc_id"].to_numpy()
         for part in slices(batch["text"], NOT_SPACE):
+            own = docs[part.lo : part.lo + part.n]
             _, _, text, lowest = _anchors(part, min_passage)
             new = np.ones(len(text), bool)
             new[1:] = (lowest[1:] != lowest[:-1]) | (text[1:] != text[:-1])
-            doc = batch["doc_id"].slice(part.lo, part.n).take(pa.array(text[new]))
-            yield pa.RecordBatch.from_arrays([pa.array(lowest[new].view(np.int64)), doc], ["h", "doc_id"])
+            k, x = [lowest[new]], [own[text[new]].view(U64)]
+            text, a, b = paragraphs(part, min_words)
+            if len(a):
+                high, low, shingles, heads = _classes(part, a, b)
+                k.append(_band_keys(shingles, heads).ravel())
+                x.append(np.tile(mix(high + mix(low + mix(own[text].view(U64)))), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (k, x)], ["k", "x"])
+
+
+FOUND = "h long, high long, low long, doc_id long, start_word long, n_words long, keys array<long>, shingles binary"
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch], min_passage: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All hashes inside the windows whose anchor is in the map."""
+def _found_rows(batches: Iterator[pa.RecordBatch], min_words: int, min_passage: int, bits: np.ndarray, map_bits: int) -> Iterator[pa.RecordBatch]:
+    """What the map holds, in rows of FOUND: all 8-word hashes inside windows with such an anchor (h, doc_id, start_word),
+    and paragraphs with such a band key, with those keys and their shingles."""
+
+    def may_be_shared(keys: np.ndarray) -> np.ndarray:
+        place = keys >> U64(64 - map_bits)
+        return (bits[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1
+
+    names = [x.split(" ")[0] for x in FOUND.split(", ")]
     for batch in batches:
+        docs = batch["doc_id"].to_numpy()
         for part in slices(batch["text"], NOT_SPACE):
+            own = docs[part.lo : part.lo + part.n]
             grams, at, _, lowest = _anchors(part, min_passage)
-            place = lowest >> U64(64 - MAP_BITS)
-            at = at[(bits[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1]
+            at = at[may_be_shared(lowest)]
             near = np.zeros(len(grams) + 1, np.int32)
             near[at] += 1
             near[at + min_passage - GRAM + 1] -= 1
             at = np.flatnonzero(np.cumsum(near)[:-1])
-            text = np.searchsorted(part.first, at, "right") - 1
-            doc = batch["doc_id"].slice(part.lo, part.n).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), doc, pa.array(at - part.first[text])], ["h", "doc_id", "start_word"])
-
-
-def _bit_map(anchors: DataFrame) -> np.ndarray:
-    place = F.shiftrightunsigned("h", 64 - MAP_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - MAP_BITS}) & 63 as int))")
-    found = anchors.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), U64)
+            if len(at):
+                text, n = np.searchsorted(part.first, at, "right") - 1, len(at)
+                none = [pa.nulls(n, pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams[at].view(np.int64)), *none, pa.array(own[text]), pa.array(at - part.first[text]), none[0], pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary())], names
+                )
+            text, a, b = paragraphs(part, min_words)
+            if not len(a):
+                continue
+            high, low, shingles, heads = _classes(part, a, b)
+            keys = _band_keys(shingles, heads).T
+            hit = may_be_shared(keys)
+            wanted = np.flatnonzero(hit.any(axis=1))
+            if not len(wanted):
+                continue
+            key_ends = np.concatenate([[0], np.cumsum(hit[wanted].sum(axis=1))]).astype(np.int32)
+            ends = pa.array(np.append(heads, len(shingles)).astype(np.int32) * 8)
+            sets = pa.Array.from_buffers(pa.binary(), len(a), [None, ends.buffers()[1], pa.py_buffer(shingles.tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(wanted), pa.int64()), *[pa.array(x[wanted].view(np.int64)) for x in (high, low)], pa.array(own[text[wanted]]),
+                 pa.array((a - part.first[text])[wanted]), pa.array((b - a)[wanted]), pa.ListArray.from_arrays(pa.array(key_ends), pa.array(keys[hit].view(np.int64))), sets.take(pa.array(wanted))], names,
+            )
+
+
+def _bit_map(keys: DataFrame, map_bits: int) -> np.ndarray:
+    """A bit for each value of the first map_bits bits of keys(k); at most 2 ** (map_bits - 6) rows come to the driver."""
+    place = F.shiftrightunsigned("k", 64 - map_bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(k, {64 - map_bits}) & 63 as int))")
+    found = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (map_bits - 6), U64)
     out[found["at"].to_numpy()] = found["bits"].to_numpy().view(U64)
     return out
 
@@ -219,18 +233,11 @@ def _runs(rows: pa.Table, min_passage: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[whole[heads]]) for x in columns], ["doc_id", "start_word", "n_words", "first_doc"])
 
 
-def verbatim_runs(docs: DataFrame, min_passage: int) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, start_word, n_words, first_doc): runs whose every GRAM words another document has
-    too, in full length; parts of a run with a different smallest document are rows of their own and overlap. Every run
-    of min_passage words that some other document has is found."""
-    spread = [F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("high")]
-    anchors = docs.mapInArrow(lambda batches: _anchor_rows(batches, min_passage), "h long, doc_id long")
-    anchors = save(anchors.groupBy("h").agg(*spread).where("first_doc != high").select("h"), "anchors")
-    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(anchors))
-    grams = docs.mapInArrow(lambda batches: _gram_rows(batches, min_passage, sent.value), "h long, doc_id long, start_word long")
-    alike = Window.partitionBy("h")
-    shared = grams.select("h", "doc_id", "start_word", F.min("doc_id").over(alike).alias("first_doc"), F.max("doc_id").over(alike).alias("high")).where("first_doc != high")
-    rows = shared.select("doc_id", "start_word", "first_doc").repartition("doc_id").sortWithinPartitions("doc_id")
+def verbatim_runs(grams: DataFrame, min_passage: int) -> DataFrame:
+    """grams(h, doc_id, start_word) -> (doc_id, start_word, n_words, first_doc): runs whose every GRAM words another document
+    has too, in full length; parts of a run with a different smallest document are rows of their own and overlap."""
+    spread = grams.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc != last_doc").select("h", "first_doc")
+    rows = grams.join(spread, "h").select("doc_id", "start_word", "first_doc").repartition("doc_id").sortWithinPartitions("doc_id")
     schema = "doc_id long, start_word long, n_words long, first_doc long"
     return save(rows.mapInArrow(lambda batches: (_runs(x, min_passage) for x in _by_document(batches)), schema), "runs")
 
@@ -324,10 +331,12 @@ def across_components(members: DataFrame, sets: DataFrame, joined: DataFrame, pe
     rows = data.where(minor).select("*", F.pmod(part, "n_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"), F.lit(1).alias("is_row"))
     order = ["cluster", "i", "j", "is_row"]
     dealt = blocks.unionByName(rows).repartition("cluster", "i", "j").sortWithinPartitions(*order).select(*order, "unit", "comp", "shingles")
-    return save(dealt.mapInArrow(lambda batches: _across(batches, percent), "a long, b long"), "links")
+    out = save(dealt.mapInArrow(lambda batches: _across(batches, percent), "a long, b long"), "links")
+    forget(held)
+    return out
 
 
-def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, min_passage: int = 24, max_gap: int = 12, most_sent: int = 4_000_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, min_passage: int = 24, max_gap: int = 12, map_bits: int = 28) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, start_word, n_words, n_paragraphs, first_doc, removed), a row for each passage.
 
     A passage is made of paragraphs and verbatim runs that other documents have too, with at most max_gap words between,
@@ -338,43 +347,45 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, mi
     those that another document keeps, and a passage is all removed or all kept, so that one copy of everything stays.
     n_paragraphs counts the shared paragraphs that begin in it; first_doc is the smallest doc_id that shares some of it.
     Null and empty texts, rows without doc_id and empty tables have no passages; rows that repeat a
-    doc_id count as one document.
+    doc_id count as one document. Whole texts are read, in slices; a text longer than a slice is one of its own. Other
+    columns of docs are not read, so their names can't clash.
 
-    most_sent: colliding band keys, and the classes that they need, are sent to the tasks as sorted arrays when they are no
-    more than that; more are met by a join instead, with the same result.
+    map_bits: the map of keys has 2 ** map_bits bits, whatever the input. The more of them are set, the more rows that no
+    other document shares pass to the joins, which leave them out; about 8 bits a shared key keep these few.
     """
     docs = read_rows_only(docs, doc_id="doc_id", text="text").where("doc_id is not null")
-
-    def units(kind: str, schema: str, known: np.ndarray | None = None) -> DataFrame:
-        if known is None:
-            return docs.mapInArrow(lambda batches: _units(batches, min_words, kind), schema)
-        sent = docs.sparkSession.sparkContext.broadcast(known)
-        return docs.mapInArrow(lambda batches: _units(batches, min_words, kind, sent.value), schema)
-
-    runs = verbatim_runs(docs, min_passage)
-    # Spark deletes shuffle files once the JVM has collected their plans; the runs' are not to lie beside the bands'.
+    keys = docs.mapInArrow(lambda batches: _key_rows(batches, min_words, min_passage), "k long, x long")
+    keys = save(keys.groupBy("k").agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least != most").select("k"), "shared-keys")
+    # Spark deletes shuffle files once the JVM has collected their plans; these are not to lie beside the later ones.
     gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()
-    places = save(units("place", "unit long, doc_id long, start_word long, n_words long"), "paragraphs")
-    bands = units("band", "unit long, k long")
-    buckets = bands.groupBy("k").agg(F.min("unit").alias("hub"), F.max("unit").alias("other")).where("hub != other").drop("other")
-    buckets = save(buckets, "collisions")
-    bands = units("band", "unit long, k long", _sorted_values(buckets, "k", most_sent))
-    members = save(bands.join(buckets, "k").distinct(), "buckets")
-    needed = save(members.select("unit").distinct(), "needed")
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(keys, map_bits))
+    forget(keys)
+    found = save(docs.mapInArrow(lambda batches: _found_rows(batches, min_words, min_passage, sent.value, map_bits), FOUND), "found")
+    runs = verbatim_runs(found.where("h is not null").select("h", "doc_id", "start_word"), min_passage)
+    places = found.where("h is null")
+    classes = places.groupBy("high", "low").agg(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles")
+    )
+    classes = save(classes.withColumn("unit", F.monotonically_increasing_id()), "classes")
+    each = classes.select("unit", F.explode("keys").alias("k"))
+    buckets = each.groupBy("k").agg(F.min("unit").alias("hub"), F.max("unit").alias("other")).where("hub != other").drop("other")
+    members = save(each.join(buckets, "k"), "buckets")
     pairs = members.where("unit != hub").select("hub", "unit").distinct()
-    sets = units("set", "unit long, shingles binary", _sorted_values(needed, "unit", most_sent)).join(needed, "unit", "left_semi")
-    sets = save(sets.groupBy("unit").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = classes.select("unit", "shingles")
     set_a, set_b = sets.select(F.col("unit").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("unit").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.select(F.col("hub").alias("a"), F.col("unit").alias("b")).join(set_b, "b").join(set_a, "a")
-    links = save(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda batches: _similar(batches, percent), "a long, b long"), "links")
-    links = links.union(across_components(members.select("k", "unit"), sets, components(links), percent))
-    joined = components(links)
-    spread = places.groupBy("unit").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    spread = spread.join(joined, spread.unit == joined.node, "left").select("unit", "low", "high", F.coalesce("component", "unit").alias("component"))
-    shared = spread.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("component", F.col("low").alias("first_doc"))
-    firsts = save(spread.join(shared, "component").select("unit", "first_doc"), "shared")
-    found = places.join(firsts, "unit").distinct().select("doc_id", "start_word", "n_words", "first_doc", F.lit(0).alias("is_run"))
-    rows = found.unionByName(runs.withColumn("is_run", F.lit(1))).repartition("doc_id").sortWithinPartitions("doc_id")
+    near = save(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda batches: _similar(batches, percent), "a long, b long"), "links")
+    first = components(near)
+    across = across_components(members.select("k", "unit"), sets, first, percent)
+    joined = components(near.union(across))
+    spread = classes.join(joined, classes.unit == joined.node, "left").select("high", "low", "first_doc", "last_doc", F.coalesce("component", "unit").alias("component"))
+    shared = spread.groupBy("component").agg(F.min("first_doc").alias("first"), F.max("last_doc").alias("last")).where("first != last").select("component", "first")
+    firsts = save(spread.join(shared, "component").select("high", "low", F.col("first").alias("first_doc")), "shared")
+    own = places.select("high", "low", "doc_id", "start_word", "n_words").join(firsts, ["high", "low"])
+    own = own.select("doc_id", "start_word", "n_words", "first_doc", F.lit(0).alias("is_run")).distinct()
+    rows = own.unionByName(runs.withColumn("is_run", F.lit(1))).repartition("doc_id").sortWithinPartitions("doc_id")
     schema = "doc_id long, start_word long, n_words long, n_paragraphs long, first_doc long, removed boolean"
-    return rows.mapInArrow(lambda batches: (_spans(x, min_passage, max_gap) for x in _by_document(batches)), schema)
+    out = save(rows.mapInArrow(lambda batches: (_spans(x, min_passage, max_gap) for x in _by_document(batches)), schema), "passages")
+    forget(found, runs, classes, members, near, first, across, joined, firsts)
+    return out

@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 21
+#: Span hashes are computed over windows of two of these many bytes.
+WINDOW = 1 << 20
 U64 = np.uint64
 STEP = U64(0x9E3779B97F4A7C15)
 
@@ -45,8 +47,9 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 @lru_cache(2)
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U64(base))
+def powers(base: int) -> np.ndarray:
+    """Its powers for the places of two windows: the one table that hashing keeps."""
+    out = np.full(2 * WINDOW, U64(base))
     out[0] = 1
     return np.cumprod(out)
 
@@ -72,12 +75,30 @@ class Slice:
         return self.span_hashes(self.starts, self.ends, codes)
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span, from differences of one running polynomial sum."""
-        room = 1 << max(21, int(len(self.data)).bit_length())
-        total = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(codes[self.data] * powers(BASE, room)[: len(self.data)], out=total[1:])
-        value = (total[ends] - total[starts]) * powers(BASE_INVERSE, room)[np.minimum(starts, room - 1)]
-        return mix(value + (ends - starts).astype(U64) * STEP)
+        """A hash of the bytes of each span, in the order of their starts, from differences of running polynomial sums.
+        The sums are taken over windows, so their memory follows neither the text's length nor a span's."""
+        out = np.zeros(len(starts), U64)
+        step = WINDOW if len(self.data) > 2 * WINDOW else 2 * WINDOW
+        for lo in range(0, len(self.data), step):
+            a, b = np.searchsorted(starts, (lo, lo + step))
+            if a == b:
+                continue
+            s, e = starts[a:b], ends[a:b]
+            short = e - lo <= 2 * WINDOW
+            hi = int(e[short].max(initial=lo))
+            total = np.zeros(hi - lo + 1, U64)
+            np.cumsum(codes[self.data[lo:hi]] * powers(BASE)[: hi - lo], out=total[1:])
+            out[a:b][short] = (total[e[short] - lo] - total[s[short] - lo]) * powers(BASE_INVERSE)[s[short] - lo]
+            for i in np.flatnonzero(~short):
+                out[a + i] = self._long_sum(int(s[i]), int(e[i]), codes)
+        return mix(out + (ends - starts).astype(U64) * STEP)
+
+    def _long_sum(self, start: int, end: int, codes: np.ndarray) -> np.uint64:
+        total = 0
+        for lo in range(start, end, WINDOW):
+            part = codes[self.data[lo : min(lo + WINDOW, end)]]
+            total += int((part * powers(BASE)[: len(part)]).sum()) * pow(BASE, lo - start, 1 << 64)
+        return U64(total % (1 << 64))
 
 
 def slices(column: pa.Array, is_word: np.ndarray = NOT_SPACE, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
