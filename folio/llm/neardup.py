@@ -11,13 +11,16 @@ Buckets can hold any number of documents, so pairs within one are never listed:
 2. in every bucket the members are compared with one hub. Candidates go through the size ratio and the signature
    distance, then the full shingle sets are compared, and confirmed links are joined into components;
 3. only pairs across components are still of interest. In buckets with several components the members outside the
-   largest one are compared with all members, in blocks dealt over the tasks, and a block gives back confirmed links
-   only: of each member's links with a component, one.
-Every pair that shares a bucket is thus compared or already in one component: no link that matters is lost.
+   largest one are compared with all members of a size near enough, in blocks dealt over the tasks, and a block gives
+   back confirmed links only: of each member's links with a component, one.
+Every pair that shares a bucket is thus compared, already in one component, or of sizes that no link can have: the
+bucket's size changes nothing. A link is lost only where two documents share no bucket, or differ in more symbols than
+five standard deviations allow.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,28 +80,36 @@ def distance(a: str, b: str) -> Column:
 
 
 def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows in the order (hub, block, doc): a block's first row, with a null doc, has the hub's text."""
-    hub_set, block = None, None
+    """Rows in the order (hub, block, doc): a block's first rows, with a null doc, have the hub's text (or its texts, where
+    rows share the hub's doc_id)."""
+    hub_sets: list[np.ndarray] = []
+    block = None
     for batch in batches:
         hubs, blocks, docs = (batch[c].to_pylist() for c in ("hub", "block", "doc"))
         links = []
         for i, found in enumerate(shingle_sets(batch["text"])):
             if docs[i] is None:
-                hub_set, block = found, (hubs[i], blocks[i])
+                hub_sets = [*hub_sets, found] if block == (hubs[i], blocks[i]) else [found]
+                block = (hubs[i], blocks[i])
                 continue
             assert block == (hubs[i], blocks[i]), "a block without its hub"
-            both = np.sort(np.concatenate([hub_set, found]))
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (len(both) - common):
-                links.append((hubs[i], docs[i]))
+            for hub_set in hub_sets:
+                both = np.sort(np.concatenate([hub_set, found]))
+                common = int((both[1:] == both[:-1]).sum())
+                if common and 100 * common >= percent * (len(both) - common):
+                    links.append((hubs[i], docs[i]))
+                    break
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, block_rows: int = 64) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, block_rows: int = 64, salts: int = 16) -> DataFrame:
     """Those of pairs(hub, doc) whose full shingle sets are similar enough, as (a, b). A hub's documents are dealt into
-    blocks of about block_rows, each with its own copy of the hub's text, so no hub fills a task."""
+    blocks of about block_rows, each with its own copy of the hub's text, so no hub fills a task. Only hubs of more than
+    one block have a row of sizes, once a salt, and a hub's pairs meet it in as many tasks as there are salts."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / block_rows).alias("n_blocks"))
-    dealt = pairs.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n_blocks")))
+    large = sizes.where("n_blocks > 1").select("hub", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(salts)).cast("int"))
+    dealt = salted.join(large, ["hub", "salt"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("n_blocks")), F.lit(0)))
     docs = dealt.join(texts, dealt.doc == texts.doc_id).select("hub", "block", "doc", "text")
     hubs = (
         sizes.join(texts, sizes.hub == texts.doc_id)
@@ -111,11 +122,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, block_rows: int
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int, furthest: int) -> Iterator[pa.RecordBatch]:
-    """Rows in the order (cluster, i, j, is_row): a block of members comes first and is kept, then each row of `rows` is
+    """Rows in the order (cluster, at, i, j, is_row): a block of members comes first and is kept, then each row of `rows` is
     compared with it. Of the members of one component that a row is linked with, one link is enough."""
     block, members = None, {}
     for batch in batches:
-        keys = list(zip(*(batch[c].to_pylist() for c in ("cluster", "i", "j")), strict=True))
+        keys = list(zip(*(batch[c].to_pylist() for c in ("cluster", "at", "i", "j")), strict=True))
         is_row, reps, comps, n = (batch[c].to_numpy(zero_copy_only=False) for c in ("is_row", "rep", "comp", "n"))
         sigs = np.stack([batch[f"s{c}"].to_numpy() for c in range(CHUNKS)], axis=1)
         links: list[tuple[int, int]] = []
@@ -136,6 +147,8 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, furthest: int) -> I
             for m in np.flatnonzero((members["comp"] != comps[k]) & (apart <= furthest) & sized):
                 if members["comp"][m] not in linked:
                     own = members["set"][m]
+                    if not len(own):
+                        continue
                     at = np.minimum(np.searchsorted(own, found), len(own) - 1)
                     common = int((own[at] == found).sum())
                     if 100 * common >= percent * (len(own) + len(found) - common):
@@ -144,33 +157,66 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, furthest: int) -> I
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, split_above: int = 512, block_rows: int = 128) -> DataFrame:
+def same_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of a doc_id that rows of different sets share; there are hardly any."""
+    repeated = filled.groupBy("doc_id").agg(F.min("set_hi").alias("least"), F.max("set_hi").alias("most")).where("least != most")
+    own = filled.join(repeated.select("doc_id"), "doc_id").join(classes, ["set_hi", "set_lo"]).select("doc_id", "rep")
+    return own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a != rep").select("a", F.col("rep").alias("b"))
+
+
+def across_components(held: DataFrame, texts: DataFrame, signs: DataFrame, percent: int, furthest: int, block_rows: int) -> DataFrame:
+    """held(cluster, rep, comp, n): confirmed links (a, b) between components that share a cluster.
+
+    Sizes make bands as wide as the similarity allows, so a row meets only members of its own band and the two beside it:
+    of any others the smaller set can't be similar enough to the larger."""
+    width = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9
+    held = held.withColumn("band", F.floor(F.log("n") / width))
+    members = held.select("cluster", F.col("band").alias("at"), "rep", "comp", "n")
+    rows = held.where("comp != cluster").select("cluster", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("at"), "rep", "comp", "n")
+    sizes = members.groupBy("cluster", "at").agg(F.ceil(F.count("*") / block_rows).alias("n_j"))
+    sizes = sizes.join(rows.groupBy("cluster", "at").agg(F.ceil(F.count("*") / block_rows).alias("n_i")), ["cluster", "at"])
+
+    def whole(side: DataFrame) -> DataFrame:
+        own = side.join(sizes, ["cluster", "at"]).join(texts, side.rep == texts.doc_id).drop("doc_id")
+        return own.join(signs, "rep").withColumn("part", F.xxhash64("rep"))
+
+    members = whole(members).select("*", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), F.pmod("part", "n_j").alias("j"), F.lit(0).alias("is_row"))
+    rows = whole(rows).select("*", F.pmod("part", "n_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"), F.lit(1).alias("is_row"))
+    order = ["cluster", "at", "i", "j", "is_row"]
+    dealt = members.unionByName(rows).repartition("cluster", "at", "i", "j").sortWithinPartitions(*order)
+    dealt = dealt.select(*order, "rep", "comp", "n", *signs.columns[1:], "text")
+    return save(dealt.mapInArrow(lambda batches: _across(batches, percent, furthest), "a long, b long"), "links")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, block_rows: int = 128) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased; a document's set is that of its 5-word
     shingles. Documents are linked when 100 * |A & B| >= percent * |A | B|. component_id is the smallest doc_id that
     links reach, kept marks the document that has it. Null, empty and blank texts have no shingles and no links: they
-    are kept, as themselves. Repeated rows get the same result each. A row without doc_id is linked with nothing and
-    kept, its component_id null. An empty table gives no rows.
+    are kept, as themselves. Repeated rows get the same result each; rows that share a doc_id but not the text are one
+    document, with the links of each of its texts. A row without doc_id is linked with nothing and kept, its
+    component_id null. An empty table gives no rows. Whole texts are read, however long. Other columns of docs are not
+    read, so their names can't clash.
 
-    split_above: larger buckets of many small components are split by a second masked chunk before they are compared
-    in full. block_rows: about so many documents a block of those comparisons. Neither decides which links count.
+    block_rows: about so many documents a block of comparisons across components; it decides no link.
     """
     docs = read_rows_only(docs, doc_id="doc_id", text="text")
     shapes = save(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, set_hi long, set_lo long, sig array<long>"), "fingerprints")
     filled = shapes.where("n_shingles > 0 and doc_id is not null")
     classes = save(
-        filled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
+        filled.groupBy("set_hi", "set_lo").agg(
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(F.col("sig")[c]).alias(f"s{c}") for c in range(CHUNKS)]
+        ),
         "classes",
     )
-    keys = classes.select("rep", "n", F.posexplode(masked_chunks(F.col("sig"))).alias("c", "k"))
-    keys = keys.withColumn("c", F.floor(F.col("c") / SYMBOLS).cast("byte"))
+    keys = classes.select("rep", "n", F.explode(masked_chunks(F.array(*[f"s{c}" for c in range(CHUNKS)]))).alias("k"))
     buckets = keys.groupBy("k").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
-    members = save(keys.join(buckets, "k").select("k", "c", "rep", "n", "hub"), "buckets")
+    members = save(keys.join(buckets, "k").select("k", "rep", "n", "hub"), "buckets")
     shown = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = save(docs.join(shown, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    texts = save(docs.join(shown, "doc_id", "left_semi").distinct(), "candidates")
 
-    signs = classes.select("rep", *[F.col("sig")[c].alias(f"s{c}") for c in range(CHUNKS)])
+    signs = classes.select("rep", *[f"s{c}" for c in range(CHUNKS)])
     symbols = CHUNKS * SYMBOLS
     furthest = round(symbols * (100 - percent) / 100 + 5 * (symbols * percent * (100 - percent)) ** 0.5 / 100)
     sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
@@ -182,47 +228,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, split_above: int = 512,
     def compare(pairs: DataFrame) -> DataFrame:
         """pairs(hub, doc) of equal enough sizes -> those confirmed."""
         close = pairs.join(side(signs, "b"), F.col("doc") == F.col("rep_b")).join(side(signs, "a"), F.col("hub") == F.col("rep_a"))
-        return save(confirmed(save(close.where(near).select("hub", "doc"), "pairs"), texts, percent), "links")
-
-    def still_open(labelled: DataFrame) -> DataFrame:
-        """labelled(k, c, rep, n, comp): the rows of buckets with several components, with the size of the bucket, its
-        largest component (main, of `most` rows; of equal ones the smallest)."""
-        parts = labelled.groupBy("k", "comp").agg(F.count("*").alias("rows"))
-        largest = F.max_by("comp", F.struct("rows", -F.col("comp"))).alias("main")
-        found = parts.groupBy("k").agg(F.sum("rows").alias("size"), F.max("rows").alias("most"), largest)
-        return save(labelled.join(found.where("size > most"), "k"), "open")
+        close = save(close.where(near).select("hub", "doc").distinct(), "pairs")
+        found = save(confirmed(close, texts, percent), "links")
+        forget(close)
+        return found
 
     hubs = members.select("k", "hub", F.col("n").alias("hub_n")).where("rep = hub")
     first = members.where("rep != hub").drop("hub").join(hubs, "k").where(f"least(n, hub_n) * 100 >= greatest(n, hub_n) * {percent}")
-    links = compare(first.select("hub", F.col("rep").alias("doc")).distinct())
+    links = compare(first.select("hub", F.col("rep").alias("doc")).distinct()).union(same_id(filled, classes))
     joined = components(links)
-    rest = members.where("rep != hub").select("k", "c", "rep", "n")
-    labelled = save(rest.join(joined, rest.rep == joined.node, "left").select("k", "c", "rep", "n", F.coalesce("component", "rep").alias("comp")), "labelled")
-    rows = still_open(labelled)
-    if not rows.isEmpty():
-        # Buckets that are large and of many small components hold what merely shares a passage. A similar pair agrees
-        # in further chunks too, so these buckets are split by each two of a document's keys.
-        mixed = (F.col("size") > split_above) & (F.col("most") * 2 < F.col("size"))
-        of_doc = rows.where(mixed).groupBy("rep", "n", "comp").agg(F.collect_list(F.struct("c", "k")).alias("x"))
-        twos = of_doc.select("rep", "n", "comp", F.explode("x").alias("p"), "x").select("rep", "n", "comp", "p", F.explode("x").alias("q"))
-        twos = twos.where("p.c < q.c").select(F.xxhash64("p.k", "q.k").alias("k"), F.col("p.c").alias("c"), "rep", "n", "comp")
-        rows = rows.where(~mixed).union(still_open(twos))
-        # The open buckets of one main component make one cluster: a document comes once a cluster, not once a bucket.
-        held = save(rows.select(F.col("main").alias("cluster"), "rep", "comp", "n").distinct(), "clusters")
-        minor = F.col("comp") != F.col("cluster")
-        sizes = held.groupBy("cluster").agg(F.ceil(F.count("*") / block_rows).alias("n_j"), F.ceil(F.count_if(minor) / block_rows).alias("n_i"))
-        data = held.join(texts, held.rep == texts.doc_id).drop("doc_id").join(signs, "rep").join(sizes, "cluster")
-        part = F.xxhash64("rep")
-        members_of = data.select("*", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), F.pmod(part, "n_j").alias("j"), F.lit(0).alias("is_row"))
-        rows_of = data.where(minor).select("*", F.pmod(part, "n_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"), F.lit(1).alias("is_row"))
-        order = ["cluster", "i", "j", "is_row"]
-        dealt = members_of.unionByName(rows_of).repartition("cluster", "i", "j").sortWithinPartitions(*order)
-        dealt = dealt.select(*order, "rep", "comp", "n", *signs.columns[1:], "text")
-        last = save(dealt.mapInArrow(lambda batches: _across(batches, percent, furthest), "a long, b long"), "links")
-        joined = components(links.union(last))
-        forget(held)
-    forget(labelled)
-    forget(members, texts)
+    rest = members.where("rep != hub").select("k", "rep", "n")
+    labelled = rest.join(joined, rest.rep == joined.node, "left").select("k", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    # The rows of buckets with several components. The buckets with one largest component (of equal ones, the smallest)
+    # make one cluster: a document comes once a cluster, not once a bucket.
+    parts = labelled.groupBy("k", "comp").agg(F.count("*").alias("rows"))
+    largest = F.max_by("comp", F.struct("rows", -F.col("comp"))).alias("cluster")
+    several = parts.groupBy("k").agg(F.sum("rows").alias("size"), F.max("rows").alias("most"), largest).where("size > most")
+    held = save(labelled.join(several.select("k", "cluster"), "k").select("cluster", "rep", "comp", "n").distinct(), "clusters")
+    if not held.isEmpty():
+        last = across_components(held, texts, signs, percent, furthest, block_rows)
+        before, joined = joined, components(links.union(last))
+        forget(before, last)
+    forget(held, members, texts)
 
     found = classes.join(joined, classes.rep == joined.node, "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
     alone = shapes.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -59,8 +59,8 @@ def shingles(text):
     return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("split_above,block_rows", [(512, 128), (4, 3)])
-def test_near_duplicates(spark, split_above, block_rows):
+@pytest.mark.parametrize("block_rows", [128, 3])
+def test_near_duplicates(spark, block_rows):
     rows = near_rows()
     sets = {i: shingles(t) for i, t in rows if i is not None}
     parent = {i: i for i in sets}
@@ -77,7 +77,7 @@ def test_near_duplicates(spark, split_above, block_rows):
             if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    found = near_duplicates(frame(spark, rows), split_above=split_above, block_rows=block_rows).collect()
+    found = near_duplicates(frame(spark, rows), block_rows=block_rows).collect()
     assert len(found) == len(rows)
     for r in found:
         if r.doc_id is None:
@@ -86,6 +86,39 @@ def test_near_duplicates(spark, split_above, block_rows):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
 
 
+def test_bucket_of_many_small_components(spark):
+    """700 pairs of near copies that all have more than half their words from one passage: they share buckets of over 512
+    small components, and links inside them are found as in any other."""
+    rng = random.Random(31)
+    passage, rows = words_of(rng, 60, 5000), []
+    for i in range(700):
+        own = words_of(rng, 40, 5000)
+        copy = list(own)
+        copy[rng.randrange(20, 40)] = "changed"
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + copy))]
+    sets = [shingles(t) for _, t in rows]
+    held = defaultdict(list)
+    for i, own in enumerate(sets):
+        for x in own - sets[0]:
+            held[x].append(i)
+    links = {(min(x), max(x)) for x in held.values() if len(x) == 2}
+    assert links == {(2 * i, 2 * i + 1) for i in range(1, 700)}
+    assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in links)
+    assert 100 * len(sets[0] & sets[2]) < 75 * len(sets[0] | sets[2])
+    found = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows)).collect()}
+    assert found == {i: i - i % 2 for i in range(1400)}
+
+
+def test_near_duplicates_of_one_id(spark):
+    rng = random.Random(32)
+    a, b = words_of(rng, 100), words_of(rng, 100)
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "a b")]
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    rows = [(0, " ".join(b)), (1, " ".join(a)), (1, " ".join(b)), (2, near(a))]
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
     common = ["A" * 39, "b" * 40, "É" + "c" * 45, "  " + "B" * 40 + "\t", "d" * 50, "e" * 60]
