@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import read_rows_only
 from .words import ALNUM, slices
 
-FOUND = "doc_id long, n_words long, n_hit long, matches array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"
+MATCHES = "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"
 
 
 def suffix_array(ranks: np.ndarray, words: int) -> np.ndarray:
@@ -116,25 +116,35 @@ class Tests:
         return text[heads], item[heads], doc_word[heads], place[heads], run + size[heads] - 1
 
 
-def _searched(batches: Iterator[pa.RecordBatch], tests: Tests) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], tests: Tests, first_block: bool, last_block: bool) -> Iterator[pa.RecordBatch]:
+    """Rows with the matches of this block of tests behind those of the blocks before, and n_hit over all of them."""
     ids = np.array(tests.ids, object)
     for batch in batches:
         for part in slices(batch["text"], ALNUM):
+            own = batch.slice(part.lo, part.n)
             text, item, doc_word, item_word, n_words = tests.matches(part.word_hashes(), part.first)
-            edges = np.zeros(len(part.starts) + 1, np.int64)
-            np.add.at(edges, part.first[text] + doc_word, 1)
-            np.add.at(edges, part.first[text] + doc_word + n_words, -1)
-            hit = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
             found = pa.StructArray.from_arrays(
                 [pa.array(ids[item].tolist(), pa.string()), pa.array(doc_word), pa.array(item_word), pa.array(n_words)],
                 ["item_id", "doc_word", "item_word", "n_words"],
             )
+            if not first_block:
+                before = own["matches"]
+                text = np.concatenate([np.repeat(np.arange(part.n), before.value_lengths().to_numpy()), text])
+                order = np.argsort(text, kind="stable")
+                text, found = text[order], pa.concat_arrays([before.flatten().cast(found.type), found]).take(pa.array(order))
+                doc_word, n_words = (found.field(c).to_numpy(zero_copy_only=False) for c in ("doc_word", "n_words"))
+            edges = np.zeros(len(part.starts) + 1, np.int64)
+            np.add.at(edges, part.first[text] + doc_word, 1)
+            np.add.at(edges, part.first[text] + doc_word + n_words, -1)
+            hit = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
             offsets = np.searchsorted(text, np.arange(part.n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].slice(part.lo, part.n), pa.array(np.diff(part.first)), pa.array(hit[part.first[1:]] - hit[part.first[:-1]]),
-                 pa.ListArray.from_arrays(pa.array(offsets), found)],
-                ["doc_id", "n_words", "n_hit", "matches"],
-            )
+            out = {
+                "doc_id": own["doc_id"], "text": own["text"], "n_words": pa.array(np.diff(part.first)),
+                "n_hit": pa.array(hit[part.first[1:]] - hit[part.first[:-1]]), "matches": pa.ListArray.from_arrays(pa.array(offsets), found),
+            }
+            if last_block:
+                del out["text"]
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = 8_000_000) -> DataFrame:
@@ -146,25 +156,22 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, b
     words; items without words or without item_id match nothing; repeated items and documents are treated alike; empty
     tables give no rows or no matches.
 
-    The benchmark goes to the tasks in blocks of about block_chars characters (it is counted first). A benchmark of one
-    block needs no shuffle; for more, the documents are searched once a block and the blocks' matches are put together by
-    doc_id, so that rows which repeat a doc_id then give one row.
+    The benchmark goes to the tasks in blocks of about block_chars characters (it is counted first), one behind the other
+    in the same tasks: each adds its matches to the rows that the one before gave, so rows stay rows and nothing is
+    shuffled, however many blocks there are. Whole texts are searched; one longer than a slice is a shard of its own.
+    Further columns of either table are not read, so their names can't clash.
     """
     docs = read_rows_only(docs, doc_id="doc_id", text="text")
     items = read_rows_only(benchmark, item_id="item_id", text="text").where("item_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("string"), "text").distinct()
     n_blocks = -(-(items.agg(F.sum(F.length("text") + 100)).first()[0] or 1) // block_chars)
-    found = None
+    found = docs
     for block in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
-        tests = Tests([tuple(r) for r in own.collect()], window)
-        sent = docs.sparkSession.sparkContext.broadcast(tests)
-        part = docs.mapInArrow(lambda batches, sent=sent: _searched(batches, sent.value), FOUND)
-        found = part if found is None else found.union(part)
-    if n_blocks > 1:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-        words = F.flatten(F.transform("matches", lambda m: F.sequence(m["doc_word"], m["doc_word"] + m["n_words"] - 1)))
-        found = found.select("doc_id", "n_words", F.size(F.array_distinct(words)).cast("long").alias("n_hit"), "matches")
+        sent = docs.sparkSession.sparkContext.broadcast(Tests([tuple(r) for r in own.collect()], window))
+        ends = block == 0, block == n_blocks - 1
+        schema = "doc_id long, " + ("" if ends[1] else "text string, ") + f"n_words long, n_hit long, matches {MATCHES}"
+        found = found.mapInArrow(lambda batches, sent=sent, ends=ends: _searched(batches, sent.value, *ends), schema)
     return found
 
 

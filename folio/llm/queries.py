@@ -16,7 +16,7 @@ from .quality import quality_rules
 from .sentencepieces import encode_and_decode, load_model
 from .substrings import repeated_passages
 from .toxicity import toxicity
-from .urlfilter import filter_urls
+from .urlfilter import filter_urls, thin_pages
 from .warc import resolve_revisits
 
 
@@ -93,7 +93,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, thin_pages(pages))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -165,11 +166,13 @@ SELECT record_id, canonical, response_id, outcome, CASE WHEN outcome = 'resolved
 
 OP10 = """
 WITH r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) v(verdict, h, p)),
-cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), ABC) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+cut AS (SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), ABC) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(r.verdict, length(h || p)) AS verdict FROM parts JOIN r
-  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+listed AS (SELECT DISTINCT host || path AS key FROM parts WHERE host || path <> '' AND len(regexp_extract_all(html, '<p[ >]')) < 2)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits USING (page_id) LEFT JOIN listed ON host || path = key
 """.replace("ABC", ABC)
 
 
