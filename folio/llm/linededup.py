@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, read_rows_only, save
+from .common import delete, new_path, read_rows_only, save
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,45 +32,65 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Runs of (h1, h2, n_docs, last_doc), each a table sorted by the hash within its partitions.
-
-    A new batch becomes a run of level 0. Whenever a level holds `fan_in` runs they are merged into one run of the next
-    level, so a hash is rewritten once a level, and the number of runs grows as the logarithm of the batches. A
-    document's lines must come in one batch.
+    """Runs of (h1, h2, n_docs, last_doc): partitions of one table in `buckets` buckets by the hash, each sorted by it.
+
+    A new batch's keys are merge-anti-joined with the runs: keys that the runs already know as common, and whose largest
+    document they know too, tell nothing new and are left out. The others become a run of level 0. Whenever a level holds
+    `fan_in` runs they are merged into one run of the next level, so a hash is rewritten once a level, and the number of
+    runs grows as the logarithm of the batches. As all runs are bucketed alike, neither join nor merge moves a run's rows:
+    only a batch's own counted keys are shuffled. A document's lines must come in one batch. The table is named in the
+    session's catalog until close().
     """
 
-    def __init__(self, fan_in: int = 3):
-        self.fan_in, self.levels = fan_in, [[]]
+    def __init__(self, spark: SparkSession, min_docs: int, fan_in: int = 3, buckets: int | None = None):
+        self.spark, self.min_docs, self.fan_in, self.levels, self.n_runs = spark, min_docs, fan_in, [[]], 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"runs_{uuid.uuid4().hex}"
+        self.path = new_path(spark, self.name)
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[int]:
         return [run for level in self.levels for run in level]
 
+    def _write(self, rows: DataFrame) -> int:
+        self.n_runs += 1
+        rows = rows.withColumn("run", F.lit(self.n_runs))
+        (
+            rows.write.mode("append").partitionBy("run").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+            .option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        )
+        return self.n_runs
+
+    def merged(self, runs: list[int] | None = None) -> DataFrame:
+        """All keys of the runs with their counts, from a grouped scan of the buckets."""
+        rows = self.spark.table(self.name).where(F.col("run").isin(self.runs() if runs is None else runs))
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+
+    def common(self) -> DataFrame:
+        return self.merged().where(F.col("n_docs") >= self.min_docs).select("h1", "h2", "last_doc")
+
     def add(self, batch: DataFrame) -> None:
         """batch: rows of hashed_lines(). A document counts once for a key however often it has it."""
-        held = batch.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
-        run = held.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        self.levels[0].append(save(run.sortWithinPartitions("h1", "h2"), "run-0"))
+        held = batch.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        held = held.repartition(self.buckets, "h1", "h2")
+        if self.runs():
+            known = self.common().withColumnRenamed("last_doc", "known_last").hint("merge")
+            same = (held.h1 == known.h1) & (held.h2 == known.h2) & (held.last_doc <= known.known_last)
+            held = held.join(known, same, "left_anti")
+        self.levels[0].append(self._write(held))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fan_in:
-                merged = save(self._merged(self.levels[level]).sortWithinPartitions("h1", "h2"), f"run-{level + 1}")
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(merged)
-                forget(*self.levels[level])
+                self.levels[level + 1].append(self._write(self.merged(self.levels[level])))
+                for run in self.levels[level]:
+                    delete(self.spark, f"{self.path}/run={run}")
                 self.levels[level] = []
+                self.spark.catalog.refreshTable(self.name)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        if len(runs) == 1:
-            return runs[0]
-        return reduce(DataFrame.union, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def merge_anti_join(self, batch: DataFrame, min_docs: int) -> DataFrame:
-        """The rows of batch that stay: those whose key fewer than min_docs documents of the runs hold, and those of the
-        largest document that holds it. Both sides meet in hash order; a hot key's rows are split among tasks."""
-        common = save(self._merged(self.runs()).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "common")
-        same = (batch.h1 == common.h1) & (batch.h2 == common.h2) & (batch.doc_id < common.last_doc)
-        return batch.join(common, same, "left_anti")
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+        self.levels = [[]]
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, carry: list[str] | None = None) -> DataFrame:
@@ -83,16 +103,26 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     A text that loses all its lines becomes empty. Rows that repeat a doc_id are taken for the same document and get the
     same result each. Lines of rows without doc_id are neither counted nor dropped. An empty table gives no rows.
 
-    The lines' hashes go through LineRuns in `batches` batches of documents, as crawls would arrive.
+    Very long texts and lines are dealt with whole. Columns of docs that are not in carry are not read, so their names
+    can't clash.
+
+    The lines' hashes go through LineRuns in `batches` batches of documents, as crawls would arrive, from the largest ids
+    to the smallest: a key that is common already then keeps its largest document, and later batches add nothing to it.
+    Which lines of the early batches go is known only when all batches have come, so lines are dropped once, at the end,
+    by the keys that the runs hold as common.
     """
     carried = {f"carried_{i}": c for i, c in enumerate(carry or [])}
     docs = read_rows_only(docs, doc_id="doc_id", text="text", **carried)
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    batch = sum(((F.col("doc_id") <= c).cast("int") for c in cuts or []), F.lit(0))
     lines = save(hashed_lines(docs.select("doc_id", "text"), min_chars).withColumn("batch", batch), "lines", partition_by="batch")
-    runs = LineRuns()
+    runs = LineRuns(docs.sparkSession, min_docs)
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i))
-    stay = runs.merge_anti_join(lines, min_docs).groupBy("doc_id").agg(F.collect_list("pos").alias("stay"))
+    common = save(runs.common(), "common")
+    runs.close()
+    same = (lines.h1 == common.h1) & (lines.h2 == common.h2) & (lines.doc_id < common.last_doc)
+    stay = lines.join(common, same, "left_anti").groupBy("doc_id").agg(F.collect_list("pos").alias("stay"))
     split = docs.join(stay, "doc_id", "left").withColumn("lines", split_lines(F.col("text")))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     short = F.filter(places, lambda i: F.length(F.btrim(F.get("lines", i), F.lit(WHITE))) < min_chars)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from .common import read_rows_only
 from .words import slices
 
 MARK = "▁"
+#: Texts of more characters are segmented in parts.
+LONG = 1 << 21
 CHUNK = re.compile(r" *[^ \n]+|\n| +")
 
 
@@ -57,7 +59,18 @@ class ChunkTable:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text with begin and end ids, as SentencePieceProcessor.encode gives them."""
-        chunks = [CHUNK.findall(self.prefix + t.replace(MARK, " ")) if t else [] for t in texts]
+        if sum(map(len, texts)) <= LONG:
+            return [np.concatenate([self.ends[0], x, self.ends[1]]) for x in self._segmented([CHUNK.findall(self.prefix + t.replace(MARK, " ")) if t else [] for t in texts])]
+        out = []
+        for t in texts:  # a long text's chunks are met some at a time
+            chunks = CHUNK.finditer(self.prefix + t.replace(MARK, " ")) if t else iter(())
+            parts = [self.ends[0]]
+            while some := [m[0] for m in islice(chunks, 100_000)]:
+                parts += self._segmented([some])
+            out.append(np.concatenate([*parts, self.ends[1]]))
+        return out
+
+    def _segmented(self, chunks: list[list[str]]) -> list[np.ndarray]:
         met = set(chain.from_iterable(chunks))
         new = [x for x in met if x not in self.at]
         if new and len(self.at) + len(new) > self.max_chunks:
@@ -70,7 +83,7 @@ class ChunkTable:
             rows = np.fromiter(map(self.at.__getitem__, own), np.int64, len(own))
             size = self.size[rows]
             places = np.arange(int(size.sum())) + np.repeat(self.start[rows] - np.cumsum(size) + size, size)
-            out.append(np.concatenate([self.ends[0], self.ids[places], self.ends[1]]))
+            out.append(self.ids[places])
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -96,7 +109,7 @@ def encode_and_decode(docs: DataFrame, model: bytes, max_chunks: int = 400_000)
     model: the bytes of a SentencePiece BPE model file. ids: begin id, the ids of the whole text exactly as the library
     gives them, end id, packed as little-endian unsigned 32-bit integers. decoded: the library's decode() of them. Null
     and empty texts have the begin and end ids only. Rows are independent: nothing is shuffled, repeated rows and null
-    ids pass as they are, an empty table gives no rows. A slice of texts with more distinct chunks than max_chunks is
+    ids pass as they are, an empty table gives no rows; other columns are not read, so their names can't clash. A slice with more distinct chunks than max_chunks is
     still encoded whole; the bound is then that slice's.
     """
     docs = read_rows_only(docs, doc_id="doc_id", text="text")

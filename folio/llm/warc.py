@@ -1,9 +1,9 @@
 """Not-modified revisits of a web archive, resolved by an as-of join (operator 8).
 
 A revisit record says that the page had not changed; its content is that of the latest earlier full response for the same
-canonical URL. Time is cut into spans: inside a span the latest response comes from a window over (url, span); from
-earlier spans only each span's last response is carried on, in a window over one row a span. However often one URL was
-captured, no task holds more than a span of it.
+canonical URL. All captures are dealt to parts by ranges of (URL, time, id), so one URL's captures fill as many parts as
+they need. Inside a part a window carries the latest response, with its headers, to the revisits; from earlier parts only
+each part's last response of a URL is carried on, in a window over one row a part. No record is joined back by its id.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_rows_only
+from .common import read_rows_only, save
 
 #: Headers of a not-modified answer that replace the stored ones; all others stay as they were stored.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age")
@@ -38,7 +38,7 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
     return F.map_concat(stored, fresh)
 
 
-def resolve_revisits(records: DataFrame, span_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """records(record_id long, url, ts timestamp, kind 'response' or 'revisit', headers map of lower-case names) ->
     for each revisit (record_id, canonical, ts, response_id, outcome, headers).
 
@@ -46,23 +46,29 @@ def resolve_revisits(records: DataFrame, span_seconds: int = 86_400) -> DataFram
     have one (weak ones compare by what they name), else Last-Modified where both have it. outcome: `resolved`, with the
     merged headers; `mismatch` where a validator differs; `unchecked` where they share none, taken for unresolved;
     `no response`. All but the first have null headers; only the first and second name the response, as does unchecked.
-    Revisits without url, ts or record_id have no response. Other kinds and null kinds are left out. Repeated rows are
-    answered alike. record_id is expected to be unique among responses; of equal ones any may give the headers.
+    Revisits without url, ts or record_id have no response, and take no part in the shuffles. Other kinds and null kinds
+    are left out. Repeated rows are answered alike. record_id is expected to be unique among responses; of equal ones at
+    the same time any may give the headers. Long urls are compared whole; an empty table gives no rows. Further columns
+    are not read, so their names can't clash.
     """
     columns = {c: c for c in ("record_id", "url", "ts", "kind", "headers")}
     rows = read_rows_only(records, **columns).where("kind in ('response', 'revisit')").withColumn("canonical", canonical_url(F.col("url")))
-    rows = rows.withColumn("span", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (span_seconds * 1_000_000)))
+    rows = rows.withColumns({"ts": F.col("ts").cast("timestamp"), "asks": F.col("kind") == "revisit"})
     placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
-    is_response = F.col("kind") == "response"
-    marks = rows.where(placed).select("canonical", "span", "ts", "record_id", F.when(is_response, F.col("record_id")).alias("own"), (~is_response).alias("asks"))
-    inside = Window.partitionBy("canonical", "span").orderBy("ts", "record_id", "asks").rowsBetween(Window.unboundedPreceding, -1)
-    asked = marks.withColumn("found", F.last("own", ignorenulls=True).over(inside)).where("asks").select("canonical", "span", "record_id", "found").distinct()
-    lasts = marks.groupBy("canonical", "span").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("ts", "record_id"))).alias("last"))
-    before = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select("canonical", "span", F.last("last.record_id", ignorenulls=True).over(before).alias("carried"))
-    answers = asked.join(carried, ["canonical", "span"]).select("record_id", F.coalesce("found", "carried").alias("response_id")).groupBy("record_id").agg(F.max("response_id").alias("response_id"))
-    stored = rows.where(is_response).groupBy("record_id").agg(F.first("headers").alias("stored")).withColumnRenamed("record_id", "response_id")
-    out = rows.where(~is_response).join(answers, "record_id", "left").join(stored, "response_id", "left")
+    rows = rows.select("canonical", "ts", "record_id", "asks", "headers")
+    dealt = rows.where(placed).repartitionByRange("canonical", "ts", "record_id", "asks").withColumn("part", F.spark_partition_id())
+    dealt = save(dealt, "captures")  # a part is what it was when it was written, whatever is computed again
+    response = F.when(~F.col("asks"), F.struct("record_id", "headers"))
+    inside = Window.partitionBy("canonical", "part").orderBy("ts", "record_id", "asks").rowsBetween(Window.unboundedPreceding, -1)
+    asked = dealt.withColumn("found", F.last(response, ignorenulls=True).over(inside)).where("asks")
+    lasts = dealt.where("not asks").groupBy("canonical", "part").agg(F.max_by(F.struct("record_id", "headers"), F.struct("ts", "record_id")).alias("last"))
+    firsts = dealt.groupBy("canonical", "part").agg(F.max("asks").alias("asks")).join(lasts, ["canonical", "part"], "left")
+    before = Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = firsts.withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("asks and carried is not null").select("canonical", "part", "carried")
+    joined = asked.join(carried, ["canonical", "part"], "left").withColumn("answer", F.coalesce("found", "carried"))
+    columns = ["record_id", "canonical", "ts", "headers"]
+    alone = rows.where(F.col("asks") & ~placed).select(*columns, F.lit(None).cast(dict(joined.dtypes)["answer"]).alias("answer"))
+    out = joined.select(*columns, "answer").union(alone).select(*columns, F.col("answer.record_id").alias("response_id"), F.col("answer.headers").alias("stored"))
 
     def tag(headers: str) -> Column:
         return F.regexp_replace(F.try_element_at(headers, F.lit("etag")), "^W/", "")
@@ -71,7 +77,7 @@ def resolve_revisits(records: DataFrame, span_seconds: int = 86_400) -> DataFram
         return F.try_element_at(headers, F.lit("last-modified"))
 
     fresh, old = F.col("headers"), F.col("stored")
-    same = F.coalesce(tag(fresh) == tag(old), modified(fresh) == modified(old))
+    same = F.coalesce(tag("headers") == tag("stored"), modified("headers") == modified("stored"))
     outcome = F.when(F.col("response_id").isNull(), "no response").when(same, "resolved").when(~same, "mismatch").otherwise("unchecked")
     out = out.withColumn("outcome", outcome)
     return out.select("record_id", "canonical", "ts", "response_id", "outcome", F.when(F.col("outcome") == "resolved", merged_headers(old, fresh)).alias("headers"))

@@ -144,12 +144,23 @@ def test_line_dedup(spark):
 
 def test_line_runs_are_compacted(spark):
     lines = hashed_lines(frame(spark, [(i, "x" * 40 + str(i % 3)) for i in range(27)]), 40)
-    runs = LineRuns(fan_in=3)
+    whole, runs = LineRuns(spark, 100), LineRuns(spark, 100, fan_in=3, buckets=3)
+    whole.add(lines)
     for i in range(9):
         runs.add(lines.where(F.col("doc_id") % 9 == i))
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert sorted(r.n_docs for r in runs.runs()[0].collect()) == [9, 9, 9]
-    assert runs.merge_anti_join(lines, 5).count() == 3 and runs.merge_anti_join(lines, 10).count() == 27
+    assert sorted(r.n_docs for r in runs.merged().collect()) == [9, 9, 9] and sorted(runs.merged().collect()) == sorted(whole.merged().collect())
+    runs.close()
+    whole.close()
+    # Keys that are common already add nothing, unless a larger document holds them.
+    runs = LineRuns(spark, 2, fan_in=9, buckets=3)
+    for ids in ((20, 21, 22, 23, 24, 25), (1, 2, 3), (26,)):
+        runs.add(lines.where(F.col("doc_id").isin(*ids)))
+    assert [spark.table(runs.name).where(F.col("run") == run).count() for run in runs.runs()] == [3, 0, 1]
+    assert sorted(r.last_doc for r in runs.common().collect()) == [24, 25, 26]
+    plan = runs.merged()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    runs.close()
 
 
 def test_decontamination(spark):
@@ -257,8 +268,10 @@ def test_revisits(spark):
         (6, None, "2020-03-01 00:00:00", "revisit", None), (7, "http://a.com/", None, "revisit", None), (8, "http://a.com/", "2020-03-02 00:00:00", None, None), (9, "http://a.com/", "2020-03-03 00:00:00", "revisit", tag()),
     ]
     records = spark.createDataFrame(rows, "record_id long, url string, ts string, kind string, headers map<string,string>").withColumn("ts", F.col("ts").cast("timestamp"))
-    for span in (60, 86_400, 10**9):
-        found = {r.record_id: r for r in resolve_revisits(records, span).collect()}
+    records = records.withColumns({"part": F.lit("x"), "found": F.lit(1), "canonical": F.lit("no")})
+    for partitions in ("1", "4"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found = {r.record_id: r for r in resolve_revisits(records).collect()}
         assert {i: (r.response_id, r.outcome) for i, r in found.items()} == {
             2: (1, "resolved"), 3: (1, "mismatch"), 4: (None, "no response"), 5: (None, "no response"), 6: (None, "no response"), 7: (None, "no response"), 9: (1, "unchecked")
         }
