@@ -6,9 +6,9 @@ Paragraphs of equal shingle sets are one class. Classes that collide in a band a
 bucket, the exact Jaccard similarity is verified, confirmed links make components, and paragraphs whose component spans
 several documents are shared.
 
-Verbatim runs need no paragraphs. The smallest 8-word hash of every window of min_passage words is an anchor, so a run of
-that length has the same anchors wherever it stands. Around anchors of several documents all 8-word hashes are compared,
-which gives each run to its exact ends. Shared paragraphs and runs that lie close together make the passages.
+Verbatim runs need no paragraphs. The smallest 16-word hash of every window of min_passage words is an anchor, so a run of
+that length has the same anchors wherever it stands. Around anchors of several documents 8-word hashes are compared, all
+of them at the ends, which gives each run to its exact ends. Shared paragraphs and runs that lie close together make the passages.
 
 The texts are read twice. The first reading gives every band key and anchor to one aggregation, which finds the keys that
 more than one paragraph or document has. A bit map of fixed size says which these may be. The second reading gives only
@@ -35,7 +35,10 @@ from .words import BYTE_CODES, NOT_SPACE, U64, Slice, constants, mix, slices
 BANDS, ROWS = 6, 2
 MULTIPLY, ADD = constants(BANDS * ROWS, 21) | U64(1), constants(BANDS * ROWS, 22)
 SIZE, LONG = 5, 32
-GRAM = 8
+#: Runs are compared by hashes of GRAM words. Anchors are hashes of ANCHOR words: longer, so that common phrases have none.
+GRAM, ANCHOR = 8, 16
+#: Inside a run, of every STEP hashes in a row the smallest is compared; at its ends all are.
+STEP = 12
 END = np.zeros(256, bool)
 END[list(b".!?")] = True
 
@@ -108,22 +111,53 @@ def _band_keys(shingles: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _anchors(part: Slice, min_passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of GRAM words from each word on, and of each window of min_passage words inside one text: its first
-    word, its text and its smallest hash."""
-    words, factors = part.word_hashes(BYTE_CODES), constants(GRAM, 6) | U64(1)
-    grams = np.zeros(max(0, len(words) - GRAM + 1), U64)
-    for k in range(GRAM):
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of `size` words from each word on."""
+    factors = constants(size, 6) | U64(1)
+    grams = np.zeros(max(0, len(words) - size + 1), U64)
+    for k in range(size):
         grams += words[k : k + len(grams)] * factors[k]
-    grams = mix(grams)
-    lowest, width, wanted = grams, 1, min_passage - GRAM + 1
-    while width < wanted and len(lowest):
-        step = min(width, wanted - width)
-        lowest, width = np.minimum(lowest[: max(0, len(lowest) - step)], lowest[step:]), width + step
+    return mix(grams)
+
+
+def _slide(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The smallest (or largest) of each `width` values in a row."""
+    have = 1
+    while have < width and len(values):
+        step = min(have, width - have)
+        values, have = best(values[: max(0, len(values) - step)], values[step:]), have + step
+    return values
+
+
+def _anchor_size(min_passage: int) -> int:
+    return min(ANCHOR, max(GRAM, min_passage))
+
+
+def _compared(grams: np.ndarray, inside: np.ndarray, margin: int) -> np.ndarray:
+    """Places of the hashes to compare, of those inside: all within `margin` of an end of their stretch, and the smallest of
+    every STEP in a row, which are the same wherever the words stand."""
+    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    wanted = np.zeros(len(grams) + 1, np.int32)
+    for a, b in ((edges[::2], np.minimum(edges[::2] + margin, edges[1::2])), (np.maximum(edges[1::2] - margin, edges[::2]), edges[1::2])):
+        np.add.at(wanted, a, 1)
+        np.add.at(wanted, b, -1)
+    chosen = np.cumsum(wanted)[:-1] > 0
+    if len(grams) >= STEP:
+        lowest = _slide(grams, STEP, np.minimum)
+        ends = np.concatenate([np.zeros(STEP - 1, U64), lowest, np.zeros(STEP - 1, U64)])
+        chosen |= grams == _slide(ends, STEP, np.maximum)
+    return np.flatnonzero(chosen & inside)
+
+
+def _anchors(part: Slice, words: np.ndarray, min_passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of min_passage words inside one text: its first word, its text and the smallest hash of its ANCHOR (or,
+    in shorter windows, GRAM) consecutive words."""
+    size = _anchor_size(min_passage)
+    lowest = _slide(_grams(words, size), min_passage - size + 1, np.minimum)
     sizes = np.maximum(np.diff(part.first) - min_passage + 1, 0)
     text = np.repeat(np.arange(part.n), sizes)
     at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + part.first[text]
-    return grams, at, text, mix(lowest[at])
+    return at, text, mix(lowest[at])
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch], min_words: int, min_passage: int) -> Iterator[pa.RecordBatch]:
@@ -132,7 +166,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch], min_words: int, min_passage: in
         docs = batch["doc_id"].to_numpy()
         for part in slices(batch["text"], NOT_SPACE):
             own = docs[part.lo : part.lo + part.n]
-            _, _, text, lowest = _anchors(part, min_passage)
+            _, text, lowest = _anchors(part, part.word_hashes(BYTE_CODES), min_passage)
             new = np.ones(len(text), bool)
             new[1:] = (lowest[1:] != lowest[:-1]) | (text[1:] != text[:-1])
             k, x = [lowest[new]], [own[text[new]].view(U64)]
@@ -148,8 +182,7 @@ FOUND = "h long, high long, low long, doc_id long, start_word long, n_words long
 
 
 def _found_rows(batches: Iterator[pa.RecordBatch], min_words: int, min_passage: int, bits: np.ndarray, map_bits: int) -> Iterator[pa.RecordBatch]:
-    """What the map holds, in rows of FOUND: all 8-word hashes inside windows with such an anchor (h, doc_id, start_word),
-    and paragraphs with such a band key, with those keys and their shingles."""
+    """What the map holds, in rows of FOUND: 8-word hashes inside windows with such an anchor (h, doc_id, start_word), and paragraphs with such a band key, with those keys and their shingles."""
 
     def may_be_shared(keys: np.ndarray) -> np.ndarray:
         place = keys >> U64(64 - map_bits)
@@ -160,12 +193,14 @@ def _found_rows(batches: Iterator[pa.RecordBatch], min_words: int, min_passage:
         docs = batch["doc_id"].to_numpy()
         for part in slices(batch["text"], NOT_SPACE):
             own = docs[part.lo : part.lo + part.n]
-            grams, at, _, lowest = _anchors(part, min_passage)
+            words = part.word_hashes(BYTE_CODES)
+            grams = _grams(words, GRAM)
+            at, _, lowest = _anchors(part, words, min_passage)
             at = at[may_be_shared(lowest)]
             near = np.zeros(len(grams) + 1, np.int32)
             near[at] += 1
             near[at + min_passage - GRAM + 1] -= 1
-            at = np.flatnonzero(np.cumsum(near)[:-1])
+            at = _compared(grams, np.cumsum(near)[:-1] > 0, min_passage - _anchor_size(min_passage) + 1)
             if len(at):
                 text, n = np.searchsorted(part.first, at, "right") - 1, len(at)
                 none = [pa.nulls(n, pa.int64())] * 2
@@ -217,25 +252,29 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _runs(rows: pa.Table, min_passage: int) -> pa.RecordBatch:
-    """Shared hashes -> runs of hashes at consecutive words that span min_passage words, cut where first_doc changes."""
+    """Shared hashes -> runs of hashes at most STEP words apart that span min_passage words, cut where first_doc changes."""
     doc, start, first_doc = (rows[c].to_numpy() for c in ("doc_id", "start_word", "first_doc"))
     order = np.lexsort((first_doc, start, doc))
     doc, start, first_doc = doc[order], start[order], first_doc[order]
     once = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
     doc, start, first_doc = doc[once], start[once], first_doc[once]
-    apart = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(start) > 1))
+    apart = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(start) > STEP))
     heads = np.flatnonzero(apart)
-    sizes = np.diff(np.append(heads, len(doc)))
-    whole = np.repeat(sizes + GRAM - 1 >= min_passage, sizes)
+    ends = start[np.append(heads[1:], len(doc)) - 1] + GRAM
+    run = np.cumsum(apart) - 1
     heads = np.flatnonzero(apart | np.append(True, first_doc[1:] != first_doc[:-1]))
-    sizes = np.diff(np.append(heads, len(doc))) + GRAM - 1
-    columns = (doc[heads], start[heads], sizes, first_doc[heads])
-    return pa.RecordBatch.from_arrays([pa.array(x[whole[heads]]) for x in columns], ["doc_id", "start_word", "n_words", "first_doc"])
+    # A part of a run goes on to the next part's beginning, or to the run's end.
+    last, follows = np.append(heads[1:], len(doc)) - 1, np.append(run[heads[1:]] == run[heads[:-1]], False)
+    until = np.where(follows, np.maximum(start[last] + GRAM, start[np.minimum(last + 1, len(doc) - 1)]), start[last] + GRAM)
+    whole = (ends - start[apart])[run[heads]] >= min_passage
+    columns = (doc[heads], start[heads], until - start[heads], first_doc[heads])
+    return pa.RecordBatch.from_arrays([pa.array(x[whole]) for x in columns], ["doc_id", "start_word", "n_words", "first_doc"])
 
 
 def verbatim_runs(grams: DataFrame, min_passage: int) -> DataFrame:
-    """grams(h, doc_id, start_word) -> (doc_id, start_word, n_words, first_doc): runs whose every GRAM words another document
-    has too, in full length; parts of a run with a different smallest document are rows of their own and overlap."""
+    """grams(h, doc_id, start_word) -> (doc_id, start_word, n_words, first_doc): runs that other documents have too, to their
+    exact ends where unshared words follow; parts of a run with a different smallest document are rows of their own and
+    may overlap. Inside a run, a few words that no other document has may be passed over."""
     spread = grams.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc != last_doc").select("h", "first_doc")
     rows = grams.join(spread, "h").select("doc_id", "start_word", "first_doc").repartition("doc_id").sortWithinPartitions("doc_id")
     schema = "doc_id long, start_word long, n_words long, first_doc long"
