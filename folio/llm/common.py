@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths written inside each open scratch() block, the innermost last.
 _open_blocks: list[list[tuple[SparkSession, str]]] = []
 
@@ -43,7 +44,13 @@ def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    # The result is read from its files from now on, so the shuffle files of this one command can go when it ends.
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

@@ -6,7 +6,7 @@ Paragraphs of equal shingle sets are one class. Classes that collide in a band a
 bucket, the exact Jaccard similarity is verified, confirmed links make components, and paragraphs whose component spans
 several documents are shared.
 
-Verbatim runs need no paragraphs. The smallest 16-word hash of every window of min_passage words is an anchor, so a run of
+Verbatim runs need no paragraphs. The smallest 12-word hash of every window of min_passage words is an anchor, so a run of
 that length has the same anchors wherever it stands. Around anchors of several documents 8-word hashes are compared, all
 of them at the ends, which gives each run to its exact ends. Shared paragraphs and runs that lie close together make the passages.
 
@@ -18,7 +18,6 @@ rows and never changes a result.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +29,13 @@ from .common import forget, read_rows_only, save
 from .components import components
 from .words import BYTE_CODES, NOT_SPACE, U64, Slice, constants, mix, slices
 
-#: Bands of two rows: at a similarity of 0.75 a pair is missed by all with a probability of 0.4375 ** 6, or 0.7 %; at
-#: 0.9 with one of 0.005 %. Equal paragraphs are never missed.
-BANDS, ROWS = 6, 2
+#: Bands of two rows: at a similarity of 0.75 a pair is missed by all with a probability of 0.4375 ** 5, or 1.6 %; at
+#: 0.9 with one of 0.025 %. Equal paragraphs are never missed.
+BANDS, ROWS = 5, 2
 MULTIPLY, ADD = constants(BANDS * ROWS, 21) | U64(1), constants(BANDS * ROWS, 22)
 SIZE, LONG = 5, 32
 #: Runs are compared by hashes of GRAM words. Anchors are hashes of ANCHOR words: longer, so that common phrases have none.
-GRAM, ANCHOR = 8, 16
+GRAM, ANCHOR = 8, 12
 #: Inside a run, of every STEP hashes in a row the smallest is compared; at its ends all are.
 STEP = 12
 END = np.zeros(256, bool)
@@ -395,9 +394,6 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = 8, mi
     docs = read_rows_only(docs, doc_id="doc_id", text="text").where("doc_id is not null")
     keys = docs.mapInArrow(lambda batches: _key_rows(batches, min_words, min_passage), "k long, x long")
     keys = save(keys.groupBy("k").agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least != most").select("k"), "shared-keys")
-    # Spark deletes shuffle files once the JVM has collected their plans; these are not to lie beside the later ones.
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
     sent = docs.sparkSession.sparkContext.broadcast(_bit_map(keys, map_bits))
     forget(keys)
     found = save(docs.mapInArrow(lambda batches: _found_rows(batches, min_words, min_passage, sent.value, map_bits), FOUND), "found")
