@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,12 +14,17 @@ from pyspark.sql.window import Window
 from ..contracts import REPLY
 from ..functions.text import estimated_tokens, excerpt, year_candidates
 
+#: Letters with one accent in Latin scripts and the letters under them.
+ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1)
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 LEGAL = r"( (inc|corp|corporation|co|company|ltd|limited|plc|llc|lp|group|holdings|public limited company))+$"
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, letters and digits only, single blanks, a blank at each end, so that phrases are matched whole."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """Lower case without accents, letters and digits only, single blanks, a blank at each end, so that phrases are matched
+    whole."""
+    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(plain, r"\p{M}+", ""), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def short_name(name: Column) -> Column:
@@ -31,10 +37,12 @@ def aliases(names: DataFrame) -> DataFrame:
     return both.where("alias is not null and alias != ''").distinct()
 
 
-def resolve(questions: DataFrame, known: DataFrame, max_words: int = 6) -> DataFrame:
+def resolve(questions: DataFrame, known: DataFrame) -> DataFrame:
     """questions(qid, question), known(ticker, alias) -> (qid, tickers, ticker, years, fiscal_year, ambiguous_company,
     ambiguous_year). A question names a company by an alias as a whole phrase or by its ticker in capitals. A value is given
-    only where there is exactly one candidate. Phrases of up to max_words words are joined with the aliases by equality."""
+    only where there is exactly one candidate. Phrases of as many words as the longest alias has are joined with the aliases by
+    equality."""
+    max_words = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     words = F.split(F.trim(normalised(F.col("question"))), " ")
     spans = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " ")))))
     phrases = questions.select("qid", words.alias("w")).select("qid", spans.alias("alias")).distinct()

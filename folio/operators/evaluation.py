@@ -83,14 +83,12 @@ def breakdown(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def diagnostics(rows: DataFrame) -> DataFrame:
-    """(problem, qids in order): questions without results and labelled questions that were missed. The lists are as long as
-    the problems are many; they are joined text for a report."""
+    """(problem, qid): a row for each question without results, labelled and missed, or unlabelled."""
     kinds = F.array_compact(F.array(
         F.when(F.col("n_results") == 0, F.lit("empty")), F.when((F.col("n_labels") > 0) & F.col("first_rank").isNull(), F.lit("missed")),
         F.when(F.col("n_labels") == 0, F.lit("unlabelled")),
     ))
-    each = rows.select("qid", F.explode(kinds).alias("problem"))
-    return each.groupBy("problem").agg(F.array_join(F.transform(F.array_sort(F.collect_list("qid")), lambda x: x.cast("string")), ",").alias("qids"))
+    return rows.select(F.explode(kinds).alias("problem"), "qid")
 
 
 def round_robin(rows: DataFrame, category: str, order: str, limit: int) -> DataFrame:
@@ -129,10 +127,12 @@ def topic_labels(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def score_summary(answers: DataFrame, metric_columns: list[str]) -> DataFrame:
     """answers(status, category, latency_ms, scores): averages of the scores that there are, NaN taken for null, rounded to
-    3 places; the median latency is the upper middle one."""
+    3 places; the median latency is the upper middle one, taken by rank."""
     clean = [F.round(F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))), 3).alias(c) for c in metric_columns]
-    ordered = F.array_sort(F.collect_list("latency_ms"))
-    return answers.groupBy("category").agg(
+    by = Window.partitionBy("category")
+    timed = answers.withColumn("place", F.row_number().over(by.orderBy(F.col("latency_ms").asc_nulls_last()))).withColumn("timed", F.count("latency_ms").over(by))
+    median = F.max(F.when(F.col("place") == F.floor(F.col("timed") / 2) + 1, F.col("latency_ms")))
+    return timed.groupBy("category").agg(
         F.count("*").alias("n"), F.count_if(F.col("status") == "answered").alias("answered"), *clean,
-        F.try_element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1).alias("median_latency_ms"),
+        median.alias("median_latency_ms"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -36,10 +37,9 @@ def equals_or_in(**wanted: object) -> Column | None:
 
 
 def company_year(ticker: str, fiscal_year: int) -> Column:
-    """The mandatory filter of a search, checked before any plan is made."""
-    import re
-
-    if not re.fullmatch(r"[A-Z][A-Z0-9.\-]{0,11}", ticker or ""):
+    """The mandatory filter of a search, checked before any plan is made. A ticker is trimmed and put in capitals."""
+    ticker = (ticker or "").strip().upper()
+    if not re.fullmatch(r"[A-Z0-9.\-]{1,12}", ticker):
         raise ValueError(f"not a ticker: {ticker!r}")
     if not 1990 <= fiscal_year <= 2100:
         raise ValueError(f"not a fiscal year: {fiscal_year}")
@@ -142,11 +142,20 @@ def hashed_bag(text: Column) -> Column:
     return F.pandas_udf(bag_vectors, "array<double>")(text)
 
 
-def hybrid(docs: DataFrame, questions: DataFrame, embed: Callable[[Column], Column] = hashed_bag, candidates: int = 50, k: int = 5) -> DataFrame:
-    """BM25 and vector candidates, fused."""
-    lexical = bm25(docs, questions, candidates)
-    semantic = knn(docs.select("doc_id", embed(F.col("text")).alias("vector")), questions.select("qid", embed(F.col("question")).alias("vector")), candidates)
-    return rrf([lexical, semantic], k)
+def hybrid(
+    docs: DataFrame, questions: DataFrame, embed: Callable[[Column], Column] = hashed_bag, candidates: int = 50, k: int = 5, where: Column | None = None, vectors: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """BM25 and vector candidates and the two fused, as `bm25`, `vector` and `hybrid`, each (qid, doc_id, score, rank).
+
+    `where` restricts both retrievers' candidates; BM25's statistics stay those of all documents. questions may have
+    `keywords`, which BM25 asks for in place of the question (see keyword_query); the vectors see the whole question.
+    vectors(doc_id, vector), if given, are stored embeddings; else texts are embedded here."""
+    asked = questions.select("qid", F.coalesce("keywords", "question").alias("question")) if "keywords" in questions.columns else questions
+    lexical = bm25(docs, asked, candidates, where)
+    chosen = docs.where(where) if where is not None else docs
+    known = chosen.select("doc_id", embed(F.col("text")).alias("vector")) if vectors is None else vectors.join(chosen.select("doc_id"), "doc_id", "left_semi")
+    semantic = knn(known, questions.select("qid", embed(F.col("question")).alias("vector")), candidates)
+    return {"bm25": lexical, "vector": semantic, "hybrid": rrf([lexical, semantic], k)}
 
 
 def keyword_query(question: Column, ticker: Column, company: Column) -> Column:

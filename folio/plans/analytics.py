@@ -122,9 +122,15 @@ def figures_json_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.snapshot_values(read).withColumn("fiscal_year", F.col("fiscal_year").cast("long"))
 
 
-@query("""SELECT o_orderkey, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) || ' USD' AS amount FROM orders WHERE o_totalprice < 900000""")
+AMOUNT = """format('{:,}', CAST(round_even(v, 0) AS BIGINT)) || ' USD' || CASE WHEN v >= 1e9 THEN ' (about ' || format('{:,.1f}', v / 1e9) || ' billion)'
+  WHEN v >= 1e6 THEN ' (about ' || format('{:,.1f}', v / 1e6) || ' million)' ELSE '' END"""
+
+
+@query(f"SELECT o_orderkey, {AMOUNT} AS amount FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) * (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 100 ELSE 100000 END) AS v FROM orders)")
 def amount_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_totalprice < 900000").select("o_orderkey", amount(F.col("o_totalprice"), F.lit("USD")).alias("amount"))
+    """Prices as they are, by the hundred and by the hundred thousand, so that all three forms occur."""
+    times = F.when(F.col("o_orderkey") % 3 == 0, 1).when(F.col("o_orderkey") % 3 == 1, 100).otherwise(100000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", amount(F.col("o_totalprice").cast("double") * times, F.lit("USD")).alias("amount"))
 
 
 @query("SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey")

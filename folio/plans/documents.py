@@ -61,11 +61,14 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(marked).select("chunk_id", "doc_id", "page", "section", "content_type", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-@query("WITH " + LINES + r""", c AS (SELECT doc_id, page, line_no, list_transform(string_split(line, ' | '), lambda x: trim(x)) AS cs FROM l WHERE contains(line, ' | '))
-SELECT doc_id, page, line_no, CAST(len(cs) AS BIGINT) AS cells FROM c WHERE len(cs) >= 3""")
+@query("WITH " + LINES + r""", x AS (SELECT l_orderkey, l_linenumber, l_returnflag || ' | ' || CAST(l_quantity AS INT) || CASE WHEN l_linenumber % 2 = 0 THEN ' | 1,' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') ELSE ' | n.a.' END AS line FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS is_row FROM x UNION ALL SELECT doc_id, 1000000 + page * 1000 + line_no, false FROM l""")
 def table_row_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines(spark, sf_dir).where(F.col("line").contains(" | ")).withColumn("cells", F.size(chunking.cells(F.col("line"))).cast("long"))
-    return found.where("cells >= 3").select("doc_id", "page", "line_no", "cells")
+    """Line items as rows with two numbers or one, and the documents' lines, none of which has two numbers behind a label."""
+    last = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" | 1,"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"))).otherwise(" | n.a.")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.concat("l_returnflag", F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), last).alias("line"))
+    own = lines(spark, sf_dir).select(F.col("doc_id").alias("l_orderkey"), (1_000_000 + F.col("page") * 1000 + F.col("line_no")).alias("l_linenumber"), "line")
+    return items.union(own).select("l_orderkey", "l_linenumber", chunking.is_table_row(F.col("line")).alias("is_row"))
 
 
 @query()
@@ -73,11 +76,11 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(sentence_units(F.col("text"))).alias("n"))
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem WHERE l_quantity >= 5)
-SELECT l_orderkey, l_linenumber, l_orderkey || '_p1_c' || n AS chunk_id FROM t""")
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 AS page, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber) AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_orderkey || '_p' || page || '_c' || n AS chunk_id FROM t""")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    return table(spark, sf_dir, "lineitem").where("l_quantity >= 5").select("l_orderkey", "l_linenumber", F.format_string("%s_p1_c%d", F.col("l_orderkey").cast("string"), n).alias("chunk_id"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", (F.col("l_linenumber") % 2).alias("page"))
+    return chunking.with_chunk_ids(rows, "l_linenumber").select(F.col("doc_id").alias("l_orderkey"), "l_linenumber", "chunk_id")
 
 
 @query()
@@ -97,12 +100,12 @@ def resolve_company_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.resolve(asked, known).select("qid", F.size("tickers").cast("long").alias("companies"))
 
 
-@query("""WITH s AS (SELECT o_custkey, o_orderkey, sum(CAST(ceil(o_totalprice / 4) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS spent FROM orders)
-SELECT o_custkey AS qid, o_orderkey AS rank, CAST(spent AS BIGINT) AS spent FROM s WHERE spent <= 120000""")
+@query("""WITH s AS (SELECT conv_id AS qid, turn AS rank, sum(greatest(CAST(ceil(length(text) / 4) AS BIGINT), 1)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS spent,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT qid, rank, CAST(spent AS BIGINT) AS spent, 'D' || n AS place FROM s WHERE spent <= 60""")
 def context_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum(F.ceil(F.col("o_totalprice") / 4)).over(order)
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("rank"), spent.cast("long").alias("spent")).where("spent <= 120000")
+    """The turns of each conversation as hits, under a budget of 60 tokens."""
+    hits = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), "text")
+    return answer.context(hits, 60).select("qid", "rank", F.col("spent").cast("long").alias("spent"), "place")
 
 
 @query("""SELECT d.doc_id, CASE WHEN contains(d.text, trim(b.text)) THEN trim(b.text) ELSE trim(substr(d.text, 1, 200)) END AS excerpt FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20""")
@@ -135,7 +138,8 @@ def reply_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.parse_replies(docs.select("qid", reply.alias("reply")), contexts)
 
 
-@query()
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'In [3, 1] and [2019].' WHEN 2 THEN 'In [1] and [2019].' WHEN 3 THEN 'In [1] and [2019].'
+ELSE 'In [' || l_linenumber || ', 2] and [2019].' END AS text FROM lineitem""")
 def citation_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("In ["), F.col("l_linenumber").cast("string"), F.lit(", 2] and [2019]."))
     new = F.create_map(F.lit(1), F.lit(3), F.lit(2), F.lit(1), F.lit(3), F.lit(None).cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..contracts import schema_diff
 from ..functions.text import STOP_WORDS
 from ..operators import evaluation, index
-from ..operators.retrieval import bm25, equals_or_in, hashed_bag, hybrid, keyword_query, knn, rrf
+from ..operators.retrieval import as_hits, bm25, equals_or_in, hashed_bag, hybrid, keyword_query, knn, rrf
 from . import query, table
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -46,12 +46,13 @@ def filter_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(wanted).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-@query("""WITH """ + bm25_sql(5) + """ SELECT qid, CAST(doc_id AS VARCHAR) AS chunk_id, substr(text, 1, 200) AS text, score, source AS section, CAST(rank AS BIGINT) AS rank
+@query("""WITH """ + bm25_sql(5) + """ SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha256(text) AS text, score, source AS section, 1 AS page, lang AS company, 2000 + n_chars % 20 AS fiscal_year, CAST(rank AS BIGINT) AS rank
 FROM bm JOIN documents USING (doc_id)""")
 def hit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = bm25(docs, questions(spark, sf_dir), 5).join(docs, "doc_id")
-    return hits.select("qid", F.col("doc_id").cast("string").alias("chunk_id"), F.substring("text", 1, 200).alias("text"), "score", F.col("source").alias("section"), F.col("rank").cast("long").alias("rank"))
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("section"), F.lit(1).alias("page"), F.col("lang").alias("company"), (2000 + F.col("n_chars") % 20).alias("fiscal_year"))
+    ranked = bm25(docs, questions(spark, sf_dir), 5).select(F.col("doc_id").cast("string").alias("chunk_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return as_hits(chunks, ranked).withColumn("text", F.sha2("text", 256))
 
 
 @query("WITH " + bm25_sql(20) + " SELECT qid, doc_id, score, CAST(rank AS BIGINT) AS rank FROM bm")
@@ -109,8 +110,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BAG = "list_transform(range(64), lambda b: CAST(len(list_filter(list_transform({words}, lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64), lambda x: x = b)) AS DOUBLE))"
 HYBRID = (
-    "WITH " + bm25_sql(50, "lang = 'en'").replace("FROM documents),", "FROM documents WHERE lang = 'en'),")
-    + ", dv AS (SELECT doc_id, " + BAG.format(words="w") + " AS v FROM d WHERE len(w) > 0)"
+    "WITH " + bm25_sql(50, "lang = 'en'")
+    + ", dv AS (SELECT doc_id, " + BAG.format(words="w") + " AS v FROM d WHERE len(w) > 0 AND candidate)"
     + ", qv AS (SELECT item_id AS qid, " + BAG.format(words=words_sql("text")) + " AS v FROM benchmark)"
     + ", cs AS (SELECT qid, doc_id, round(list_dot_product(qv.v, dv.v) / sqrt(list_dot_product(qv.v, qv.v)) / sqrt(list_dot_product(dv.v, dv.v)), 6) AS score FROM qv, dv)"
     + ", vec AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM cs QUALIFY rank <= 50),"
@@ -120,11 +121,11 @@ HYBRID = (
 
 @query(HYBRID)
 def hybrid_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return hybrid(docs, questions(spark, sf_dir), hashed_bag).withColumn("rank", F.col("rank").cast("long"))
+    docs = table(spark, sf_dir, "documents")
+    return hybrid(docs, questions(spark, sf_dir), hashed_bag, where=equals_or_in(lang="en"))["hybrid"].withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query("""SELECT c_custkey, 'What did ' || c_mktsegment || ' business ( ) earn and ?' AS keywords FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def keyword_query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customers = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -175,8 +176,8 @@ def metric_breakdown_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFram
     return evaluation.breakdown(_records(spark, sf_dir), ["category", "difficulty"])
 
 
-@query(RECORDS + """, each AS (SELECT qid, 'empty' AS problem FROM rec WHERE n_results = 0 UNION ALL SELECT qid, 'missed' FROM rec WHERE n_labels > 0 AND first_rank IS NULL
-UNION ALL SELECT qid, 'unlabelled' FROM rec WHERE n_labels = 0) SELECT problem, string_agg(CAST(qid AS VARCHAR), ',' ORDER BY qid) AS qids FROM each GROUP BY problem""")
+@query(RECORDS + """ SELECT qid, 'empty' AS problem FROM rec WHERE n_results = 0 UNION ALL SELECT qid, 'missed' FROM rec WHERE n_labels > 0 AND first_rank IS NULL
+UNION ALL SELECT qid, 'unlabelled' FROM rec WHERE n_labels = 0""")
 def diagnostic_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.diagnostics(_records(spark, sf_dir))
 
@@ -236,6 +237,6 @@ def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.duplicates(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
-@query()
+@query("SELECT 'doc_id' AS field, 'bigint, expected string' AS problem UNION ALL SELECT 'section', 'missing, expected string' UNION ALL SELECT 'page', 'missing, expected int'")
 def index_schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_diff(spark, table(spark, sf_dir, "documents").schema, "doc_id string, text string, section string, page int")

@@ -48,7 +48,10 @@ def doc_id(ticker: Column, year: Column) -> Column:
 
 
 def with_metadata(files: DataFrame, inventory: DataFrame) -> DataFrame:
-    """files(file) with the inventory's ticker and year, else those of the file's own name; the rest in reject_reason."""
+    """files(file) with the inventory's ticker and year, else those of the file's own name; the rest in reject_reason. Of a file
+    that the inventory lists more than once, the last by its column `at` (line number) counts, or else the largest row."""
+    order = F.struct("at") if "at" in inventory.columns else F.struct("fiscal_year", "ticker")
+    inventory = inventory.groupBy("file").agg(F.max_by(F.struct("ticker", "fiscal_year"), order).alias("r")).select("file", "r.*")
     own = F.regexp_extract("file", r"([A-Z0-9.\-]+)_((?:19|20)\d{2})", 1), F.regexp_extract("file", r"([A-Z0-9.\-]+)_((?:19|20)\d{2})", 2).try_cast("int")
     listed = inventory.select("file", F.col("ticker").alias("t"), F.col("fiscal_year").alias("y"))
     out = files.join(listed, "file", "left").withColumns({"ticker": F.coalesce("t", F.nullif(own[0], F.lit(""))), "fiscal_year": F.coalesce("y", own[1])}).drop("t", "y")

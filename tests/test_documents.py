@@ -17,13 +17,59 @@ def lines(spark, *pages):
 
 def test_sections_carry_forward(spark):
     toc = [f"Item {i}. Something {i}0" for i in range(1, 6)]
-    doc = lines(spark, toc, ["intro", "Item 1. Business", "text", "see Item 7 for more"], ["PART | ITEM 7. Discussion of results", "Consolidated Balance Sheets"], ["Pursuant to the requirements of Section 13 or 15(d)"], ["Consolidated Balance Sheets", "1"])
+    doc = lines(spark, toc, ["intro", "Item 1. Business", "text", "see Item 7 for more"], ["PART | ITEM 7. Discussion of Results", "Consolidated Balance Sheets"], ["Pursuant to the requirements of Section 13 or 15(d)"], ["Index to Consolidated Financial Statements", "1"])
     got = [r.section for r in sections.label_lines(doc).orderBy("page", "line_no").collect()]
     assert got == ["Unknown"] * 6 + ["Item 1"] * 3 + ["Item 7"] * 2 + ["Item 7"] + ["Item 8"] * 2
-    plain = lines(spark, ["x", "Balance sheet", "y"])
+    plain = lines(spark, ["x", "INDEX TO FINANCIAL STATEMENTS", "y"])
     assert [r.section for r in sections.label_lines(plain).orderBy("line_no").collect()] == ["Unknown", "Item 8", "Item 8"]
 
 
+def test_headings(spark):
+    label = lambda *page: [r.section for r in sections.label_lines(lines(spark, page)).orderBy("line_no").collect()]
+    for line in ("Item 1A. Risk Factors", "ITEM 7: MANAGEMENT'S DISCUSSION", "Item 8", "Item 2 | Properties", "Item 9B Other Information"):
+        assert label(line)[0].startswith("Item"), line
+    for line in ("Item 7 of this Annual Report explains", "item 1a risks are many", "Item 1. Business – “Employees and Labor Relations.”", "x | Item 1A. Risk Factors included in this report."):
+        assert label("Item 1. Business", line) == ["Item 1", "Item 1"], line
+    assert label("Dear shareholders", "BUSINESS", "We make software.", "Risk Factors", "MANAGEMENT’S DISCUSSION AND ANALYSIS OF FINANCIAL CONDITION") == ["Unknown", "Item 1", "Item 1", "Item 1", "Item 7"]
+
+
+def test_segments(spark):
+    page = ["We sold more. The following table shows it:", "Sales by region", "Region | 2020 | 2019", "North | 1 | 2", "Other regions", "South | 3 | 4", "A long text line follows here that goes on and on until it has more than twelve words."]
+    rows_ = sections.label_lines(lines(spark, page))
+    found = [(r.kind, r.run) for r in chunking.segments(rows_).orderBy("line_no").collect()]
+    assert found == [("text", 1)] + [("table", 2)] * 5 + [("text", 3)]
+    made = {r.chunk_id: r.text for r in chunking.chunk(rows_).collect()}
+    table = "Table (Unknown): The following table shows it: Sales by region\n| Region | 2020 | 2019 |\n| --- | --- | --- |\n| North | 1 | 2 |\n| Other regions |  |  |\n| South | 3 | 4 |"
+    assert made["d_p1_c2"] == table and len(made) == 3
+
+
+def test_chunks_against_brute_force():
+    """Greedy packing, one sentence at a time: a chunk ends where the next sentence would pass TARGET; the next one begins with
+    the longest tail of whole sentences within OVERLAP if that and the next sentence stay within CAP."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(40):
+        sizes = [rng.choice([3, 12, 30, 49, 120, 300, 380]) for _ in range(rng.randrange(1, 30))]
+        sentences = [" ".join(f"W{i}" for _ in range(n - 1)) + f" w{i}." for i, n in enumerate(sizes)]
+        chunks, held = [], []
+        for i, n in enumerate(sizes):
+            if held and sum(sizes[j] for j in held) + n > chunking.TARGET:
+                chunks.append(held)
+                tail = max((held[k:] for k in range(1, len(held) + 1) if sum(sizes[j] for j in held[k:]) <= chunking.OVERLAP), key=len)
+                held = tail if sum(sizes[j] for j in tail) + n <= chunking.CAP else []
+            held = [*held, i]
+        chunks.append(held)
+        assert [t for _, t in chunking.text_chunks([(1, x) for x in sentences])] == [" ".join(sentences[j] for j in c) for c in chunks]
+
+
+def test_names(spark):
+    long = "The Very Long Name Of A Company That Has Many Words"
+    known = answer.aliases(spark.createDataFrame([("EL", "Estée Lauder Companies Inc."), ("LONG", long)], "ticker string, name string"))
+    asked = spark.createDataFrame([(1, "What did Estee Lauder Companies earn?"), (2, f"How is {long} doing in 2020?")], "qid int, question string")
+    assert rows(answer.resolve(asked, known), "qid", "ticker") == [(1, "EL"), (2, "LONG")]
+
+
 def test_repeated_edges_and_cleaning(spark):
     doc = lines(spark, *[["ACME Report 2020", f"body {i}", "middle", f"other {'x' * i}", f"{i}"] for i in range(1, 7)])
     assert rows(sections.repeated_edges(doc), "norm", "pages") == [("#", 6), ("acme report #", 6), ("body #", 6)]

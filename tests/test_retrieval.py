@@ -17,7 +17,8 @@ def test_filters():
     for bad in ("", [], ["x", ""]):
         with pytest.raises(ValueError):
             equals_or_in(a=bad)
-    for ticker, year in (("aapl", 2020), ("AAPL", 1989), ("", 2020), ("../X", 2020)):
+    assert str(company_year(" aapl ", 2020)) == str(company_year("AAPL", 2020)) and company_year("0700.HK", 2020) is not None
+    for ticker, year in (("A B", 2020), ("AAPL", 1989), ("", 2020), ("../X", 2020)):
         with pytest.raises(ValueError):
             company_year(ticker, year)
 
@@ -95,7 +96,10 @@ def test_index_maintenance(spark, tmp_path):
     doc = lambda d, t: spark.createDataFrame([(d, x) for x in t], "doc_id string, text string")
     index.replace_documents(spark, doc("d1", ["a", "b"]).union(doc("d2", ["c"])), path)
     index.replace_documents(spark, doc("d1", ["z"]), path)
-    assert values(spark.read.parquet(path), "doc_id", "text") == [("d1", "z"), ("d2", "c")]
+    assert values(index.read_documents(spark, path), "doc_id", "text") == [("d1", "z"), ("d2", "c")]
+    gone = spark.createDataFrame([("d2",)], "doc_id string")
+    index.replace_documents(spark, doc("d3", ["y"]), path, gone.union(spark.createDataFrame([("d3",)], "doc_id string")))
+    assert values(index.read_documents(spark, path), "doc_id", "text") == [("d1", "z"), ("d3", "y")]
     assert index.health(spark, path)["status"] == "degraded" and index.health(spark, path + "x")["status"] == "down"
     assert schema_problems(rows.schema, "id string, n string, page int") == ["n: int, expected string", "page: missing, expected int"]
     assert len(schema_problems(rows.schema, CHUNK)) == 10
