@@ -86,7 +86,7 @@ def captures(pages: DataFrame) -> DataFrame:
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resolve_revisits(captures(table(spark, sf_dir, "pages")))
     header = lambda name: F.try_element_at("headers", F.lit(name))
-    return out.select("record_id", "canonical", "response_id", "outcome", header("date").alias("date"), header("etag").alias("etag"), header("content-type").alias("content_type"))
+    return out.select("record_id", "canonical", F.coalesce("response_id", F.lit(-1)).alias("response_id"), "outcome", header("date").alias("date"), header("etag").alias("etag"), header("content-type").alias("content_type"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,7 @@ rev AS (SELECT page_id * 3 + n AS record_id, canonical, ts + CASE WHEN n = 1 THE
 best AS (SELECT v.record_id, v.canonical, v.ts, v.tag, max(struct_pack(ts := r.ts, id := r.record_id, tag := r.tag)) AS b
   FROM rev v LEFT JOIN resp r ON r.canonical = v.canonical AND (r.ts < v.ts OR r.ts = v.ts AND r.record_id < v.record_id) GROUP BY ALL),
 judged AS (SELECT record_id, canonical, b.id AS response_id, ts, tag, CASE WHEN b.id IS NULL THEN 'no response' WHEN tag IS NULL THEN 'unchecked' WHEN tag = b.tag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM best)
-SELECT record_id, canonical, response_id, outcome, CASE WHEN outcome = 'resolved' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,
+SELECT record_id, canonical, coalesce(response_id, -1) AS response_id, outcome, CASE WHEN outcome = 'resolved' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,
   CASE WHEN outcome = 'resolved' THEN 'W/' || tag END AS etag, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type FROM judged
 """
 
