@@ -36,6 +36,8 @@ MULTIPLY, ADD = constants(BANDS * ROWS, 21) | U64(1), constants(BANDS * ROWS, 22
 SIZE, LONG = 5, 32
 #: Runs are compared by hashes of GRAM words. Anchors are hashes of ANCHOR words: longer, so that common phrases have none.
 GRAM, ANCHOR = 8, 12
+#: So many hashes can have more than one row in HOT.
+HOT = 10_000
 #: Inside a run, of every STEP hashes in a row the smallest is compared; at its ends all are.
 STEP = 12
 END = np.zeros(256, bool)
@@ -274,10 +276,18 @@ def verbatim_runs(grams: DataFrame, min_passage: int) -> DataFrame:
     """grams(h, doc_id, start_word) -> (doc_id, start_word, n_words, first_doc): runs that other documents have too, to their
     exact ends where unshared words follow; parts of a run with a different smallest document are rows of their own and
     may overlap. Inside a run, a few words that no other document has may be passed over."""
-    spread = grams.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc != last_doc").select("h", "first_doc")
-    rows = grams.join(spread, "h").select("doc_id", "start_word", "first_doc").repartition("doc_id").sortWithinPartitions("doc_id")
+    spread = grams.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).where("first_doc != last_doc")
+    spread = save(spread.select("h", "first_doc", "n"), "spread")
+    # At most HOT hashes have more than that share of all rows: few enough to be broadcast, so their rows stay where they are.
+    bar = grams.count() // HOT
+    hot, cold = F.broadcast(spread.where(F.col("n") > bar).select("h", "first_doc")), spread.where(F.col("n") <= bar).select("h", "first_doc")
+    rows = grams.join(hot, "h").select("doc_id", "start_word", "first_doc")
+    rows = rows.union(grams.join(hot, "h", "left_anti").join(cold, "h").select("doc_id", "start_word", "first_doc"))
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id")
     schema = "doc_id long, start_word long, n_words long, first_doc long"
-    return save(rows.mapInArrow(lambda batches: (_runs(x, min_passage) for x in _by_document(batches)), schema), "runs")
+    out = save(rows.mapInArrow(lambda batches: (_runs(x, min_passage) for x in _by_document(batches)), schema), "runs")
+    forget(spread)
+    return out
 
 
 def _spans(rows: pa.Table, min_passage: int, max_gap: int) -> pa.RecordBatch:
