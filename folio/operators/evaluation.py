@@ -68,18 +68,71 @@ def metrics() -> list[Column]:
     ]
 
 
-def breakdown(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """metrics() by each of the fields and over all, in one pass of grouping sets: (field, value, metrics)."""
-    sets = [[F.col(f)] for f in fields] + [[]]
-    out = rows.groupingSets(sets, *fields).agg(*metrics(), F.grouping_id(*fields).alias("gid"))
-    # grouping_id has a bit for each field that a set does not group by, the first field's highest.
+def breakdown(rows: DataFrame, fields: list[str], by: list[str] | None = None, aggregates: list[Column] | None = None) -> DataFrame:
+    """Aggregates (metrics() unless given) by each of the fields and over all, in one pass of grouping sets, within each value
+    of `by`: (*by, field, value, aggregates)."""
+    by = by or []
+    sets = [[F.col(c) for c in [*by, f]] for f in fields] + [[F.col(c) for c in by]]
+    out = rows.groupingSets(sets, *by, *fields).agg(*(aggregates or metrics()), F.grouping_id(*by, *fields).alias("gid"))
+    # grouping_id has a bit for each column that a set does not group by, the first column's highest; those of `by` are 0.
     full = (1 << len(fields)) - 1
     label = F.lit("all")
     value = F.lit(None).cast("string")
     for i, f in enumerate(fields):
         gid = full ^ (1 << (len(fields) - 1 - i))
         label, value = F.when(F.col("gid") == gid, f).otherwise(label), F.when(F.col("gid") == gid, F.col(f).cast("string")).otherwise(value)
-    return out.select(label.alias("field"), value.alias("value"), "n_questions", "non_empty_rate", "hit_rate", "mrr")
+    return out.withColumns({"field": label, "value": value}).drop("gid", *[f for f in fields if f not in ("field", "value")])
+
+
+#: The ways of retrieval that an evaluation compares, and the fields that it is broken down by.
+MODES = ("bm25", "vector", "hybrid")
+
+
+def mode_records(questions: DataFrame, results: DataFrame, labels: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """questions(qid, ticker, fiscal_year, sections, error, ...), results(qid, mode, rank, doc_id, ticker, fiscal_year, section),
+    labels(qid, doc_id) -> a row for each question and mode: n_results, filters_match (there are results and all are of the
+    asked ticker and year; a null is no match), section_rank, exact_rank (null: none), n_labels."""
+    asked = questions.select("qid", F.col("ticker").alias("want_ticker"), F.col("fiscal_year").alias("want_year"), F.col("sections").alias("want_sections"))
+    wanted = labels.select("qid", "doc_id").distinct()
+    marked = results.join(wanted.withColumn("relevant", F.lit(True)), ["qid", "doc_id"], "left").join(asked, "qid")
+    fits = F.coalesce((F.col("ticker") == F.col("want_ticker")) & (F.col("fiscal_year") == F.col("want_year")), F.lit(False))
+    found = marked.groupBy("qid", "mode").agg(
+        F.count("*").alias("n_results"), F.bool_and(fits).alias("filters_match"),
+        F.min(F.when(F.array_contains("want_sections", F.col("section")), F.col("rank"))).alias("section_rank"),
+        F.min(F.when(F.col("relevant"), F.col("rank"))).alias("exact_rank"),
+    )
+    every = questions.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    out = every.join(found, ["qid", "mode"], "left").join(wanted.groupBy("qid").agg(F.count("*").alias("n_labels")), "qid", "left")
+    return out.withColumns({"filters_match": F.coalesce("filters_match", F.lit(False)), **{c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_results", "n_labels")}})
+
+
+def mode_metrics() -> list[Column]:
+    """Aggregates over mode_records(): rates over the questions without error (0 where there are none); misses count 0 in MRR;
+    exact rates are over labelled questions, null without any."""
+    done = F.col("error").isNull()
+    labelled = done & (F.col("n_labels") > 0)
+    share = lambda among, x: F.round(F.avg(F.when(among, x.cast("double"))), 6)
+    all_of = lambda x: F.coalesce(share(done, x), F.lit(0.0))
+    inverse = lambda rank: F.coalesce(1 / F.col(rank), F.lit(0.0))
+    return [
+        F.count_if(done).alias("questions_completed"), F.count_if(~done).alias("error_count"),
+        all_of(F.col("n_results") > 0).alias("non_empty_rate"), all_of(F.col("filters_match")).alias("filter_compliance_rate"),
+        all_of(F.col("section_rank").isNotNull()).alias("section_hit_rate_at_k"), all_of(inverse("section_rank")).alias("section_mrr_at_k"),
+        F.count_if(labelled).alias("exact_labeled_questions"), share(labelled, F.col("exact_rank").isNotNull()).alias("exact_hit_rate_at_k"),
+        share(labelled, inverse("exact_rank")).alias("exact_mrr_at_k"),
+    ]
+
+
+def mode_problems(rows: DataFrame) -> DataFrame:
+    """(mode, problem, qid) of mode_records(): a row for each question to look at. Questions with an error have that only."""
+    done = F.col("error").isNull()
+    kinds = F.array_compact(F.array(
+        F.when(~done, F.lit("error")), F.when(done & (F.col("n_results") == 0), F.lit("empty_result")),
+        F.when(done & (F.col("n_results") > 0) & ~F.col("filters_match"), F.lit("filter_failure")),
+        F.when(done & F.col("section_rank").isNull(), F.lit("section_miss")),
+        F.when(done & (F.col("n_labels") > 0) & F.col("exact_rank").isNull(), F.lit("exact_miss")),
+    ))
+    return rows.select("mode", F.explode(kinds).alias("problem"), "qid")
 
 
 def diagnostics(rows: DataFrame) -> DataFrame:

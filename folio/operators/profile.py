@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Frequent words that mark English text.
-ENGLISH_MARKERS = ("the", "and", "of", "to", "in", "for", "with", "that", "this", "from")
+ENGLISH_MARKERS = ("the", "and", "of", "to", "in", "for", "that", "with", "our", "we")
+#: The form items that are counted, and the exchange codes of one exchange.
+KEY_ITEMS = ("1", "1A", "3", "5", "7", "7A", "8")
+EXCHANGES = ("NMS", "NGM", "NCM")
 
 
 def profile(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -62,3 +65,38 @@ def candidates_not_used(candidates: DataFrame, used: DataFrame, company: str, ti
     """Companies that earlier batches have neither by name nor by any of their tickers."""
     by_ticker = candidates.join(used.select(ticker), ticker, "left_semi").select(company).distinct()
     return candidates.join(used.select(company), company, "left_anti").join(by_ticker, company, "left_anti")
+
+
+def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Each left row with its only right row. Raises where a side repeats a key or a left row has no partner."""
+    for name, side in (("left", left), ("right", right)):
+        if side.groupBy(*keys).count().where("count > 1").limit(1).count():
+            raise ValueError(f"the {name} side repeats a key of {keys}")
+    if left.join(right, keys, "left_anti").limit(1).count():
+        raise ValueError(f"a row has no partner by {keys}")
+    return left.join(right, keys, "left")
+
+
+def eligible(error: Column, quote_type: Column, exchange: Column, country: Column, market_cap: Column) -> Column:
+    """A share of a US company on the exchange today that has a market value; a null is no."""
+    return F.coalesce(
+        (F.coalesce(error, F.lit("")) == "") & (quote_type == "EQUITY") & exchange.isin(*EXCHANGES) & (country == "United States") & (market_cap != 0), F.lit(False)
+    )
+
+
+def item_counts(text: Column) -> Column:
+    """How often each key item is named before a separator, as a map of those that are: {Item 1A: 3}."""
+    counts = [F.regexp_count(text, F.lit(rf"(?i)\bitem\s+{n}\b[.:\s\-—]")).cast("long") for n in KEY_ITEMS]
+    return F.map_filter(F.map_from_arrays(F.array(*[F.lit(f"Item {n}") for n in KEY_ITEMS]), F.array(*counts)), lambda _, n: n > 0)
+
+
+def document_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """docs(doc_id, ...), chunks(doc_id, content_type, section, text) -> docs with the counts of their chunks; documents
+    without chunks have zeros."""
+    words = F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    stats = chunks.groupBy("doc_id").agg(
+        F.count("*").alias("chunks"), F.count_if(F.col("content_type") == "text").alias("text_chunks"), F.count_if(F.col("content_type") == "table").alias("table_chunks"),
+        F.bround(F.avg(words)).cast("long").alias("avg_words"), F.max(words).cast("long").alias("max_words"),
+        F.bround(F.avg((F.col("section") == "Unknown").cast("double")), 2).alias("unknown_section_share"), F.count_distinct("section").alias("sections"),
+    )
+    return docs.join(stats, "doc_id", "left").na.fill(0, ["chunks", "text_chunks", "table_chunks", "avg_words", "max_words", "unknown_section_share", "sections"])

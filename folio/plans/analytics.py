@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import amount, fiscal_year
-from ..operators import figures, profile
+from ..operators import figures, names, profile
 from . import query, table
 
 
@@ -61,7 +61,7 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.repeated_keys(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), ["l_orderkey", "l_partkey"])
 
 
-@query("""SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(substr(text, 1, 50000)), '[a-z]+')), ['the', 'and', 'of', 'to', 'in', 'for', 'with', 'that', 'this', 'from'])) AS score FROM documents""")
+@query("""SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(substr(text, 1, 50000)), '[a-z]+')), ['the', 'and', 'of', 'to', 'in', 'for', 'that', 'with', 'our', 'we'])) AS score FROM documents""")
 def language_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", profile.english_score(F.col("text")).alias("score"))
 
@@ -143,3 +143,39 @@ SELECT o_custkey, CASE WHEN len(ys) > 2 AND ys[-1] - ys[1] = len(ys) - 1 THEN ys
 def missing_years_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set(F.year("o_orderdate"))).alias("ys"))
     return years.select("o_custkey", figures.years_text(F.col("ys")).alias("years"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Supplier ' || chr(CAST(65 + s_suppkey % 26 AS INTEGER)) || ' Corp.' WHEN s_suppkey % 3 = 1 THEN 'Maker ' || chr(CAST(65 + s_suppkey % 26 AS INTEGER)) || ' Holdings' END AS name,
+CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 3 = 1 THEN true ELSE false END AS named FROM supplier""")
+def official_company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the suppliers has its name over the caption, a third in the cover's block, in capitals that the text spells
+    otherwise; the rest has none. Every fifth has no slug to look for."""
+    rows = table(spark, sf_dir, "supplier")
+    kind, letter = F.col("s_suppkey") % 3, F.char(65 + F.col("s_suppkey") % 26)
+    over = F.concat(F.lit("FORM 10-K\n1 Other Inc\nSUPPLIER "), letter, F.lit(" CORP. | 12-345\n\n(Exact name of registrant as specified in its charter)"))
+    block = F.concat(F.lit("FORM 10-K | MAKER "), letter, F.lit(" HOLDINGS\nof 1999"))
+    rows = rows.withColumns({"cover": F.when(kind == 0, over).when(kind == 1, block).otherwise("no name here"), "text": F.concat(F.lit("Supplier "), letter, F.lit(" Corp. and Maker "), letter, F.lit(" Holdings sell."))})
+    slug = F.when(F.col("s_suppkey") % 5 == 0, "unknown").otherwise("maker-inc")
+    return rows.select("s_suppkey", names.official_name(F.col("cover"), F.col("text"), F.lit("absent")).alias("name"), names.names_company(F.col("cover"), F.lit("QQQ"), slug).alias("named"))
+
+
+@query("""SELECT o_orderkey AS doc_id, coalesce(chunks, 0) AS chunks, coalesce(text_chunks, 0) AS text_chunks, coalesce(table_chunks, 0) AS table_chunks, coalesce(avg_words, 0) AS avg_words,
+coalesce(max_words, 0) AS max_words, coalesce(unknown_section_share, 0) AS unknown_section_share, coalesce(sections, 0) AS sections FROM orders LEFT JOIN (
+SELECT l_orderkey, count(*) AS chunks, count(*) FILTER (WHERE l_linestatus = 'F') AS text_chunks, count(*) FILTER (WHERE l_linestatus = 'O') AS table_chunks, CAST(round_even(avg(l_quantity), 0) AS BIGINT) AS avg_words,
+CAST(max(l_quantity) AS BIGINT) AS max_words, round_even(avg(CAST(l_returnflag = 'N' AS DOUBLE)), 2) AS unknown_section_share, count(DISTINCT l_returnflag) AS sections
+FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
+def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_linestatus") == "F", "text").otherwise("table")
+    section = F.when(F.col("l_returnflag") == "N", "Unknown").otherwise(F.col("l_returnflag"))
+    chunks = table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").select(
+        F.col("l_orderkey").alias("doc_id"), kind.alias("content_type"), section.alias("section"), F.repeat(F.lit("word "), F.col("l_quantity").cast("int")).alias("text")
+    )
+    return profile.document_stats(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), chunks)
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 3 = 1 AND c_nationkey % 2 = 0 AND c_acctbal <> 0""")
+def eligible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "EQUITY")
+    exchange = F.when(F.col("c_nationkey") % 3 == 1, "NGM").otherwise("NYQ")
+    country = F.when(F.col("c_nationkey") % 2 == 0, "United States").otherwise("Peru")
+    return table(spark, sf_dir, "customer").where(profile.eligible(F.lit(None).cast("string"), kind, exchange, country, F.col("c_acctbal"))).select("c_custkey")

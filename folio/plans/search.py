@@ -182,6 +182,50 @@ def diagnostic_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.diagnostics(_records(spark, sf_dir))
 
 
+MODE_RECORDS = "WITH " + bm25_sql(5) + ", " + LABELS + ", second AS " + LONGEST + """,
+res AS (SELECT r.*, d.lang AS ticker, d.n_chars % 2 AS fiscal_year, d.source AS section FROM
+  (SELECT qid, 'bm25' AS mode, rank, doc_id FROM bm UNION ALL SELECT qid, 'vector', rank, doc_id FROM second WHERE rank <= 5) r JOIN documents d USING (doc_id)),
+want AS (SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'de' END AS ticker, item_id % 3 AS fiscal_year, ['src' || (item_id % 20), 'src1'] AS sections,
+  CASE WHEN item_id % 10 = 7 THEN 'failed' END AS error, 'c' || (item_id % 3) AS category FROM benchmark),
+rec AS (SELECT want.qid, m.mode, want.error, want.category, want.ticker, count(r.rank) AS n_results, coalesce(bool_and(r.ticker = want.ticker AND r.fiscal_year = want.fiscal_year), false) AS filters_match,
+  min(r.rank) FILTER (WHERE list_contains(want.sections, r.section)) AS section_rank, min(r.rank) FILTER (WHERE l.doc_id IS NOT NULL) AS exact_rank,
+  (SELECT count(*) FROM labels0 x WHERE x.qid = want.qid) AS n_labels
+  FROM want CROSS JOIN (VALUES ('bm25'), ('vector'), ('hybrid')) m(mode) LEFT JOIN res r ON r.qid = want.qid AND r.mode = m.mode LEFT JOIN labels0 l ON l.qid = r.qid AND l.doc_id = r.doc_id GROUP BY ALL)"""
+MODE_METRICS = """count(*) FILTER (WHERE error IS NULL) AS questions_completed, count(error) AS error_count,
+  coalesce(round(avg(CAST(n_results > 0 AS DOUBLE)) FILTER (WHERE error IS NULL), 6), 0) AS non_empty_rate, coalesce(round(avg(CAST(filters_match AS DOUBLE)) FILTER (WHERE error IS NULL), 6), 0) AS filter_compliance_rate,
+  coalesce(round(avg(CAST(section_rank IS NOT NULL AS DOUBLE)) FILTER (WHERE error IS NULL), 6), 0) AS section_hit_rate_at_k, coalesce(round(avg(coalesce(1.0 / section_rank, 0)) FILTER (WHERE error IS NULL), 6), 0) AS section_mrr_at_k,
+  count(*) FILTER (WHERE error IS NULL AND n_labels > 0) AS exact_labeled_questions, round(avg(CAST(exact_rank IS NOT NULL AS DOUBLE)) FILTER (WHERE error IS NULL AND n_labels > 0), 6) AS exact_hit_rate_at_k,
+  round(avg(coalesce(1.0 / exact_rank, 0)) FILTER (WHERE error IS NULL AND n_labels > 0), 6) AS exact_mrr_at_k"""
+
+
+def _mode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.retrieval import top_k
+
+    docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    keyed = asked.withColumn("source", F.concat(F.lit("src"), F.col("qid") % 20))
+    longest = top_k(keyed.join(docs, "source").select("qid", "doc_id", F.col("n_chars").alias("score")), 5)
+    ranked = bm25(docs, asked, 5).select("qid", "doc_id", "rank", F.lit("bm25").alias("mode")).unionByName(longest.select("qid", "doc_id", "rank", F.lit("vector").alias("mode")))
+    results = ranked.join(docs.select("doc_id", F.col("lang").alias("ticker"), (F.col("n_chars") % 2).alias("fiscal_year"), F.col("source").alias("section")), "doc_id")
+    want = asked.select(
+        "qid", F.when(F.col("qid") % 2 == 0, "en").otherwise("de").alias("ticker"), (F.col("qid") % 3).alias("fiscal_year"),
+        F.array(F.concat(F.lit("src"), F.col("qid") % 20), F.lit("src1")).alias("sections"), F.when(F.col("qid") % 10 == 7, "failed").alias("error"), F.concat(F.lit("c"), F.col("qid") % 3).alias("category"),
+    )
+    return evaluation.mode_records(want, results, _labels(spark, sf_dir))
+
+
+@query(MODE_RECORDS + f""" SELECT mode, 'category' AS field, category AS value, {MODE_METRICS} FROM rec GROUP BY mode, category UNION ALL
+SELECT mode, 'ticker', ticker, {MODE_METRICS} FROM rec GROUP BY mode, ticker UNION ALL SELECT mode, 'all', NULL, {MODE_METRICS} FROM rec GROUP BY mode""")
+def evaluation_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.breakdown(_mode_records(spark, sf_dir), ["category", "ticker"], ["mode"], evaluation.mode_metrics())
+
+
+@query(MODE_RECORDS + """ SELECT mode, 'error' AS problem, qid FROM rec WHERE error IS NOT NULL UNION ALL SELECT mode, 'empty_result', qid FROM rec WHERE error IS NULL AND n_results = 0
+UNION ALL SELECT mode, 'filter_failure', qid FROM rec WHERE error IS NULL AND n_results > 0 AND NOT filters_match UNION ALL SELECT mode, 'section_miss', qid FROM rec WHERE error IS NULL AND section_rank IS NULL
+UNION ALL SELECT mode, 'exact_miss', qid FROM rec WHERE error IS NULL AND n_labels > 0 AND exact_rank IS NULL""")
+def evaluation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.mode_problems(_mode_records(spark, sf_dir))
+
+
 @query("""WITH t AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS turn FROM supplier)
 SELECT * FROM t ORDER BY turn, s_nationkey, s_suppkey LIMIT 30""")
 def stratified_round_robin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

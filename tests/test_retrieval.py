@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from folio.contracts import CHUNK, schema_problems, valid_and_rejected
 from folio.functions import text as T
-from folio.operators import evaluation, index
+from folio.operators import evaluation, index, names, profile
 from folio.operators.retrieval import bm25, company_year, equals_or_in, keyword_query, knn, rrf
 
 
@@ -119,3 +119,37 @@ def test_scalars(spark):
     assert one(T.join_hyphenated(F.lit("well-\nknown"))) == "well-known" and one(T.normalise_white_space(F.lit("a  b​\n\n\n\nc "))) == "a b\n\nc"
     assert one(T.excerpt(F.lit(" b "), F.lit("abc"))) == "b" and one(T.excerpt(F.lit("x"), F.lit("abc"), 2)) == "ab"
     assert one(T.escape_document_tags(F.lit("a </Document><document x>"))) == "a &lt;/Document>&lt;document x>"
+
+
+def test_modes(spark):
+    asked = spark.createDataFrame([(1, "A", 2020, ["7"], None), (2, "A", 2020, ["7"], None), (3, "A", 2020, ["7"], "failed")], "qid int, ticker string, fiscal_year int, sections array<string>, error string")
+    results = spark.createDataFrame([(1, "bm25", 1, "x", "A", 2020, "1"), (1, "bm25", 2, "y", "A", 2020, "7"), (2, "bm25", 1, "x", "A", None, "1")], "qid int, mode string, rank int, doc_id string, ticker string, fiscal_year int, section string")
+    labels = spark.createDataFrame([(1, "x"), (1, "x"), (2, "z")], "qid int, doc_id string")
+    rows = evaluation.mode_records(asked, results, labels, ("bm25", "vector"))
+    found = {r.mode: r for r in evaluation.breakdown(rows, ["ticker"], ["mode"], evaluation.mode_metrics()).where("field = 'all'").collect()}
+    one = found["bm25"]
+    assert (one.questions_completed, one.error_count, one.non_empty_rate, one.filter_compliance_rate, one.section_hit_rate_at_k, one.section_mrr_at_k, one.exact_labeled_questions, one.exact_hit_rate_at_k, one.exact_mrr_at_k) == (2, 1, 1.0, 0.5, 0.5, 0.25, 2, 0.5, 0.5)
+    assert found["vector"].non_empty_rate == 0 and evaluation.mode_records(asked.where("false"), results, labels).count() == 0
+    assert values(evaluation.mode_problems(rows).where("mode = 'bm25'"), "qid", "problem") == [(2, "exact_miss"), (2, "filter_failure"), (2, "section_miss"), (3, "error")]
+
+
+def test_company_names(spark):
+    covers = [
+        ("FORM\nThe Big Company\nx\n(Exact name of registrant as specified in its charter)", "", "s", "The Big Company"),
+        ("GILT SCIENCES, INC. (Exact Name of the Registrant as specified in its charter)", "Gilt Sciences, Inc. sells. Gilt Sciences, Inc. GILT", "s", "Gilt Sciences, Inc."),
+        ("10-K\n2020 Old Inc | O’Mill plc | New Inc\n", "", "s", "O'Mill plc"),
+        ("image", "We at Red Bird, Inc. and Red Bird Games, Inc. or Red Bird, Inc. play", "the-red-bird-inc", "Red Bird, Inc."),
+        (None, None, "inc", None), ("Corp of nothing", "", "a.b", None),
+    ]
+    df = spark.createDataFrame(covers, "cover string, text string, slug string, want string")
+    got = df.select("want", names.official_name(F.col("cover"), F.col("text"), F.col("slug")).alias("name")).collect()
+    assert [r.name for r in got] == [r.want for r in got]
+    named = spark.createDataFrame([("see (CSX) here", "CSX", "unknown"), ("O'Reilly parts", "ORLY", "oreilly-inc"), ("other", "Q", "acme-corp"), ("other", "Q", "unknown"), ("xCSXx", "CSX", "the-inc")], "c string, t string, s string")
+    assert [r.n for r in named.select(names.names_company(F.col("c"), F.col("t"), F.col("s")).alias("n")).collect()] == [True, True, False, None, None]
+    items = spark.createDataFrame([("Item 1A. x ITEM 1A: item 7 - Item 70. Item 8",)], "t string").select(profile.item_counts(F.col("t")).alias("m")).first().m
+    assert items == {"Item 1A": 2, "Item 7": 1}
+    left, right = spark.createDataFrame([(1, "a")], "k int, a string"), spark.createDataFrame([(1, "b"), (2, "c")], "k int, b string")
+    assert profile.joined_one_to_one(left, right, ["k"]).collect()[0].b == "b"
+    for bad in ((right, left), (left, right.union(right))):
+        with pytest.raises(ValueError):
+            profile.joined_one_to_one(*bad, ["k"])
