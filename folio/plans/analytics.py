@@ -156,7 +156,8 @@ def official_company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.concat(F.lit("FORM 10-K | MAKER "), letter, F.lit(" HOLDINGS\nof 1999"))
     rows = rows.withColumns({"cover": F.when(kind == 0, over).when(kind == 1, block).otherwise("no name here"), "text": F.concat(F.lit("Supplier "), letter, F.lit(" Corp. and Maker "), letter, F.lit(" Holdings sell."))})
     slug = F.when(F.col("s_suppkey") % 5 == 0, "unknown").otherwise("maker-inc")
-    return rows.select("s_suppkey", names.official_name(F.col("cover"), F.col("text"), F.lit("absent")).alias("name"), names.names_company(F.col("cover"), F.lit("QQQ"), slug).alias("named"))
+    rows = names.with_official_name(rows, F.col("cover"), F.col("text"), F.lit("absent"), "name")
+    return rows.select("s_suppkey", "name", names.names_company(F.col("cover"), F.lit("QQQ"), slug).alias("named"))
 
 
 @query("""SELECT o_orderkey AS doc_id, coalesce(chunks, 0) AS chunks, coalesce(text_chunks, 0) AS text_chunks, coalesce(table_chunks, 0) AS table_chunks, coalesce(avg_words, 0) AS avg_words,

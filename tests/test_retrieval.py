@@ -142,7 +142,7 @@ def test_company_names(spark):
         (None, None, "inc", None), ("Corp of nothing", "", "a.b", None),
     ]
     df = spark.createDataFrame(covers, "cover string, text string, slug string, want string")
-    got = df.select("want", names.official_name(F.col("cover"), F.col("text"), F.col("slug")).alias("name")).collect()
+    got = names.with_official_name(df, F.col("cover"), F.col("text"), F.col("slug"), "name").collect()
     assert [r.name for r in got] == [r.want for r in got]
     named = spark.createDataFrame([("see (CSX) here", "CSX", "unknown"), ("O'Reilly parts", "ORLY", "oreilly-inc"), ("other", "Q", "acme-corp"), ("other", "Q", "unknown"), ("xCSXx", "CSX", "the-inc")], "c string, t string, s string")
     assert [r.n for r in named.select(names.names_company(F.col("c"), F.col("t"), F.col("s")).alias("n")).collect()] == [True, True, False, None, None]
