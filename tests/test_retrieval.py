@@ -12,7 +12,7 @@ def values(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_filters():
+def test_filters(spark):
     assert equals_or_in() is None and equals_or_in(a=None) is None
     for bad in ("", [], ["x", ""]):
         with pytest.raises(ValueError):
