@@ -12,6 +12,7 @@ from .decontaminate import benchmark_matches, is_contaminated
 from .langid import held_out, identify, profiles
 from .linededup import drop_repeated_lines
 from .neardup import near_duplicates
+from .prefixtrie import prefix_trie
 from .quality import quality_rules
 from .sentencepieces import encode_and_decode, load_model
 from .substrings import repeated_passages
@@ -98,6 +99,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, thin_pages(pages))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -176,6 +181,28 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN key IS NOT NULL TH
 FROM parts LEFT JOIN fits USING (page_id) LEFT JOIN listed ON host || path = key
 """.replace("ABC", ABC)
 
+CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b:
+  list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP11 = """
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, CRC32 % 4 AS h FROM (SELECT DISTINCT c FROM own) x),
+turns AS (SELECT ids.c, 0 AS own_turn, i, r, t FROM ids JOIN own ON own.c = ids.c - ids.c % 20 AND i <= h
+  UNION ALL SELECT ids.c, 1, i, r, t FROM ids JOIN own ON own.c = ids.c AND i > h),
+paths AS (SELECT c, list(md5(length(r) || ':' || r || t) ORDER BY own_turn, i) AS p, list(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) ORDER BY own_turn, i) AS w FROM turns GROUP BY c),
+whole AS (SELECT ids.c, coalesce(p, []) AS p, coalesce(w, []) AS w FROM ids LEFT JOIN paths USING (c)),
+steps AS (SELECT c, d, p[1:d] AS prefix, w[d] AS words, len(p) = d AS ends FROM (SELECT c, p, w, unnest(range(0, len(p) + 1)) AS d FROM whole) x),
+nodes AS (SELECT prefix, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(words), 0) AS words, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM steps GROUP BY prefix, d),
+kids AS (SELECT prefix[1:d - 1] AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+own_values AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (prefix)),
+sums AS (SELECT prefix[1:a] AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own_values) x GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM own_values n JOIN sums s USING (prefix) LEFT JOIN nodes up ON n.d > 0 AND up.prefix = n.prefix[1:n.d - 1]
+""".replace("CRC32", CRC32)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op3_minhash_near_dedup": OP3, "op4_benchmark_decontamination": OP4, "op8_warc_revisits": OP8, "op10_url_filters": OP10}
+    return {"op1_line_dedup": OP1, "op3_minhash_near_dedup": OP3, "op4_benchmark_decontamination": OP4, "op8_warc_revisits": OP8, "op10_url_filters": OP10, "op11_prefix_trie": OP11}
