@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import sha256_hex, table
 from .decontaminate import benchmark_matches, is_contaminated
+from .filteraudit import filter_audit
 from .langid import held_out, identify, profiles
 from .linededup import drop_repeated_lines
 from .neardup import near_duplicates
@@ -103,6 +104,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -203,6 +208,24 @@ SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.
 FROM own_values n JOIN sums s USING (prefix) LEFT JOIN nodes up ON n.d > 0 AND up.prefix = n.prefix[1:n.d - 1]
 """.replace("CRC32", CRC32)
 
+OP12 = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+low AS (SELECT text, min(doc_id) AS low FROM d GROUP BY text),
+f AS (SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) AS c,
+  regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > low, false) AS e FROM d JOIN low USING (text)),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+docs AS (SELECT part, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+orders(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) t(x) WHERE NOT contains(filter_order, x)),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, string_split(substr(filter_order, 1, step - 1), '') AS before FROM orders, range(1, 6) r(step) WHERE length(filter_order) = 5),
+judged AS (SELECT part, fails, list_filter(map_keys(fails), lambda k: fails[k]) AS failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM docs GROUP BY part, fails),
+cells AS (SELECT part, filter_order, step, own, n, good, toxic, list_contains(failed, own) AS fails_own, list_has_any(failed, before) AS gone, len(failed) = 1 AS alone FROM judged, steps),
+sums AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails_own), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails_own), 0) AS removed,
+  coalesce(sum(n) FILTER (WHERE gone AND fails_own), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails_own AND alone), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE NOT gone AND fails_own), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails_own), 0) AS toxic_lost FROM cells GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op3_minhash_near_dedup": OP3, "op4_benchmark_decontamination": OP4, "op8_warc_revisits": OP8, "op10_url_filters": OP10, "op11_prefix_trie": OP11}
+    return {"op1_line_dedup": OP1, "op3_minhash_near_dedup": OP3, "op4_benchmark_decontamination": OP4, "op8_warc_revisits": OP8, "op10_url_filters": OP10, "op11_prefix_trie": OP11, "op12_filter_audit": OP12}
