@@ -17,6 +17,7 @@ from .prefixtrie import prefix_trie
 from .quality import quality_rules
 from .sentencepieces import encode_and_decode, load_model
 from .substrings import repeated_passages
+from .tokenfiles import token_files
 from .toxicity import toxicity
 from .urlfilter import filter_urls, thin_pages
 from .warc import resolve_revisits
@@ -28,6 +29,13 @@ def piece_model_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def word_model() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256"))
@@ -108,6 +116,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), word_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
