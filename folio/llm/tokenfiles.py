@@ -7,6 +7,8 @@ file system and commits once, whatever executors are lost.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
@@ -26,6 +28,8 @@ from .words import slices
 
 #: Every SAMPLE-th one of the high bits has its place stored.
 SAMPLE = 64
+#: Plain pieces that are encoded in one text.
+JOINED = 200
 HEAD = struct.Struct("<qqqB")
 
 
@@ -109,28 +113,65 @@ class Shard:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-class WordTable:
-    """Ids of distinct words, for tokenizers that never join what white space divides. Emptied when it would hold more
-    than max_words."""
+def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start[0] : start[0] + size[0]], values[start[1] : ...] and so on, one after the other."""
+    return values[np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)]
 
-    def __init__(self, model: str, max_words: int):
-        self.tokenizer, self.max_words = Tokenizer.from_str(model), max_words
+
+class PieceTable:
+    """Ids of distinct pieces of words, for tokenizers that never join what white space divides.
+
+    A word of plain characters is put in small letters and divided by the tokenizer's own pattern, so `Word,` and `word`
+    share a piece; any other word goes to the library as it is. Distinct words and pieces of a slice of texts are found by
+    Arrow, the table holds pieces only. It is emptied when it would hold more than max_pieces.
+    """
+
+    #: No other character of this range changes by NFC, is white space, or has a small form of more than one character.
+    PLAIN = "^[!-~\u00a1-\u012f\u0131-\u017f]*$"
+
+    def __init__(self, model: str, max_pieces: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        spec = json.loads(model)
+        self.tokenizer, self.max_pieces = Tokenizer.from_str(model), max_pieces
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.pattern = next(s["pattern"]["Regex"] for s in _steps(spec, "pre_tokenizer", "pretokenizers") if s["type"] == "Split")
+        self.lower = any(s["type"] == "Lowercase" for s in _steps(spec, "normalizer", "normalizers"))
+        self.one_piece = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+        suffix, vocabulary = spec["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_piece[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        if not suffix:
+            self.one_piece = lambda piece: None
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.size, self.start, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 12, np.uint32), 0
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """The places of distinct words in the table."""
-        new = [w for w in words if w not in self.at]
-        if new and len(self.at) + len(new) > self.max_words:
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, size) of pieces. Plain ones are encoded many in one text: the ids that end a piece tell them apart."""
+        whole = [bool(p) and self.one_piece(p) is not None for p in pieces]
+        plain = [p for p, w in zip(pieces, whole, strict=True) if w]
+        joined = [" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        parts = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *parts])
+        sizes = np.diff(np.flatnonzero(self.ends_piece[flat]), prepend=-1)
+        assert len(sizes) == len(plain), "an id within a piece looks like its end"
+        each = [x.ids for x in self.tokenizer.encode_batch_fast([p for p, w in zip(pieces, whole, strict=True) if not w], add_special_tokens=False)]
+        size, whole = np.empty(len(pieces), np.int64), np.array(whole, bool)
+        size[whole], size[~whole] = sizes, [len(x) for x in each]
+        ids, is_plain = np.empty(int(size.sum()), np.uint32), np.repeat(whole, size)
+        ids[is_plain], ids[~is_plain] = flat, [i for x in each for i in x]
+        return ids, size
+
+    def rows(self, pieces: list[str]) -> np.ndarray:
+        """The places of distinct pieces in the table."""
+        new = [w for w in pieces if w not in self.at]
+        if new and len(self.at) + len(new) > self.max_pieces:
             self.clear()
-            new = words
+            new = pieces
         if new:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+            flat, sizes = self._encode(new)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used : self.used + len(flat)] = flat
@@ -138,43 +179,73 @@ class WordTable:
             self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
             self.used += len(flat)
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): those of words[i] are ids[start[i] : start[i] + size[i]]."""
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        for token in self.added:
+            plain = pc.and_not(plain, pc.match_substring(words, token))
+        text = words.filter(plain)
+        text = pc.utf8_lower(text) if self.lower else text
+        letters = pc.utf8_is_alpha(text)  # most words are one piece
+        spaced = pc.replace_substring_regex(text.filter(pc.invert(letters)), self.pattern, "\\0 ")
+        lists = pc.ascii_split_whitespace(pc.replace_with_mask(text, pc.invert(letters), spaced))
+        rest = words.filter(pc.invert(plain))
+        pieces = pa.concat_arrays([lists.flatten().cast(rest.type), rest]).dictionary_encode()
+        rows = self.rows(pieces.dictionary.to_pylist())[pieces.indices.to_numpy(zero_copy_only=False)]
+        ids = _gather(self.ids, self.start[rows], self.size[rows])
+        ends = np.concatenate([[0], np.cumsum(self.size[rows])])
+        n_plain = len(lists.flatten())
+        bounds = np.concatenate([ends[lists.offsets.to_numpy()[:-1]], ends[n_plain:]])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(pc.invert(plain))])
+        start, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        start[order], size[order] = bounds[:-1], np.diff(bounds)
+        return ids, start, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
         words = pc.ascii_split_whitespace(texts)
         each = words.flatten().dictionary_encode()
-        rows = self.rows(each.dictionary.to_pylist())[each.indices.to_numpy(zero_copy_only=False)] if len(each) else np.zeros(0, np.int64)
-        size = self.size[rows]
-        ids = self.ids[np.arange(int(size.sum())) + np.repeat(self.start[rows] - np.cumsum(size) + size, size)]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return ids, np.diff(ends[words.offsets.to_numpy() - words.offsets[0].as_py()])
+        if not len(each):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        ids, start, size = self._words(each.dictionary)
+        places = each.indices.to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(size[places])])
+        return _gather(ids, start[places], size[places]), np.diff(ends[words.offsets.to_numpy() - words.offsets[0].as_py()])
 
 
 @lru_cache(1)
-def word_table(model: str, max_words: int) -> WordTable:
+def piece_table(model: str, max_pieces: int) -> PieceTable:
     """One for each Python worker, kept from task to task."""
-    return WordTable(model, max_words)
+    return PieceTable(model, max_pieces)
+
+
+def _steps(spec: dict, kind: str, many: str) -> list[dict]:
+    step = spec[kind] or {}
+    return step.get(many, [step] if step else [])
 
 
 def check_model(model: str) -> int:
     """The width of an id in bytes; an error if the tokenizer could join or change something across white space."""
-    import json
-
     spec = json.loads(model)
-    steps = [*(spec["normalizer"] or {}).get("normalizers", [spec["normalizer"]]), *(spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"]])]
-    kinds = [s and s["type"] for s in steps]
-    dropped = [s for s in steps if s and s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
-    known = {"NFC", "Lowercase", "Split", "ByteLevel", "Replace"}
-    if set(kinds) - known or not dropped or spec["post_processor"] or spec["truncation"] or any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]) \
-            or any(s["type"] == "ByteLevel" and (s["add_prefix_space"] or s["use_regex"]) or s["type"] == "Replace" and s["pattern"] != {"Regex": "\\s+"} for s in steps):
+    fits = {
+        "NFC": lambda s: True, "Lowercase": lambda s: True,
+        "Replace": lambda s: s["pattern"] == {"Regex": "\\s+"} and s["content"] == " ",
+        "Split": lambda s: s["behavior"] == "Removed" and s["invert"] and "[^\\s" in s["pattern"]["Regex"],
+        "ByteLevel": lambda s: not s["add_prefix_space"] and not s["use_regex"],
+    }
+    steps = [*_steps(spec, "normalizer", "normalizers"), *_steps(spec, "pre_tokenizer", "pretokenizers")]
+    split = [s for s in steps if s["type"] == "Split"]
+    added = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+    if len(split) != 1 or added or spec["post_processor"] or spec["truncation"] or not all(s["type"] in fits and fits[s["type"]](s) for s in steps):
         raise ValueError("words of this tokenizer can't be encoded on their own")
     return 2 if Tokenizer.from_str(model).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def _shards(batches: Iterator[pa.RecordBatch], model: str, end_id: int, width: int, shard_ids: int, max_words: int) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], model: str, end_id: int, width: int, shard_ids: int, max_pieces: int) -> Iterator[pa.RecordBatch]:
     """Sorted documents as shards of at least shard_ids ids, but for the last."""
-    table, part, shard = word_table(model, max_words), TaskContext.get().partitionId(), 0
+    table, part, shard = piece_table(model, max_pieces), TaskContext.get().partitionId(), 0
     docs: list[pa.Array] = []
     sizes: list[np.ndarray] = []
     ids: list[np.ndarray] = []
@@ -190,7 +261,7 @@ def _shards(batches: Iterator[pa.RecordBatch], model: str, end_id: int, width: i
         return pa.RecordBatch.from_pylist([out], SHARD_ARROW)
 
     for batch in batches:
-        for cut in slices(batch["text"], slice_bytes=1 << 22):
+        for cut in slices(batch["text"], slice_bytes=1 << 24):
             flat, n = table.encode(pc.fill_null(batch["text"].slice(cut.lo, cut.n), ""))
             ends = np.cumsum(n)
             ids.append(np.insert(flat, ends, end_id))  # an end id behind each document
@@ -207,7 +278,7 @@ SHARD = "part int, shard int, n_docs long, n_ids long, n_null long, width int, d
 SHARD_ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_null", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.binary()), ("bounds", pa.binary()), ("ids", pa.binary())])
 
 
-def write_token_shards(docs: DataFrame, path: str, model: str, end_id: int = 2, shard_ids: int = 1 << 20, max_words: int = 400_000) -> None:
+def write_token_shards(docs: DataFrame, path: str, model: str, end_id: int = 2, shard_ids: int = 1 << 20, max_pieces: int = 1_000_000) -> None:
     """documents(doc_id, text) -> shards at path, in ascending doc_id order: documents are dealt by ranges of doc_id (rows
     of one id by the hash of their text, so that no id is too many for a task), and a task writes its range as shards of
     about shard_ids ids. (part, shard) is the order of the shards.
@@ -220,7 +291,7 @@ def write_token_shards(docs: DataFrame, path: str, model: str, end_id: int = 2,
     width = check_model(model)
     docs = read_rows_only(docs, doc_id="doc_id", text="text").withColumn("tie", F.xxhash64("text"))
     dealt = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    dealt.mapInArrow(lambda batches: _shards(batches, model, end_id, width, shard_ids, max_words), SHARD).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(lambda batches: _shards(batches, model, end_id, width, shard_ids, max_pieces), SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
