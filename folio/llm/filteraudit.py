@@ -48,6 +48,7 @@ def failures(docs: DataFrame, min_words: int = 50, distinct_percent: int = 65, c
     )
     columns = save(columns, "filter-columns")
     repeated = columns.where("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("high > low").drop("high")
+    repeated = save(repeated, "repeated-texts")  # few rows; as a table it leaves the join free to split a hot text
     columns = columns.join(repeated, ["t1", "t2"], "left").join(counts, ["k1", "k2"], "left")
     words, distinct = F.coalesce("n_words", F.lit(0)), F.coalesce("n_distinct", F.lit(0))
     fails = [words < min_words, 100 * distinct < distinct_percent * words, F.col("c"), F.col("d"), F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False))]
