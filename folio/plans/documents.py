@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import excerpt, is_page_number, normalise_white_space, sentence_units
-from ..operators import answer, chunking, sections
+from ..operators import answer, chunking, layout, sections, wordpiece
 from ..streaming import events as streams
 from . import query, table
 
@@ -55,10 +55,37 @@ def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.label_lines(lines(spark, sf_dir)).groupBy("doc_id", "section").agg(F.count("*").alias("n"))
 
 
+def piece_vocabulary(benchmark: DataFrame) -> DataFrame:
+    """(token): word pieces from the benchmark's words, their beginnings of one to four letters and all that follows of one to
+    three."""
+    runs = benchmark.select(F.explode(wordpiece.words_of(F.col("text"))).alias("w")).select(F.explode(wordpiece.basic_tokens(F.col("w"))).alias("r")).distinct()
+    heads = runs.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring("r", 1, n))).alias("token"))
+    places = F.sequence(F.lit(2), F.greatest(F.length("r"), F.lit(2)))
+    inside = F.flatten(F.transform(places, lambda at: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.concat(F.lit("##"), F.col("r").substr(at, n)))))
+    return heads.union(runs.select(F.explode(inside).alias("token")).where("token != '##'")).distinct()
+
+
+RUNS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+')"
+
+
+@query(rf"""WITH RECURSIVE br AS (SELECT DISTINCT unnest({RUNS}) AS r FROM benchmark),
+v AS (SELECT substr(r, 1, n) AS piece, false AS inside FROM br, range(1, 5) t(n) UNION SELECT substr(r, a, n), true FROM (SELECT r, unnest(range(2, length(r) + 1)) AS a FROM br) q, range(1, 4) t(n) WHERE length(r) >= 2),
+dr AS (SELECT doc_id, unnest({RUNS}) AS r FROM documents), runs AS (SELECT DISTINCT r FROM dr),
+spans AS (SELECT r, a, n, substr(r, a, n) AS piece, a > 1 AS inside FROM (SELECT r, unnest(range(1, length(r) + 1)) AS a FROM runs) q, range(1, 5) t(n) WHERE a + n - 1 <= length(r)),
+best AS (SELECT r, a, max(n) AS n FROM spans JOIN v USING (piece, inside) GROUP BY r, a),
+walk AS (SELECT r, CAST(1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS k FROM runs UNION ALL SELECT w.r, w.a + b.n, w.k + 1 FROM walk w JOIN best b ON b.r = w.r AND b.a = w.a),
+n AS (SELECT r, CASE WHEN max(a) = length(r) + 1 AND length(r) <= 100 THEN max(k) ELSE 1 END AS n FROM walk GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(sum(n.n), 0) AS BIGINT) AS n_tokens FROM documents d LEFT JOIN dr USING (doc_id) LEFT JOIN n USING (r) GROUP BY d.doc_id""")
+def wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document under a vocabulary made from the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.token_counts(docs, piece_vocabulary(table(spark, sf_dir, "benchmark")), "doc_id")
+
+
 @query()
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = sections.label_lines(lines(spark, sf_dir))
-    return chunking.chunk(marked).select("chunk_id", "doc_id", "page", "section", "content_type", F.md5(F.col("text").cast("binary")).alias("text"))
+    return chunking.chunk(marked, vocabulary=piece_vocabulary(table(spark, sf_dir, "benchmark"))).select("chunk_id", "doc_id", "page", "section", "content_type", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("WITH " + LINES + r""", x AS (SELECT l_orderkey, l_linenumber, l_returnflag || ' | ' || CAST(l_quantity AS INT) || CASE WHEN l_linenumber % 2 = 0 THEN ' | 1,' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') ELSE ' | n.a.' END AS line FROM lineitem)
@@ -71,9 +98,9 @@ def table_row_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.union(own).select("l_orderkey", "l_linenumber", chunking.is_table_row(F.col("line")).alias("is_row"))
 
 
-@query()
+@query(r"""SELECT doc_id, len(list_filter(flatten(list_transform(string_split(text, chr(10)), lambda x: string_split(regexp_replace(x, '([.!?])[\t\x0B\f\r ]+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda x: trim(x) <> '')) AS n FROM documents""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(sentence_units(F.col("text"))).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(sentence_units(F.col("text"))).cast("long").alias("n"))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 AS page, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber) AS n FROM lineitem)
@@ -83,13 +110,61 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.with_chunk_ids(rows, "l_linenumber").select(F.col("doc_id").alias("l_orderkey"), "l_linenumber", "chunk_id")
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT l_orderkey AS doc_id, l_linenumber * 20.0 AS x0, CAST(l_quantity AS DOUBLE) AS h, CAST(l_partkey AS VARCHAR) AS word FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h, x0) AS i FROM w),
+r AS (SELECT doc_id, i, h AS first, 1 AS "row", x0, word FROM o WHERE i = 1
+  UNION ALL SELECT o.doc_id, o.i, CASE WHEN o.h - r.first > 4 THEN o.h ELSE r.first END, CASE WHEN o.h - r.first > 4 THEN r."row" + 1 ELSE r."row" END, o.x0, o.word FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1),
+c AS (SELECT *, CASE WHEN x0 - lag(x0 + 10) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word) > 12 OR lag(x0) OVER (PARTITION BY doc_id, "row" ORDER BY x0, word) IS NULL THEN ' | ' ELSE ' ' END AS sep FROM r)
+SELECT doc_id, CAST("row" AS INTEGER) AS "row", substr(string_agg(sep || word, '' ORDER BY x0, word), 4) AS line FROM c GROUP BY doc_id, "row" """)
 def row_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as words on a page for each order: quantity is the height, the line number the place in the row."""
     items = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_linenumber") * 20.0, F.col("l_quantity").cast("double")
     words = items.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), y.alias("y1"), F.col("l_partkey").cast("string").alias("word"))
-    return chunking.row_clusters(words).select("doc_id", "row", F.array_join("cells", " | ").alias("line"))
+    rows = layout.row_texts(layout.with_rows(words, layout.PAGE), [*layout.PAGE, "row"])
+    return rows.select("doc_id", "row", F.array_join("cells", " | ").alias("line"))
+
+
+def typeset(docs: DataFrame) -> DataFrame:
+    """documents(doc_id, text) as words with places, all pages 612 wide: every third document in lines of ten words, the others in two
+    columns of five words and 40 lines; in every third the page's first word is a title across both. Heights shake by two points."""
+    words = docs.select("doc_id", F.posexplode(F.expr(r"filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w != '')")).alias("at", "word"))
+    kind, i = F.col("doc_id") % 3, F.col("at") % 400
+    one, title = kind == 1, (kind == 2) & (i == 0)
+    c, r = F.when(one, i % 10).otherwise(i % 5), F.floor(F.when(one, i / 10).otherwise((i % 200) / 5))
+    x0 = F.when(title, 200).otherwise(40 + 45 * c + F.when(one, 0).otherwise(280 * F.floor(i / 200))).cast("double")
+    y0 = F.when(title, -20).otherwise(20 * r + (F.col("doc_id") + c) % 3).cast("double")
+    return words.select("doc_id", F.floor(F.col("at") / 400 + 1).alias("page"), F.lit(612.0).alias("width"), x0.alias("x0"), y0.alias("y0"), F.when(title, 420).otherwise(x0 + 40).cast("double").alias("x1"), (y0 + 5).alias("y1"), "word")
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+a AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS seq FROM t),
+b AS (SELECT doc_id, word, CAST(floor(seq / 400) AS BIGINT) + 1 AS page, seq % 400 AS i, doc_id % 3 AS kind FROM a),
+g AS (SELECT *, kind = 2 AND i = 0 AS title, CASE WHEN kind = 1 THEN i % 10 ELSE i % 5 END AS c, CASE WHEN kind = 1 THEN CAST(floor(i / 10) AS BIGINT) ELSE CAST(floor((i % 200) / 5) AS BIGINT) END AS r FROM b),
+w AS (SELECT doc_id, page, word, CASE WHEN title THEN 200 ELSE 40 + 45 * c + CASE WHEN kind = 1 THEN 0 ELSE 280 * CAST(floor(i / 200) AS BIGINT) END END AS x0, CASE WHEN title THEN -17.5 ELSE 20 * r + (doc_id + c) % 3 + 2.5 END AS h, title FROM g WHERE word NOT IN ('$', '€')),
+p AS (SELECT *, CASE WHEN title THEN 420 ELSE x0 + 40 END AS x1 FROM w),
+n AS (SELECT *, CASE WHEN h - lag(h) OVER v > 4 OR lag(h) OVER v IS NULL THEN 1 ELSE 0 END AS new FROM p WINDOW v AS (PARTITION BY doc_id, page ORDER BY h)),
+rows_ AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY h) AS row_ FROM n),
+size AS (SELECT doc_id, page, max(row_) AS n_rows FROM rows_ GROUP BY ALL),
+cand AS (SELECT doc_id, page, n_rows, unnest(range(214, 398, 2)) AS x FROM size),
+cross_ AS (SELECT doc_id, page, n_rows, x, count(DISTINCT row_) AS n FROM cand LEFT JOIN rows_ USING (doc_id, page) WHERE x0 < x + 4 AND x1 > x - 4 GROUP BY ALL),
+counts AS (SELECT cand.*, coalesce(n, 0) AS n FROM cand LEFT JOIN cross_ USING (doc_id, page, n_rows, x)),
+best AS (SELECT doc_id, page, n_rows, list(x ORDER BY x) AS xs FROM (SELECT *, min(n) OVER (PARTITION BY doc_id, page) AS fewest FROM counts) q WHERE n = fewest AND fewest <= 0.1 * n_rows GROUP BY ALL),
+mid AS (SELECT doc_id, page, n_rows, xs[CAST(floor(len(xs) / 2) AS BIGINT) + 1] AS x FROM best),
+side AS (SELECT doc_id, page, n_rows, x, row_, x1 <= x AS is_left, count(*) AS k, count(*) FILTER (WHERE NOT regexp_matches(word, '\p{L}') OR regexp_matches(word, '\p{N}')) AS bad,
+  bool_or(regexp_replace(word, '\.{3,}', '', 'g') <> '') AS has_text FROM mid JOIN rows_ USING (doc_id, page) WHERE x1 <= x OR x0 >= x GROUP BY ALL),
+prose AS (SELECT doc_id, page, n_rows, x, count(*) FILTER (WHERE is_left) AS l, count(*) FILTER (WHERE NOT is_left) AS r FROM side WHERE k >= 4 AND has_text AND bad / k < 0.2 GROUP BY ALL),
+gut AS (SELECT doc_id, page, x FROM prose WHERE least(l, r) >= 8 AND least(l, r) >= 0.3 * n_rows),
+placed AS (SELECT rows_.*, x, x IS NULL OR bool_or(x0 < x AND x < x1) OVER (PARTITION BY doc_id, page, row_) AS alone FROM rows_ LEFT JOIN gut USING (doc_id, page)),
+band AS (SELECT *, CASE WHEN alone THEN 0 WHEN x1 <= x THEN 1 ELSE 2 END AS s, coalesce(max(CASE WHEN alone THEN row_ END) OVER (PARTITION BY doc_id, page ORDER BY row_), 0) AS b FROM placed),
+spaced AS (SELECT *, CASE WHEN lag(x1) OVER v IS NULL THEN '' WHEN x0 - lag(x1) OVER v > 12 THEN ' | ' ELSE ' ' END AS sep FROM band WINDOW v AS (PARTITION BY doc_id, page, b, s, row_ ORDER BY x0)),
+joined AS (SELECT doc_id, page, b, s, row_, string_split(string_agg(sep || word, '' ORDER BY x0), ' | ') AS cs FROM spaced GROUP BY doc_id, page, b, s, row_),
+cells AS (SELECT doc_id, page, b, s, row_, unnest(cs) AS cell, generate_subscripts(cs, 1) AS k FROM joined),
+lines AS (SELECT doc_id, page, b, s, row_, string_agg(trim(regexp_replace(cell, '\.{3,}', '', 'g')), ' | ' ORDER BY k) AS line FROM cells WHERE trim(regexp_replace(cell, '\.{3,}', '', 'g')) <> '' GROUP BY doc_id, page, b, s, row_)
+SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY b, s, row_) AS INTEGER) AS line_no, md5(line) AS line FROM lines""")
+def two_column_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents set in one column or two and read back in reading order."""
+    return layout.page_lines(typeset(table(spark, sf_dir, "documents"))).select("doc_id", "page", "line_no", F.md5(F.col("line").cast("binary")).alias("line"))
 
 
 @query("""WITH w AS (SELECT n_nationkey AS k, lower(n_name) AS a FROM nation), u AS (SELECT conv_id * 1000 + turn AS qid, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS q FROM conversations)
