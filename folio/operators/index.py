@@ -102,29 +102,75 @@ def duplicates(rows: DataFrame, content: str, name: str) -> DataFrame:
     return keyed.join(groups, "hash")
 
 
-def replace_documents(spark: SparkSession, new: DataFrame, path: str, replaced: DataFrame | None = None, buckets: int = 64) -> str:
-    """Write the index anew with the documents' chunks in place of those of the same doc_id, and return the folder of the new
-    version. `replaced` (doc_id) names the documents that are replaced, so that one whose new version has no chunks goes;
-    by default those of `new`. Rows lie in `buckets` folders by the hash of doc_id, of which only the touched are read and
-    written; the version is a list of such folders, put in place by one small file at the end, so a reader sees the
-    old version or the new one."""
+def replace_documents(spark: SparkSession, new: DataFrame, path: str, replaced: DataFrame | None = None, buckets: int = 64, keep_versions: int = 3, extra: dict[str, DataFrame] | None = None) -> str:
+    """Write the index anew with the documents' chunks in place of those of the same doc_id, and return the new version. `replaced`
+    (doc_id) names the documents that are replaced, so that one whose new version has no chunks goes; by default those of `new`.
+    Rows lie in `buckets` folders by the hash of doc_id. One job reads the touched folders once and writes them; the version
+    is a list of folders, put in place by one small file at the end, so a reader sees the old version or the new one.
+    `extra` are further tables of the version, switched with it. Files that the last keep_versions versions don't use are
+    deleted; a reader that is slower than so many versions must ask for more."""
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
     ids = (new if replaced is None else replaced).select("doc_id").distinct()
     folders = current_folders(spark, path)
-    touched = [r["b"] for r in ids.select(bucket.alias("b")).distinct().collect()]
-    version = uuid.uuid4().hex
+    touched = [r["b"] for r in ids.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
+    version, rows = uuid.uuid4().hex, new
+    if old := [f"{path}/{folders[b]}" for b in touched if b in folders]:
+        rows = spark.read.schema(new.schema).parquet(*old).join(ids, "doc_id", "left_anti").select(new.columns).union(new)
+    rows.withColumn("b", bucket).repartition("b").write.partitionBy("b").parquet(f"{path}/{version}")
+    written = {int(name[2:]) for name in _names(spark, f"{path}/{version}") if name.startswith("b=")}
     for b in touched:
-        rows = new.where(bucket == b)
-        if b in folders:
-            old = spark.read.schema(new.schema).parquet(f"{path}/{folders[b]}")
-            rows = old.join(ids, "doc_id", "left_anti").select(new.columns).union(rows)
-        folders[b] = f"{version}/bucket={b}"
-        rows.write.parquet(f"{path}/{folders[b]}")
-    spark.createDataFrame(sorted(folders.items()), "b int, folder string").coalesce(1).write.json(f"{path}/versions/{version}")
+        folders.pop(b, None)
+    folders |= {b: f"{version}/b={b}" for b in touched if b in written}
+    for name, df in (extra or {}).items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    listed = spark.createDataFrame([(b, f, buckets) for b, f in sorted(folders.items())] or [(None, None, buckets)], "b int, folder string, buckets int")
+    listed.coalesce(1).write.json(f"{path}/versions/{version}")
+    before = current_version(spark, path)
     _point_to(spark, path, version)
+    _clean_up(spark, path, version, before, keep_versions)
     return version
 
 
+def _fs(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, jpath = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def _clean_up(spark: SparkSession, path: str, version: str, before: str | None, keep: int) -> None:
+    """Each version names the one before it; folders that none of the newest `keep` versions lists go, oldest names too."""
+    spark.createDataFrame([(before,)], "before string").coalesce(1).write.json(f"{path}/history/{version}")
+    kept, at = [], version
+    while at and len(kept) < max(1, keep):
+        kept.append(at)
+        at = spark.read.schema("before string").json(f"{path}/history/{at}").first()["before"] if at in _names(spark, f"{path}/history") else None
+    used = {f for v in kept for f in _folders(spark, path, v).values()} | {v for v in kept}
+    fs, _ = _fs(spark, path)
+    for name in set(_names(spark, path)) - {"versions", "history", "CURRENT"}:
+        inside = [x for x in _names(spark, f"{path}/{name}") if x.startswith("b=")]
+        for folder in inside:
+            if name not in kept and f"{name}/{folder}" not in used:
+                fs.delete(_fs(spark, f"{path}/{name}/{folder}")[1], True)
+        if name not in kept and not any(f.startswith(f"{name}/") for f in used):
+            fs.delete(_fs(spark, f"{path}/{name}")[1], True)
+    for kind in ("versions", "history"):
+        for name in set(_names(spark, f"{path}/{kind}")) - set(kept):
+            fs.delete(_fs(spark, f"{path}/{kind}/{name}")[1], True)
+
+
+def load_documents(spark: SparkSession, new: DataFrame, path: str, all_ids: DataFrame | None = None) -> str:
+    """Put the chunks of `new` in the index. With all_ids (doc_id), a full load: documents that the index has and all_ids
+    hasn't leave it with the same switch."""
+    replaced = new.select("doc_id")
+    if all_ids is not None and current_version(spark, path):
+        replaced = replaced.union(stale(read_documents(spark, path), all_ids, "doc_id"))
+    return replace_documents(spark, new, path, replaced)
+
+
 def _point_to(spark: SparkSession, path: str, version: str) -> None:
     """Put the name of the version into the pointer file: written beside it and moved over it by one call."""
     jvm = spark._jvm
@@ -139,13 +185,20 @@ def _point_to(spark: SparkSession, path: str, version: str) -> None:
     context.rename(new, current, options)
 
 
+def current_version(spark: SparkSession, path: str) -> str | None:
+    fs, pointer = _fs(spark, f"{path}/CURRENT")
+    return spark.read.text(f"{path}/CURRENT").first()[0] if fs.exists(pointer) else None
+
+
+def _folders(spark: SparkSession, path: str, version: str) -> dict[int, str]:
+    rows = spark.read.schema("b int, folder string").json(f"{path}/versions/{version}").where("folder is not null").collect()
+    return {r["b"]: r["folder"] for r in rows}
+
+
 def current_folders(spark: SparkSession, path: str) -> dict[int, str]:
     """The folder of each bucket in the version that CURRENT names; none if nothing was written yet."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        return {}
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return {r["b"]: r["folder"] for r in spark.read.json(f"{path}/versions/{version}").collect()}
+    version = current_version(spark, path)
+    return _folders(spark, path, version) if version else {}
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
