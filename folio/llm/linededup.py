@@ -23,12 +23,12 @@ def split_lines(text: Column) -> Column:
 
 
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, pos, h1, h2) of each line whose key has at least min_chars code points. The two 64-bit hashes make one
-    of 128 bits, which no two keys of any corpus are expected to share."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", F.btrim("line", F.lit(WHITE)).alias("line")).where(F.length("line") >= min_chars)
+    """(doc_id, text_hash, pos, h1, h2) of each line whose key has at least min_chars code points. The two 64-bit hashes make
+    one of 128 bits, which no two keys of any corpus are expected to share. The text's hash tells rows of one doc_id apart."""
+    lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    lines = lines.select("doc_id", "text_hash", "pos", F.btrim("line", F.lit(WHITE)).alias("line")).where(F.length("line") >= min_chars)
     key = ascii_lower(F.col("line"))
-    return lines.select("doc_id", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
+    return lines.select("doc_id", "text_hash", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
 class LineRuns:
@@ -100,8 +100,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     A text is split at newlines; null and empty texts have one empty line. A line's key is the line without ASCII white
     space at its ends, with A-Z lower-cased. Keys of min_chars code points or more that at least min_docs documents
     have lose all lines except those in the largest doc_id that holds them. The other lines stay, joined by newlines.
-    A text that loses all its lines becomes empty. Rows that repeat a doc_id are taken for the same document and get the
-    same result each. Lines of rows without doc_id are neither counted nor dropped. An empty table gives no rows.
+    A text that loses all its lines becomes empty. Rows of one doc_id are one document when documents are counted, each row
+    with its own lines; repeated rows get the same result each. Lines of rows without doc_id are neither counted nor dropped. An empty table gives no rows.
 
     Very long texts and lines are dealt with whole. Columns of docs that are not in carry are not read, so their names
     can't clash.
@@ -117,13 +117,15 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     batch = sum(((F.col("doc_id") <= c).cast("int") for c in cuts or []), F.lit(0))
     lines = save(hashed_lines(docs.select("doc_id", "text"), min_chars).withColumn("batch", batch), "lines", partition_by="batch")
     runs = LineRuns(docs.sparkSession, min_docs)
-    for i in range(batches):
-        runs.add(lines.where(F.col("batch") == i))
-    common = save(runs.common(), "common")
-    runs.close()
+    try:
+        for i in range(batches):
+            runs.add(lines.where(F.col("batch") == i))
+        common = save(runs.common(), "common")
+    finally:
+        runs.close()
     same = (lines.h1 == common.h1) & (lines.h2 == common.h2) & (lines.doc_id < common.last_doc)
-    stay = lines.join(common, same, "left_anti").groupBy("doc_id").agg(F.collect_list("pos").alias("stay"))
-    split = docs.join(stay, "doc_id", "left").withColumn("lines", split_lines(F.col("text")))
+    stay = lines.join(common, same, "left_anti").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("stay"))
+    split = docs.withColumn("text_hash", F.xxhash64("text")).join(stay, ["doc_id", "text_hash"], "left").withColumn("lines", split_lines(F.col("text")))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     short = F.filter(places, lambda i: F.length(F.btrim(F.get("lines", i), F.lit(WHITE))) < min_chars)
     kept = F.when(F.col("doc_id").isNull(), places).otherwise(F.array_sort(F.array_union(short, F.coalesce("stay", F.array().cast("array<int>")))))

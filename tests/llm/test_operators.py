@@ -142,6 +142,17 @@ def test_line_dedup(spark):
         assert got[i] == [(len(lines), len(lines) - len(stay), "\n".join(stay))]
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Rows of one id are one document when documents are counted, and keep their own lines."""
+    hot = [c * 52 for c in "abcde"]
+    rows = [(1, "short"), (1, "\n".join(hot)), (1, "\n".join(hot)), (1, f"{hot[0]}\nend"), *[(i, "\n".join(hot)) for i in range(2, 7)], (7, hot[0]), (7, f"x\n{hot[1]}"), (7, None)]
+    found = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in drop_repeated_lines(frame(spark, rows)).collect())
+    last = "\n".join(hot[2:])
+    assert found == sorted(
+        [(1, 1, 0, "short"), (1, 5, 5, ""), (1, 5, 5, ""), (1, 2, 1, "end"), *[(i, 5, 5, "") for i in range(2, 6)], (6, 5, 2, last), (7, 1, 0, hot[0]), (7, 2, 0, f"x\n{hot[1]}"), (7, 1, 0, "")]
+    )
+
+
 def test_line_runs_are_compacted(spark):
     lines = hashed_lines(frame(spark, [(i, "x" * 40 + str(i % 3)) for i in range(27)]), 40)
     whole, runs = LineRuns(spark, 100), LineRuns(spark, 100, fan_in=3, buckets=3)
