@@ -102,8 +102,8 @@ def year_check(file_year: Column, end: Column) -> Column:
 
 def excerpt(wanted: Column, text: Column, chars: int = 200) -> Column:
     """The wanted words if the text has them verbatim, else the text's beginning."""
-    wanted = F.trim(wanted)
-    return F.when((wanted != "") & text.contains(wanted), wanted).otherwise(F.trim(F.substring(text, 1, chars)))
+    strip = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when((strip(wanted) != "") & text.contains(strip(wanted)), strip(wanted)).otherwise(strip(F.substring(text, 1, chars)))
 
 
 def escape_document_tags(text: Column) -> Column:

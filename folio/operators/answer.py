@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
-import html
-import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..contracts import REPLY
-from ..functions.text import estimated_tokens, excerpt, year_candidates
+from ..functions.text import escape_document_tags, estimated_tokens, excerpt, year_candidates
 
+#: What str.strip takes for ASCII.
+WHITE = " \t\n\x0b\x0c\r"
 #: Letters with one accent in Latin scripts and the letters under them.
 ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1)
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
-LEGAL = r"( (inc|corp|corporation|co|company|ltd|limited|plc|llc|lp|group|holdings|public limited company))+$"
+#: Endings that the short form of a company's name leaves out, again and again.
+LEGAL_ENDINGS = (
+    "public limited company", "incorporated", "corporation", "holdings", "international", "company", "limited", "group", "corp", "inc", "ltd", "plc", "llc", "s a", "n v", "co", "lp",
+    "sa", "nv", "ag", "se",
+)
+LEGAL = rf"( ({'|'.join(LEGAL_ENDINGS)}))+$"
+#: Short names that also name the exchange, and words around such a name where it means that.
+GENERIC = ("nasdaq",)
+EXCHANGE_AFTER = (
+    "companies", "company", "firms", "firm", "issuers", "listed", "listing", "listings", "stock", "stocks", "market", "markets", "exchange", "composite", "index", "100", "global", "rules",
+)
+EXCHANGE_BEFORE = ("a", "an", "on", "other", "traded", "listed")
+#: What is said in place of an answer.
+INSUFFICIENT = (
+    "I don't know. The retrieved 10-K sections don't contain enough information to answer that question. "
+    "Try rephrasing it, or ask about a specific company's risks, business or figures stated in its 10-K."
+)
+OUT_OF_SCOPE = (
+    "Sorry, I can't help with that. I can answer questions about a single company's 10-K, such as its risk "
+    "factors, business model, competition, or figures stated in the filing. I can't compare companies, "
+    "calculate growth or give investment advice."
+)
+MARKER = r"\[\d{1,2}(?:\s*,\s*\d{1,2})*\]"
 
 
 def normalised(text: Column) -> Column:
@@ -31,23 +52,46 @@ def short_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(normalised(name)), "^the ", ""), LEGAL, "")
 
 
-def aliases(names: DataFrame) -> DataFrame:
-    """names(ticker, name) -> (ticker, alias): the names and their short forms, normalised, without empty ones."""
-    both = names.select("ticker", F.trim(normalised(F.col("name"))).alias("alias")).union(names.select("ticker", short_name(F.col("name"))))
-    return both.where("alias is not null and alias != ''").distinct()
+def aliases(names: DataFrame, folders: DataFrame | None = None, nicknames: DataFrame | None = None) -> DataFrame:
+    """names(ticker, name), folders(ticker, folder), nicknames(ticker, alias) -> (ticker, alias, in_context): the names and their
+    short forms, folders and nicknames, normalised, without empty ones. Short names that also name an exchange count in context
+    only. Nicknames of tickers that have no name or folder are left out."""
+    short = short_name(F.col("name"))
+    every = names.select("ticker", F.trim(normalised(F.col("name"))).alias("alias"), F.lit(False).alias("in_context"))
+    every = every.union(names.select("ticker", short, short.isin(*GENERIC)))
+    if folders is not None:
+        every = every.union(folders.select("ticker", F.trim(normalised(F.col("folder"))), F.lit(False)))
+    if nicknames is not None:
+        known = nicknames.select(F.upper(F.trim("ticker")).alias("ticker"), F.trim(normalised(F.col("alias"))).alias("alias"), F.lit(False).alias("in_context"))
+        every = every.union(known.join(every.select("ticker"), "ticker", "left_semi"))
+    return every.where("alias is not null and alias != ''").groupBy("ticker", "alias").agg(F.min("in_context").alias("in_context"))
+
+
+def possible_tickers(question: Column) -> Column:
+    """Runs of letters and digits, and up to three of them with stops or hyphens between: a stop at the end is the sentence's."""
+    part, cut = "[A-Za-z0-9]+", r"[.\-]"
+    joined = [part + (cut + part) * n for n in range(3)]
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(question, F.lit(rf"(?<![A-Za-z0-9])(?=({x})(?![A-Za-z0-9]))"), F.lit(1)) for x in joined])))
 
 
 def resolve(questions: DataFrame, known: DataFrame) -> DataFrame:
-    """questions(qid, question), known(ticker, alias) -> (qid, tickers, ticker, years, fiscal_year, ambiguous_company,
-    ambiguous_year). A question names a company by an alias as a whole phrase or by its ticker in capitals. A value is given
-    only where there is exactly one candidate. Phrases of as many words as the longest alias has are joined with the aliases by
-    equality."""
+    """questions(qid, question), known(ticker, alias, in_context) -> (qid, tickers, ticker, years, fiscal_year, ambiguous_company,
+    ambiguous_year). A question names a company by an alias as a whole phrase or by its ticker in capitals. An alias in_context
+    doesn't count where the words beside it say that the exchange is meant. A value is given only where there is exactly one
+    candidate. Phrases of as many words as the longest alias has are joined with the aliases by equality."""
     max_words = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
-    words = F.split(F.trim(normalised(F.col("question"))), " ")
-    spans = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " ")))))
-    phrases = questions.select("qid", words.alias("w")).select("qid", spans.alias("alias")).distinct()
-    signs = questions.select("qid", F.explode(F.regexp_extract_all("question", F.lit(r"(?<![\p{L}\p{N}])\$?([A-Z][A-Z0-9.]{0,11})(?![\p{L}\p{N}])"), F.lit(1))).alias("ticker"))
-    named = phrases.join(known, "alias").select("qid", "ticker").union(signs.join(known.select("ticker").distinct(), "ticker", "left_semi").select("qid", "ticker"))
+    w = F.split(F.trim(normalised(F.col("question"))), " ")
+    places = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("i"), n.alias("n")))))
+    spans = questions.select("qid", w.alias("w")).select("qid", "w", F.explode(places).alias("p"))
+    word = lambda at: F.coalesce(F.get("w", at), F.lit(""))
+    first = F.col("p.i") - 1
+    before, two_before, after = F.when(first > 0, word(first - 1)).otherwise(""), F.when(first > 1, word(first - 2)).otherwise(""), word(first + F.col("p.n"))
+    exchange = after.isin(*EXCHANGE_AFTER) | before.isin(*EXCHANGE_BEFORE) | ((before == "the") & two_before.isin(*EXCHANGE_BEFORE))
+    phrases = spans.select("qid", F.array_join(F.slice("w", F.col("p.i"), F.col("p.n")), " ").alias("alias"), exchange.alias("exchange")).distinct()
+    known = known if "in_context" in known.columns else known.withColumn("in_context", F.lit(False))
+    signs = questions.select("qid", F.explode(possible_tickers(F.col("question"))).alias("ticker"))
+    named = phrases.join(known, "alias").where("not (in_context and exchange)").select("qid", "ticker")
+    named = named.union(signs.join(known.select("ticker").distinct(), "ticker", "left_semi").select("qid", "ticker"))
     found = named.groupBy("qid").agg(F.sort_array(F.collect_set("ticker")).alias("tickers"))
     out = questions.join(found, "qid", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>"))).withColumn("years", year_candidates(F.col("question")))
     return out.select(
@@ -70,54 +114,70 @@ def route(resolved: DataFrame, catalog: DataFrame, snapshots: DataFrame) -> Data
     return marked.select("qid", F.when(F.col("c") == 1, "search").when(F.col("s") == 1, "snapshot").otherwise("clarify").alias("route"))
 
 
-def context(hits: DataFrame, budget: int = 12_000, text: str = "text") -> DataFrame:
-    """hits(qid, rank, text, ...): those of each question's first ranks whose estimated tokens add up to no more than the budget,
-    with their place D1, D2, .... The first that doesn't fit ends the context."""
+def escape_html(text: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def rendered(place: Column, text: Column, **attributes: Column) -> Column:
+    """A document as the generator sees it: a tag with its place and attributes (null: None) around the text, in which no
+    document tag can end it."""
+    inside = [F.concat(F.lit(f' {name}="'), escape_html(F.coalesce(value.cast("string"), F.lit("None"))), F.lit('"')) for name, value in attributes.items()]
+    return F.concat(F.lit('<document id="'), place, F.lit('"'), *inside, F.lit(">\n"), escape_document_tags(text), F.lit("\n</document>"))
+
+
+def context(hits: DataFrame, budget: int = 12_000) -> DataFrame:
+    """hits(qid, rank, text, company, fiscal_year, section, page): those of each question's first ranks whose rendered forms'
+    estimated tokens add up to no more than the budget, with their place D1, D2, ..., rendered, and spent, the sum so far. The
+    first that doesn't fit ends the context."""
     order = Window.partitionBy("qid").orderBy("rank")
-    spent = F.sum(F.greatest(estimated_tokens(F.col(text)), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("spent", spent).where(F.col("spent") <= budget).withColumn("place", F.concat(F.lit("D"), F.row_number().over(order)))
+    placed = hits.withColumn("place", F.concat(F.lit("D"), F.row_number().over(order)))
+    form = rendered(F.col("place"), F.col("text"), company=F.col("company"), fiscal_year=F.col("fiscal_year"), section=F.col("section"), page=F.col("page"))
+    spent = F.sum(F.greatest(estimated_tokens(F.col("rendered")), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("rendered", form).withColumn("spent", spent).where(F.col("spent") <= budget)
 
 
-def render(doc_id: str, text: str, **attributes: str) -> str:
-    inside = re.sub(r"(?i)<(\s*/?\s*document\b)", r"&lt;\1", text)
-    return f'<document id="{doc_id}" ' + " ".join(f'{k}="{html.escape(str(v))}"' for k, v in attributes.items()) + f">\n{inside}\n</document>"
+def renumber(answer: Column, new: Column) -> Column:
+    """Markers like [1, 2] by a map of old to new numbers (null: dropped), each number in brackets of its own, in order and once.
+    A group with a number that the map doesn't have is no marker and stays. Blanks before a dropped marker go with it."""
+    def one(marker: Column) -> Column:
+        old = F.transform(F.regexp_extract_all(marker, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+        final = F.array_sort(F.array_distinct(F.array_compact(F.transform(old, lambda x: F.try_element_at(new, x)))))
+        text = F.when(F.size(final) > 0, F.array_join(F.transform(final, lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), "")).otherwise("\0")
+        return F.when(F.forall(old, lambda x: F.map_contains_key(new, x)), text).otherwise(marker)
+
+    markers = F.transform(F.regexp_extract_all(answer, F.lit(MARKER), F.lit(0)), one)
+    pieces = F.transform(F.split(answer, MARKER, -1), lambda x, i: F.concat(x, F.coalesce(F.get(markers, i), F.lit(""))))
+    once = F.regexp_replace(F.array_join(pieces, ""), r"(\[\d+\])(?:\1)+", "$1")
+    return F.btrim(F.regexp_replace(once, r"[ \t]*\x00", ""), F.lit(WHITE))
 
 
 def parse_replies(replies: DataFrame, contexts: DataFrame) -> DataFrame:
-    """replies(qid, reply as JSON), contexts(qid, place, chunk_id, text) -> (qid, status, answer, position, chunk_id, excerpt).
+    """replies(qid, reply as JSON), contexts(qid, place, chunk_id, text) -> (qid, status, answer, position, chunk_id, excerpt), a
+    row for each source of an answered reply, and one of null position for any other.
 
-    Sources of unknown places go; of those with the same chunk and excerpt the first stays; positions are renumbered. An
-    answered reply without sources or words becomes insufficient_context, what isn't JSON of this form malformed."""
+    Sources of unknown places go; of those with the same chunk and excerpt the first stays; the answer's markers follow their
+    new positions. An answered reply without sources or words becomes insufficient_context, and its words, which may be
+    invented, give way to the fixed ones; so do empty words of the other statuses. What isn't JSON of this form is malformed."""
     parsed = replies.select("qid", F.from_json("reply", REPLY, {"mode": "PERMISSIVE"}).alias("r")).select("qid", "r.*")
-    status = F.when(F.col("status").isNull() | F.col("answer").isNull(), "malformed").otherwise(F.col("status"))
-    parsed = parsed.withColumn("status", status)
-    each = parsed.where("status = 'answered'").select("qid", F.posexplode("sources").alias("at", "s")).select("qid", "at", F.col("s.doc_id").alias("place"), F.col("s.excerpt").alias("wanted"))
-    found = each.join(contexts, ["qid", "place"]).withColumn("excerpt", excerpt(F.coalesce("wanted", F.lit("")), F.col("text")))
-    once = Window.partitionBy("qid", "chunk_id", "excerpt").orderBy("at")
-    found = found.withColumn("k", F.row_number().over(once)).where("k = 1").withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("at")))
-    out = parsed.select("qid", "status", "answer").join(found.select("qid", "position", "chunk_id", "excerpt"), "qid", "left")
-    empty = (F.col("status") == "answered") & (F.col("position").isNull() | (F.trim("answer") == ""))
-    return out.withColumn("status", F.when(empty, "insufficient_context").otherwise(F.col("status")))
-
-
-def _renumbered(answers: pd.Series, maps: pd.Series) -> pd.Series:
-    def one(answer: str | None, new: dict[int, int | None]) -> str | None:
-        def group(m: re.Match) -> str:
-            old = [int(x) for x in m[1].split(",")]
-            if any(x not in new for x in old):
-                return m[0]
-            kept = list(dict.fromkeys(new[x] for x in old if new[x] is not None))
-            return f"[{', '.join(map(str, kept))}]" if kept else ""
-        return None if answer is None else re.sub(r"[ \t]+([.,;])", r"\1", re.sub(r"\[(\d+(?:\s*,\s*\d+)*)\]", group, answer))
-    # A map with nulls arrives with floats.
-    clean = [{int(k): None if v is None or v != v else int(v) for k, v in dict(m).items()} if m is not None else {} for m in maps]
-    return pd.Series([one(a, m) for a, m in zip(answers, clean, strict=True)])
-
-
-def renumber(answer: Column, new: Column) -> Column:
-    """Markers like [1, 2] by a map of old to new numbers (null: dropped). A group with a number that the map doesn't have is
-    no marker and stays. The replacement depends on each match, which Spark's regexp_replace can't express."""
-    return F.pandas_udf(_renumbered, "string")(answer, new)
+    whole = F.col("status").isin("answered", "insufficient_context", "out_of_scope") & F.col("answer").isNotNull() & F.col("sources").isNotNull()
+    whole = whole & F.forall("sources", lambda x: x["doc_id"].isNotNull() & x["excerpt"].isNotNull())
+    parsed = parsed.select("qid", F.when(F.coalesce(whole, F.lit(False)), F.col("status")).otherwise("malformed").alias("status"), F.btrim("answer", F.lit(WHITE)).alias("answer"), "sources")
+    each = parsed.where("status = 'answered'").select("qid", F.posexplode("sources").alias("at", "s")).select("qid", "at", F.btrim("s.doc_id", F.lit(WHITE)).alias("place"), F.col("s.excerpt").alias("wanted"))
+    found = each.join(contexts, ["qid", "place"], "left").withColumn("excerpt", F.when(F.col("chunk_id").isNotNull(), excerpt(F.col("wanted"), F.col("text"))))
+    known = found.where("chunk_id is not null").groupBy("qid", "chunk_id", "excerpt").agg(F.min("at").alias("first"))
+    known = known.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("first")))
+    keyed = found.join(known.select("qid", "chunk_id", "excerpt", "position"), ["qid", "chunk_id", "excerpt"], "left")
+    new = keyed.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct((F.col("at") + 1).alias("k"), F.col("position").alias("v")))).alias("new"))
+    out = parsed.select("qid", "status", "answer").join(new, "qid", "left").join(known.select("qid", "position", "chunk_id", "excerpt"), "qid", "left")
+    empty = (F.col("status") == "answered") & (F.col("position").isNull() | (F.col("answer") == ""))
+    status = F.when(empty, "insufficient_context").otherwise(F.col("status"))
+    words = F.when(empty, F.lit(INSUFFICIENT)).when(F.col("status") == "answered", renumber(F.col("answer"), F.col("new"))).when(
+        F.col("answer") == "", F.when(F.col("status") == "out_of_scope", F.lit(OUT_OF_SCOPE)).when(F.col("status") == "insufficient_context", F.lit(INSUFFICIENT))
+    ).when(F.col("status") != "malformed", F.col("answer"))
+    kept = lambda name: F.when(~F.coalesce(empty, F.lit(False)), F.col(name)).alias(name)
+    return out.select("qid", status.alias("status"), words.alias("answer"), kept("position"), kept("chunk_id"), kept("excerpt")).distinct()
 
 
 def suggestions(candidates: DataFrame, asked: DataFrame, k: int = 3) -> DataFrame:

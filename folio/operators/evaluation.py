@@ -2,44 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import sentence_units
+from .containment import contained
 
 
-def _found(batches: Iterator[pa.RecordBatch], wanted: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-    automaton = ahocorasick.Automaton()
-    by_text: dict[str, list[int]] = {}
-    for qid, text in wanted:
-        by_text.setdefault(text, []).append(qid)
-    for text, qids in by_text.items():
-        automaton.add_word(text, qids)
-    automaton.make_automaton()
-    for batch in batches:
-        rows = [(q, d) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if t for q in sorted({q for _, qids in automaton.iter(t) for q in qids})]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["qid", "doc_id"])
-
-
-def containment_labels(questions: DataFrame, docs: DataFrame, block_chars: int = 8_000_000) -> DataFrame:
-    """questions(qid, question), docs(doc_id, text) -> (qid, doc_id) of documents that have the whole question verbatim.
-
-    All questions are looked for in one pass over each text; they go to the tasks in blocks of about block_chars
-    characters. Empty and null questions are nowhere."""
-    asked = questions.where("question is not null and question != ''").select("qid", "question")
-    n_blocks = -(-(asked.agg(F.sum(F.length("question") + 100)).first()[0] or 0) // block_chars)
-    out = docs.sparkSession.createDataFrame([], "qid long, doc_id long")
-    for block in range(n_blocks):
-        own = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == block).collect()]
-        if own:
-            part = docs.select("doc_id", "text").mapInArrow(lambda batches, own=own: _found(batches, own), "qid long, doc_id long")
-            out = part if n_blocks == 1 else out.union(part)
-    return out.distinct()
+def containment_labels(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """questions(qid, question), docs(doc_id, text) -> (qid, doc_id) of documents that have the whole question verbatim. Empty
+    and null questions are nowhere."""
+    passages = questions.select(F.col("qid").alias("pid"), F.col("question").alias("passage"))
+    found = contained(passages, docs.select(F.col("doc_id").alias("tid"), "text"))
+    return found.select(F.col("pid").alias("qid"), F.col("tid").alias("doc_id"))
 
 
 def first_ranks(results: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import STOP_WORDS, WORD, collapse, tokens
+from .wordpiece import ACCENTED, PLAIN
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -158,15 +159,46 @@ def hybrid(
     return {"bm25": lexical, "vector": semantic, "hybrid": rrf([lexical, semantic], k)}
 
 
+#: Words that end the naming part of a company's name, and mentions of a year.
+LEGAL_WORDS = (
+    "inc", "incorporated", "corporation", "corp", "company", "co", "limited", "ltd", "plc", "public", "holdings", "group", "s.a", "sa", "n.v", "nv", "llc", "lp",
+)
+YEAR_MENTION = r"(?i)\b(?:(?:in|for|during)\s+)?(?:fiscal(?:\s+year)?\s+|FY\s?)?(?:19|20)\d{2}\b"
+#: Not behind a capitalised word that ends no sentence and begins none: that word and the next would be one name.
+NO_NAME_BEFORE = r"(?<!\S{0,60}[^\s.?!:]\s{1,9}\p{Lu}\S{0,60}(?<![.?!:])\s{1,9})"
+NO_NAME_BEHIND = r"(?!\s*\p{Lu})"
+NAME_END = r"(?:'s\b|'(?!\w)|\b)"
+
+
+def name_words(company: Column) -> Column:
+    """The words that name a company, in small letters without accents: up to the first legal one, without `the`."""
+    plain = F.regexp_replace(F.translate(F.lower(F.translate(company, "’", "'")), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    words = F.transform(F.split(F.trim(plain), r"\s+"), lambda w: F.btrim(w, F.lit(",.")))
+    words = F.when(F.get(words, 0) == "the", F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+    ends = F.array_position(F.transform(words, lambda w: (w == "") | w.isin(*LEGAL_WORDS)), F.lit(True))
+    return F.when(ends > 0, F.slice(words, 1, ends.cast("int") - 1)).otherwise(words)
+
+
+def name_pattern(words: Column) -> Column:
+    """A pattern of a company's name in a question: all its words, or its first ones where they are written with a capital and
+    neither the word before nor the one behind makes them part of another name. The possessive goes with it. The longest run
+    of the name's words is the match, whatever its surroundings then say of it (atomic groups)."""
+    safe = F.transform(words, lambda w: F.regexp_replace(w, r"([^A-Za-z0-9_])", r"\\$1"))
+    nested = F.aggregate(F.reverse(F.slice(safe, 2, F.greatest(F.size(safe) - 1, F.lit(0)))), F.lit(""), lambda acc, w: F.concat(F.lit(r"(?:\s+"), w, acc, F.lit(")?")))
+    whole = F.concat(F.lit("(?>"), F.array_join(safe, r"\s+"), F.lit(f"{NAME_END})"))
+    first = F.concat(F.lit(rf"(?-i:(?=\p{{Lu}}){NO_NAME_BEFORE})(?>"), F.get(safe, 0), nested, F.lit(f"{NAME_END})(?-i:{NO_NAME_BEHIND})"))
+    return F.concat(F.lit(r"(?iU)\b(?:"), whole, F.lit("|"), first, F.lit(")"))
+
+
 def keyword_query(question: Column, ticker: Column, company: Column) -> Column:
-    """The question without the company's full name, its ticker in capitals and year phrases, which the filter already
-    says; the question itself if no word would be left."""
+    """The question without the company's name, its ticker in capitals and year phrases, which the filter already says; the
+    question itself if no word would be left."""
     plain = F.translate(question, "’", "'")
-    name = F.regexp_replace(company, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    out = F.when(F.coalesce(company, F.lit("")) != "", F.regexp_replace(plain, F.concat(F.lit(r"(?i)\b"), name, F.lit(r"(?:'s|')?(?!\w)")), F.lit(" "))).otherwise(plain)
-    sign = F.regexp_replace(ticker, r"([.\-])", r"\\$1")
-    out = F.when(F.coalesce(ticker, F.lit("")) != "", F.regexp_replace(out, F.concat(F.lit(r"(?<!\w)"), sign, F.lit(r"(?:'s)?(?!\w)")), F.lit(" "))).otherwise(out)
-    out = F.regexp_replace(out, r"(?i)\b(?:(?:in|for|during)\s+)?(?:(?:fiscal(?:\s+year)?|FY)\s*)?(?:19|20)\d{2}\b", " ")
+    words = name_words(F.coalesce(company, F.lit("")))
+    out = F.when(F.size(words) > 0, F.regexp_replace(plain, name_pattern(words), F.lit(" "))).otherwise(plain)
+    sign = F.regexp_replace(F.upper(ticker), r"([.\-])", r"\\$1")
+    out = F.when(F.coalesce(ticker, F.lit("")) != "", F.regexp_replace(out, F.concat(F.lit(r"\b"), sign, F.lit(r"\b")), F.lit(" "))).otherwise(out)
+    out = F.regexp_replace(out, YEAR_MENTION, " ")
     out = collapse(out)
     return F.when(out.rlike(r"\w"), out).otherwise(collapse(question))
 
@@ -177,4 +209,4 @@ def as_hits(chunks: DataFrame, ranked: DataFrame) -> DataFrame:
     checked = F.when(F.col("chunk_id").isNotNull() & F.col("text").isNotNull() & F.col("score").isNotNull(), F.col("text")).otherwise(
         F.raise_error(F.lit("a hit without id, text or score")).cast("string")
     )
-    return whole.select("chunk_id", checked.alias("text"), F.col("score").cast("double").alias("score"), "section", "page", "company", "fiscal_year", "rank")
+    return whole.select("chunk_id", checked.alias("text"), F.col("score").cast("double").alias("score"), "section", "page", "company", "fiscal_year", "rank", *[c for c in ("qid",) if c in whole.columns])

@@ -175,15 +175,19 @@ def resolve_company_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.resolve(asked, known).select("qid", F.size("tickers").cast("long").alias("companies"))
 
 
-@query("""WITH s AS (SELECT conv_id AS qid, turn AS rank, sum(greatest(CAST(ceil(length(text) / 4) AS BIGINT), 1)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS spent,
-row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT qid, rank, CAST(spent AS BIGINT) AS spent, 'D' || n AS place FROM s WHERE spent <= 60""")
+@query("""WITH h AS (SELECT conv_id AS qid, turn AS rank, 'D' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, text, 'A & "' || role || '"' AS company, 2000 + turn AS fiscal_year, role AS section, turn AS page FROM conversations),
+r AS (SELECT *, '<document id="' || place || '" company="' || replace(replace(company, '&', '&amp;'), '"', '&quot;') || '" fiscal_year="' || fiscal_year || '" section="' || section || '" page="' || page || '">' || chr(10) || text || chr(10) || '</document>' AS rendered FROM h),
+s AS (SELECT *, sum(greatest(CAST(ceil(length(rendered) / 4) AS BIGINT), 1)) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS spent FROM r)
+SELECT qid, rank, CAST(spent AS BIGINT) AS spent, place, md5(rendered) AS rendered FROM s WHERE spent <= 300""")
 def context_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of each conversation as hits, under a budget of 60 tokens."""
-    hits = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), "text")
-    return answer.context(hits, 60).select("qid", "rank", F.col("spent").cast("long").alias("spent"), "place")
+    """The turns of each conversation as hits, under a budget of 300 tokens."""
+    turns = table(spark, sf_dir, "conversations")
+    company = F.concat(F.lit('A & "'), "role", F.lit('"'))
+    hits = turns.select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), "text", company.alias("company"), (2000 + F.col("turn")).alias("fiscal_year"), F.col("role").alias("section"), F.col("turn").alias("page"))
+    return answer.context(hits, 300).select("qid", "rank", F.col("spent").cast("long").alias("spent"), "place", F.md5(F.col("rendered").cast("binary")).alias("rendered"))
 
 
-@query("""SELECT d.doc_id, CASE WHEN contains(d.text, trim(b.text)) THEN trim(b.text) ELSE trim(substr(d.text, 1, 200)) END AS excerpt FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20""")
+@query("""SELECT d.doc_id, CASE WHEN contains(d.text, trim(b.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) THEN trim(b.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE trim(substr(d.text, 1, 200), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS excerpt FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20""")
 def excerpt_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("wanted"))
     docs = table(spark, sf_dir, "documents").join(items, F.col("doc_id") % 20 == F.col("item_id"))
@@ -203,17 +207,21 @@ def conversation_last_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.latest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n")), "conv_id", ["turn"])
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id AS qid, text, trim(substr(text, 5, 30), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS wanted, trim(substr(text, 1, 200), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS top FROM documents),
+e AS (SELECT *, CASE WHEN wanted <> '' AND contains(text, wanted) THEN wanted ELSE top END AS one FROM d)
+SELECT qid, 'answered' AS status, CASE WHEN one = top THEN 'It says [1] so [1] and not but [2019].' ELSE 'It says [1][2] so [1] and not but [2019].' END AS answer, CAST(1 AS INTEGER) AS position, CAST(qid AS VARCHAR) AS chunk_id, md5(one) AS excerpt FROM e
+UNION ALL SELECT qid, 'answered', 'It says [1][2] so [1] and not but [2019].', 2, CAST(qid AS VARCHAR), md5(top) FROM e WHERE one <> top""")
 def reply_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies written from the documents, citing the document itself, once wrongly, and an unknown one."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "text")
     source = lambda i, e: F.struct(F.lit(i).alias("doc_id"), e.alias("excerpt"))
-    reply = F.to_json(F.struct(F.lit("answered").alias("status"), F.lit("It says so [1].").alias("answer"), F.array(source("D1", F.substring("text", 5, 30)), source("D9", F.lit("x")), source("D1", F.lit("not there"))).alias("sources")))
+    sources = F.array(source("D1", F.substring("text", 5, 30)), source("D9", F.lit("x")), source(" D1 ", F.lit("not there")))
+    reply = F.to_json(F.struct(F.lit("answered").alias("status"), F.lit("It says [3, 1] so [1] and not [2] but [2019]. ").alias("answer"), sources.alias("sources")))
     contexts = docs.select("qid", F.lit("D1").alias("place"), F.col("qid").cast("string").alias("chunk_id"), "text")
-    return answer.parse_replies(docs.select("qid", reply.alias("reply")), contexts)
+    return answer.parse_replies(docs.select("qid", reply.alias("reply")), contexts).withColumn("excerpt", F.md5(F.col("excerpt").cast("binary")))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'In [3, 1] and [2019].' WHEN 2 THEN 'In [1] and [2019].' WHEN 3 THEN 'In [1] and [2019].'
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'In [1][3] and [2019].' WHEN 2 THEN 'In [1] and [2019].' WHEN 3 THEN 'In [1] and [2019].'
 ELSE 'In [' || l_linenumber || ', 2] and [2019].' END AS text FROM lineitem""")
 def citation_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("In ["), F.col("l_linenumber").cast("string"), F.lit(", 2] and [2019]."))

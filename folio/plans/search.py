@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import schema_diff
 from ..functions.text import STOP_WORDS
-from ..operators import evaluation, index
+from ..operators import containment, evaluation, index
 from ..operators.retrieval import as_hits, bm25, equals_or_in, hashed_bag, hybrid, keyword_query, knn, rrf
 from . import query, table
 
@@ -145,6 +145,20 @@ def labels_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir)
 
 
+@query("""WITH c AS (SELECT doc_id AS qid, 0 AS position, 'nowhere ' || doc_id AS context FROM documents UNION ALL SELECT doc_id, 1, substr(text, 30, 150) FROM documents
+UNION ALL SELECT d.doc_id, 2, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20),
+u AS (SELECT DISTINCT trim(context, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p FROM c),
+m AS (SELECT p, min(doc_id) AS chunk_id FROM u JOIN documents d ON p <> '' AND contains(d.text, p) GROUP BY p)
+SELECT qid, min(position) AS position, arg_min(chunk_id, position) AS chunk_id FROM c JOIN m ON p = trim(context, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) GROUP BY qid""")
+def context_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk that each document's passages come from: of three contexts the first that any document has."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("context"))
+    context = lambda position, text: docs.select(F.col("doc_id").alias("qid"), F.lit(position).alias("position"), text.alias("context"))
+    asked = docs.select(F.col("doc_id").alias("qid")).join(items, F.col("qid") % 20 == F.col("item_id")).select("qid", F.lit(2).alias("position"), "context")
+    contexts = context(0, F.concat(F.lit("nowhere "), F.col("doc_id").cast("string"))).union(context(1, F.substring("text", 30, 150))).union(asked)
+    return containment.source_chunks(contexts, docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("place"), "text"))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).withColumns({"category": F.concat(F.lit("c"), F.col("qid") % 3), "difficulty": F.when(F.length("question") > 150, "hard").otherwise("easy")})
     results = bm25(table(spark, sf_dir, "documents"), asked, 5)

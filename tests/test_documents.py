@@ -123,21 +123,6 @@ def test_company_and_year(spark):
     ]
 
 
-def test_context_is_a_prefix(spark):
-    hits = spark.createDataFrame([(1, 1, "a" * 40), (1, 2, "a" * 400), (1, 3, "a")], "qid int, rank int, text string")
-    assert rows(answer.context(hits, 50), "rank", "place") == [(1, "D1")]
-
-
-def test_replies(spark):
-    reply = lambda status, *sources: json.dumps({"status": status, "answer": "So [1].", "sources": [{"doc_id": d, "excerpt": e} for d, e in sources]})
-    replies = [(1, reply("answered", ("D1", "bc"), ("D7", "x"), ("D1", "bc"), ("D1", "nope"))), (2, reply("answered", ("D9", "x"))), (3, "not json"), (4, reply("insufficient_context"))]
-    contexts = spark.createDataFrame([(1, "D1", "c", "abcd")], "qid int, place string, chunk_id string, text string")
-    found = rows(answer.parse_replies(spark.createDataFrame(replies, "qid int, reply string"), contexts).fillna(0, ["position"]).fillna(""), "qid", "status", "position", "excerpt")
-    assert found == [(1, "answered", 1, "bc"), (1, "answered", 2, "abcd"), (2, "insufficient_context", 0, ""), (3, "malformed", 0, ""), (4, "insufficient_context", 0, "")]
-    text = spark.range(1).select(answer.renumber(F.lit("A [1, 2] b [2] [2019] [3] ."), F.create_map(F.lit(1), F.lit(2), F.lit(2), F.lit(1), F.lit(3), F.lit(None).cast("int"))).alias("x")).first().x
-    assert text == "A [2, 1] b [1] [2019]."
-
-
 def test_answer_text_at_every_cut(spark):
     whole = json.dumps({"meta": {"answer": "no"}, "answer": 'He said "é🎉\\" and\nleft', "sources": ["answer"]})
     want = json.loads(whole)["answer"]

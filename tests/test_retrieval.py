@@ -63,7 +63,6 @@ def test_labels_and_metrics(spark):
     docs = spark.createDataFrame([(10, "a b c"), (11, "b  c"), (12, None)], "doc_id long, text string")
     labels = evaluation.containment_labels(asked, docs)
     assert values(labels, "qid", "doc_id") == [(1, 10)]
-    assert values(evaluation.containment_labels(asked, docs, block_chars=1), "qid", "doc_id") == [(1, 10)]
     results = spark.createDataFrame([(1, 11, 1), (1, 10, 2), (2, 11, 1)], "qid long, doc_id long, rank int")
     found = {(r.field, r.value): (r.hit_rate, r.mrr, r.n_questions) for r in evaluation.breakdown(evaluation.records(asked, results, labels), ["category"]).collect()}
     assert found == {("category", "x"): (1.0, 0.5, 2), ("category", "y"): (None, None, 1), ("all", None): (1.0, 0.5, 3)}
