@@ -154,6 +154,39 @@ def topic_labels(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.where(F.col("pattern").isNull() | (found >= F.col("least"))).select("qid", "chunk_id").distinct()
 
 
+#: Categories of which whole sections count, the one that needs a conclusion, and what a conclusion says.
+WHOLE_SECTIONS, CONCLUDED, NUMERIC = ("legal_proceedings", "market_risk"), "controls", "numeric_results"
+CONCLUSION = r"(?i)(were|was|are|is)\s+(not\s+)?effective|conclu"
+
+
+def relevance_labels(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """questions(qid, doc_id, category, sections array<string>, figures array<struct<figure, metric>>, pattern, least),
+    chunks(doc_id, chunk_id, section, text) -> (qid, chunk_id), the relevant chunks of each question's own filing.
+
+    numeric_results: a line or sentence has one of the figures and, in the same one, its metric's pattern, in any section. All
+    others need an expected section: legal_proceedings and market_risk nothing more, controls a conclusion, any other category
+    `least` distinct matches (2 where it is null) of the pattern of its topics, whatever their case. One join by filing; the
+    predicate is chosen by category, so each pair is looked at once."""
+    both = chunks.join(questions, "doc_id")
+    in_section = F.coalesce(F.array_contains("sections", F.col("section")), F.lit(False))
+    near = lambda u, f: u.contains(f["figure"]) & F.regexp_like(u, F.concat(F.lit("(?i)"), f["metric"]))
+    figure = F.exists(sentence_units(F.col("text")), lambda u: F.exists("figures", lambda f: near(u, f)))
+    topics = F.regexp_extract_all("text", F.concat(F.lit("(?i)"), F.col("pattern")), F.lit(0))
+    enough = F.size(F.array_distinct(F.transform(topics, lambda x: F.lower(x)))) >= F.coalesce("least", F.lit(2))
+    category = F.col("category")
+    relevant = F.when(category == NUMERIC, figure).when(~in_section, F.lit(False)).when(category.isin(*WHOLE_SECTIONS), F.lit(True)).when(category == CONCLUDED, F.col("text").rlike(CONCLUSION)).otherwise(enough)
+    return both.where(F.coalesce(relevant, F.lit(False))).select("qid", "chunk_id").distinct()
+
+
+def write_labels(questions: DataFrame, labels: DataFrame, path: str) -> None:
+    """Write the questions with relevant_chunk_ids, in order, as Parquet at path; if a question has none, nothing is written and
+    the error names some of those without."""
+    ids = labels.groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant_chunk_ids"))
+    if missing := [r["qid"] for r in questions.join(ids, "qid", "left_anti").select("qid").orderBy("qid").take(20)]:
+        raise ValueError(f"no relevant chunk for {missing}")
+    questions.drop("relevant_chunk_ids").join(ids, "qid").write.mode("overwrite").parquet(path)
+
+
 def score_summary(answers: DataFrame, metric_columns: list[str]) -> DataFrame:
     """answers(status, category, latency_ms, scores): averages of the scores that there are, NaN taken for null, rounded to
     3 places; the median latency is the upper middle one, taken by rank."""

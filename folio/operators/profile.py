@@ -52,8 +52,54 @@ def missing_values(rows: DataFrame, key: str, value: str, wanted: list) -> DataF
 
 def rank_by_best(rows: DataFrame, group: str, item: str, value: str, n: int) -> DataFrame:
     """Each group's item of the largest value (of equal ones the first item), then the n groups of the largest values."""
-    best = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.max_by(item, F.struct(F.col(value), -F.col(item))).alias(item), F.max(value).alias(value))
-    return best.orderBy(F.desc(value), group).limit(n)
+    first = F.min(F.struct((-F.col(value)).alias("v"), F.col(item)))
+    best = rows.where(F.col(value).isNotNull()).groupBy(group).agg(first.alias("b"), F.max(value).alias(value))
+    return best.select(group, F.col(f"b.{item}").alias(item), value).orderBy(F.desc(value), group).limit(n)
+
+
+def complete_by_priority(rows: DataFrame, key: str, value: str, wanted: list, item: str, priorities: DataFrame, n: int, size: str) -> DataFrame:
+    """rows(key, value, item, size), priorities(item, priority) -> (rank, key, item, size): the keys that have every wanted value
+    and an item that has a priority, by their smallest priority and then by name, the first n. item: the first in order of a
+    key's items that have a priority; size: the sum over its wanted rows, to one place. Items are compared in capitals."""
+    own = rows.where(F.col(value).isin(wanted)).select(key, value, F.upper(item).alias("item"), size)
+    ranked = own.join(priorities.select(F.upper("item").alias("item"), "priority").groupBy("item").agg(F.min("priority").alias("priority")), "item", "left")
+    whole = ranked.groupBy(key).agg(
+        F.count_distinct(value).alias("values"), F.min("priority").alias("priority"), F.min(F.when(F.col("priority").isNotNull(), F.col("item"))).alias("item"), F.round(F.sum(size), 1).alias(size)
+    ).where((F.col("values") == len(set(wanted))) & F.col("priority").isNotNull())
+    first = whole.orderBy("priority", key).limit(n)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("priority", key))).select("rank", key, "item", size)  # of n rows
+
+
+#: How a heading is written, as the report names it; headings that are looked at, and forms that are kept.
+CASES = ("MAYUSCULAS", "Capitalizado", "minusculas")
+FIRST_HEADINGS, MOST_FORMS = 200, 5
+
+
+def item_formats(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, place, form, n): how a document writes its first item headings, the most frequent forms
+    first, of equally frequent ones the one met first. A form is the case of the heading and the sign behind it."""
+    pattern = F.lit(r"(?i)\b(item\s+\d+[A-Z]?)\s*([.:\-—])")
+    text = F.coalesce("text", F.lit(""))
+    heads, signs = (F.slice(F.regexp_extract_all(text, pattern, F.lit(i)), 1, FIRST_HEADINGS) for i in (1, 2))
+    case = lambda h: F.when(h == F.upper(h), CASES[0]).when(F.substring(h, 1, 1).rlike(r"\p{Lu}"), CASES[1]).otherwise(CASES[2])
+    forms = F.transform(heads, lambda h, i: F.concat(case(h), F.lit(" + '"), F.get(signs, i), F.lit("'")))
+    each = docs.select("doc_id", F.posexplode(forms).alias("at", "form"))
+    counted = each.groupBy("doc_id", "form").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
+    return counted.withColumn("place", place).where(F.col("place") <= MOST_FORMS).select("doc_id", "place", "form", "n")
+
+
+#: Fixed value: characters of a document's beginning that should name its company, year and form.
+HEAD_CHARS = 20_000
+
+
+def consistency(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ticker, fiscal_year) -> (doc_id, has_ticker, has_year, has_form): whether the document's beginning says
+    what its name does. The window is the feature's own."""
+    head = F.substring(F.coalesce("text", F.lit("")), 1, HEAD_CHARS)
+    quoted = F.concat(F.lit("(?i)\\b"), F.regexp_replace("ticker", r"([^A-Za-z0-9])", r"\\$1"), F.lit("\\b"))
+    year = F.concat(F.lit("\\b"), F.col("fiscal_year").cast("string"), F.lit("\\b"))
+    return docs.select("doc_id", F.regexp_like(head, quoted).alias("has_ticker"), F.regexp_like(head, year).alias("has_year"), head.rlike(r"(?i)\b(form\s+10-?k|annual\s+report)\b").alias("has_form"))
 
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

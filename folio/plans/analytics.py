@@ -51,9 +51,35 @@ def missing_target_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.missing_values(orders, "o_custkey", "y", [1993, 1994, 1995]).withColumns({c: F.col(c).cast("long") for c in ("first", "last")})
 
 
-@query("""SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS c_custkey, max(c_acctbal) AS c_acctbal FROM customer GROUP BY c_nationkey ORDER BY c_acctbal DESC, c_nationkey LIMIT 10""")
+@query("""SELECT c_nationkey, arg_min(c_name, (-c_acctbal, c_name)) AS c_name, max(c_acctbal) AS c_acctbal FROM customer GROUP BY c_nationkey ORDER BY c_acctbal DESC, c_nationkey LIMIT 10""")
 def argmax_rank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.rank_by_best(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "c_acctbal", 10)
+    return profile.rank_by_best(table(spark, sf_dir, "customer"), "c_nationkey", "c_name", "c_acctbal", 10)
+
+
+@query("""WITH o AS (SELECT o_custkey, year(o_orderdate) AS y, o_orderpriority AS item, o_totalprice FROM orders WHERE year(o_orderdate) IN (1996, 1997, 1998)),
+p(item, priority) AS (VALUES ('5-LOW', 0), ('2-HIGH', 1), ('1-URGENT', 2)),
+g AS (SELECT o_custkey, count(DISTINCT y) AS n, min(priority) AS priority, min(CASE WHEN priority IS NOT NULL THEN o.item END) AS item, sum(CAST(o_totalprice AS DECIMAL(15, 2))) AS o_totalprice FROM o LEFT JOIN p ON p.item = o.item GROUP BY o_custkey)
+SELECT CAST(row_number() OVER (ORDER BY priority, o_custkey) AS INTEGER) AS rank, o_custkey, item, CAST(round(o_totalprice, 1) AS DOUBLE) AS o_totalprice FROM g WHERE n = 3 AND priority IS NOT NULL ORDER BY priority, o_custkey LIMIT 35""")
+def division_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders in all of three years, those of a preferred order priority first (the reference's top 35)."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("item"), F.col("o_totalprice").cast("decimal(15,2)").alias("o_totalprice"))
+    priorities = spark.createDataFrame([("5-low", 0), ("2-high", 1), ("1-urgent", 2)], "item string, priority int")
+    out = profile.complete_by_priority(orders, "o_custkey", "y", [1996, 1997, 1998], "item", priorities, 35, "o_totalprice")
+    return out.withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+
+
+HEADINGS = """CASE l_linenumber % 3 WHEN 0 THEN 'ITEM ' WHEN 1 THEN 'Item ' ELSE 'item ' END || l_linenumber || CASE WHEN l_returnflag = 'A' THEN 'A.' WHEN l_returnflag = 'N' THEN ' — x' ELSE ': Y' END"""
+
+
+@query(f"""WITH h AS (SELECT l_suppkey AS doc_id, {HEADINGS} AS line, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i FROM lineitem),
+f AS (SELECT doc_id, i, CASE WHEN line LIKE 'ITEM %' THEN 'MAYUSCULAS' WHEN line LIKE 'Item %' THEN 'Capitalizado' ELSE 'minusculas' END || ' + ' || chr(39) || regexp_extract(line, '[.:—]') || chr(39) AS form FROM h WHERE i < 200),
+c AS (SELECT doc_id, form, count(*) AS n, min(i) AS first FROM f GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS INTEGER) AS place, form, n FROM c QUALIFY place <= 5""")
+def heading_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's items as a document of headings; the first 200 and the five commonest forms are the feature's own limits."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", F.expr(HEADINGS).alias("line")).alias("l"))
+    docs = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+    return profile.item_formats(docs)
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, n FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS n FROM lineitem) WHERE n > 1")

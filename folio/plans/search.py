@@ -159,6 +159,27 @@ def context_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.source_chunks(contexts, docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("place"), "text"))
 
 
+@query(r"""WITH q AS (SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN 'numeric_results' WHEN 1 THEN 'market_risk' WHEN 2 THEN 'controls' ELSE 'risk_factors' END AS category,
+  string_split(text, ' ') AS w FROM benchmark), c AS (SELECT doc_id, lang AS section, text, source FROM documents),
+u AS (SELECT doc_id, source, unnest(flatten(list_transform(string_split(text, chr(10)), lambda x: string_split(regexp_replace(x, '([.!?])[\t\x0B\f\r ]+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1))))) AS unit FROM c),
+n AS (SELECT DISTINCT qid, doc_id FROM u JOIN q ON source = 'src' || (qid % 20) WHERE category = 'numeric_results' AND contains(unit, ' ' || w[2] || ' ') AND contains(lower(unit), lower(w[3]))),
+b AS (SELECT qid, category, w, doc_id, text FROM c JOIN q ON source = 'src' || (qid % 20) WHERE section = 'en' AND category <> 'numeric_results')
+SELECT qid, doc_id AS chunk_id FROM n UNION ALL SELECT qid, doc_id FROM b WHERE category = 'market_risk' OR (category = 'controls' AND regexp_matches(text, '(?i)(were|was|are|is)\s+(not\s+)?effective|conclu'))
+OR (category = 'risk_factors' AND list_unique(list_transform(regexp_extract_all(text, '(?i)\b(the|was|' || w[2] || ')\b'), lambda x: lower(x))) >= 2)""")
+def label_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as filings and documents as their chunks; questions and figures are words of the benchmark."""
+    w = F.split("text", " ")
+    category = F.element_at(F.array(*[F.lit(x) for x in ("numeric_results", "market_risk", "controls", "risk_factors")]), (F.col("item_id") % 4 + 1).cast("int"))
+    figures = F.array(F.struct(F.concat(F.lit(" "), F.get(w, 1), F.lit(" ")).alias("figure"), F.concat(F.lit("\\Q"), F.get(w, 2), F.lit("\\E")).alias("metric")))
+    pattern = F.concat(F.lit(r"\b(the|was|"), F.get(w, 1), F.lit(r")\b"))
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("doc_id"), category.alias("category"), F.array(F.lit("en")).alias("sections"),
+        figures.alias("figures"), pattern.alias("pattern"), F.lit(None).cast("int").alias("least"),
+    )
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("section"), "text")
+    return evaluation.relevance_labels(asked, chunks)
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).withColumns({"category": F.concat(F.lit("c"), F.col("qid") % 3), "difficulty": F.when(F.length("question") > 150, "hard").otherwise("easy")})
     results = bm25(table(spark, sf_dir, "documents"), asked, 5)
