@@ -130,9 +130,13 @@ def eligible(error: Column, quote_type: Column, exchange: Column, country: Colum
     )
 
 
+#: Fixed value: signs of which one stands behind an item that is named.
+ITEM_SIGNS = r"[.:\s\-—]"
+
+
 def item_counts(text: Column) -> Column:
     """How often each key item is named before a separator, as a map of those that are: {Item 1A: 3}."""
-    counts = [F.regexp_count(text, F.lit(rf"(?i)\bitem\s+{n}\b[.:\s\-—]")).cast("long") for n in KEY_ITEMS]
+    counts = [F.regexp_count(text, F.lit(rf"(?i)\bitem\s+{n}\b{ITEM_SIGNS}")).cast("long") for n in KEY_ITEMS]
     return F.map_filter(F.map_from_arrays(F.array(*[F.lit(f"Item {n}") for n in KEY_ITEMS]), F.array(*counts)), lambda _, n: n > 0)
 
 
