@@ -68,3 +68,17 @@ def test_rank_and_priority(spark):
     found = profile.complete_by_priority(df, "company", "y", [2019, 2020], "ticker", known, 5, "mb")
     assert [tuple(r) for r in found.orderBy("rank").collect()] == [(1, "beta", "BET", 2.0), (2, "acme", "ACM", 3.1)]
     assert profile.complete_by_priority(df, "company", "y", [2019, 2020], "ticker", known, 1, "mb").count() == 1
+
+
+def test_quartiles_are_exact_and_no_task_has_all_values(spark):
+    import numpy as np
+
+    from folio.operators.profile import describe
+
+    rng = np.random.default_rng(3)
+    for xs in ([], [4.0], [2.0, 2.0, 2.0], [1.0, 2.0], [1e9, *rng.random(500).tolist(), None], rng.integers(0, 9, 1000).astype(float).tolist()):
+        out = describe(spark.createDataFrame([(x,) for x in xs], "x double"), "x")
+        row, known = out.first(), [x for x in xs if x is not None]
+        want = [round(float(q), 6) for q in np.quantile(known, [0.25, 0.5, 0.75])] if known else [None] * 3
+        assert [row.p25, row.p50, row.p75] == want and row.n == len(known)
+    assert "percentile(" not in out._jdf.queryExecution().toString()
