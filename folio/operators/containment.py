@@ -2,76 +2,126 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-#: Words of a run, and characters of one inside a word where a passage has no whole word inside.
-RUN_WORDS, RUN_CHARS = 4, 8
-
-
-def _words(text: Column) -> Column:
-    return F.split(text, r"\s+")
-
-
-def _runs(words: Column, n: int) -> Column:
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-    return F.when(F.size(words) >= n, F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))))
-
-
-def _rarest(wanted: DataFrame, there: DataFrame) -> DataFrame:
-    """wanted(pid, kind, gram), there(kind, gram, ...) -> (pid, kind, gram): of each passage the gram that the fewest rows have;
-    passages of a gram that none has are left out."""
-    asked = wanted.select("kind", "gram").distinct()
-    counted = there.join(asked, ["kind", "gram"]).groupBy("kind", "gram").agg(F.count("*").alias("n"))
-    least = wanted.join(counted, ["kind", "gram"], "left").groupBy("pid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kind", "gram")).alias("r"))
-    return least.where("r.n > 0").select("pid", "r.kind", "r.gram")
-
-
-def _by_runs(long: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates (pid, tid) of passages with whole words inside."""
-    kinds = sorted(r["own"] for r in long.select("own").distinct().collect())  # at most RUN_WORDS numbers
-    grams = lambda words, kept: F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), kept(k, _runs(words, k)).alias("runs")) for k in kinds])).alias("x")
-    flat = lambda rows, key: rows.select(key, "x.kind", F.explode(F.array_distinct("x.runs")).alias("gram"))
-    wanted = flat(long.select("pid", grams(F.col("inner"), lambda k, r: F.when(F.col("own") == k, r))), "pid")
-    there = flat(texts.select("tid", grams(F.col("words"), lambda k, r: r)), "tid")
-    return there.join(_rarest(wanted, there), ["kind", "gram"]).select("pid", "tid")
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def _by_parts(short: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates (pid, tid) of passages of one or two words or parts of words: the longest must be in a word of the text. Runs
-    of its characters are looked for in the distinct words of all texts."""
+from ..functions.batches import bitmap, has_bit, run_hashes, slices, word_codes, word_hashes
+
+#: Words of a run, runs of a passage that are looked for, and characters of one inside a word where a passage has no whole word inside.
+RUN_WORDS, RUNS, RUN_CHARS = 4, 4, 8
+
+
+def _runs(hashes: np.ndarray, rows: np.ndarray, most: int, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, hash, row) of the runs to look for in each of n rows: of `most` units or all there are, RUNS with the least hashes."""
+    sizes = np.minimum(np.bincount(rows, minlength=n), most)
+    for size, gram, row in run_hashes(hashes, rows, list(range(1, most + 1))):
+        gram, row = gram[sizes[row] == size], row[sizes[row] == size]
+        order = np.lexsort((gram, row))
+        gram, row = gram[order], row[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row, "left") < RUNS
+        yield size, gram[kept], row[kept]
+
+
+def _characters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, word) of each character."""
+    points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return points, np.repeat(np.arange(len(words)), pc.utf8_length(words).to_numpy())
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], inner: bool) -> Iterator[pa.RecordBatch]:
+    """(pid, kind, gram) of batches (pid, passage): runs of the words but for the first and last; or, not inner, of all words."""
+    for batch in slices(batches):
+        words, codes, rows = word_codes(batch["passage"])
+        hashes = word_hashes(words)[codes]
+        if inner:
+            same = rows[1:] == rows[:-1]
+            own = np.r_[False, same][: len(rows)] & np.r_[same, False][: len(rows)]
+            hashes, rows = hashes[own], rows[own]
+        for kind, gram, row in _runs(hashes, rows, RUN_WORDS, batch.num_rows):
+            yield pa.RecordBatch.from_arrays([batch["pid"].take(pa.array(row)), pa.array(np.full(len(row), kind, np.int32)), pa.array(gram)], ["pid", "kind", "gram"])
+
+
+def _wanted_in_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, kind, gram) of batches (part): runs of characters."""
+    for batch in slices(batches):
+        for kind, gram, row in _runs(*_characters(batch["part"]), RUN_CHARS, batch.num_rows):
+            yield pa.RecordBatch.from_arrays([batch["part"].take(pa.array(row)), pa.array(np.full(len(row), kind, np.int32)), pa.array(gram)], ["part", "kind", "gram"])
+
+
+def _there(batches: Iterator[pa.RecordBatch], bits: Broadcast, kinds: list[int]) -> Iterator[pa.RecordBatch]:
+    """(tid, gram) of batches (tid, text): the runs of words that the bitmap has, once a text."""
+    for batch in slices(batches):
+        words, codes, rows = word_codes(batch["text"])
+        hashes = word_hashes(words)[codes]
+        for _, gram, row in run_hashes(hashes, rows, kinds):
+            kept = has_bit(bits.value, gram)
+            gram, row = gram[kept], row[kept]
+            order = np.lexsort((gram, row))
+            gram, row = gram[order], row[order]
+            new = np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])][: len(row)]
+            yield pa.RecordBatch.from_arrays([batch["tid"].take(pa.array(row[new])), pa.array(gram[new])], ["tid", "gram"])
+
+
+def _in_words(batches: Iterator[pa.RecordBatch], bits: Broadcast, kinds: list[int]) -> Iterator[pa.RecordBatch]:
+    """(word, gram) of batches (text): the words that have a run of characters of the bitmap."""
+    for batch in slices(batches):
+        words = word_codes(batch["text"])[0].cast(pa.string())
+        points, rows = _characters(words)
+        for _, gram, row in run_hashes(points, rows, kinds):
+            kept = has_bit(bits.value, gram)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(row[kept])), pa.array(gram[kept])], ["word", "gram"])
+
+
+def _rarest(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """wanted(key, gram), there(gram, ...) -> (key, gram): of each key the gram that the fewest rows have; keys of a gram that
+    none has are left out."""
+    counted = there.groupBy("gram").agg(F.count("*").alias("n"))
+    least = wanted.join(counted, "gram", "left").groupBy(key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    return least.where("r.n > 0").select(key, "r.gram")
+
+
+def _words_with_parts(short: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pid, passage) of passages of one or two words or parts of words: a row for each distinct word of the texts that has the
+    longest of them in it. Of the words only those move that have a run of a part's characters; the
+    few that are found are kept by the session, as the map and the candidates both need them."""
     longest = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     parts = short.select("pid", longest.alias("part")).where("part != ''")
-    size = lambda name: F.least(F.length(name), F.lit(RUN_CHARS))
-    kinds = sorted(r["k"] for r in parts.select(size("part").alias("k")).distinct().collect())  # at most RUN_CHARS numbers
-    at = lambda name, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (k - 1), F.lit(1))), lambda i: F.col(name).substr(i, F.lit(k)))
-    runs = lambda name: F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.when(F.length(name) >= k, F.array_distinct(at(name, k))).alias("runs")) for k in kinds])).alias("x")
-    held = texts.select("tid", F.explode(F.array_distinct("words")).alias("word")).where("word != ''")
-    there = held.select("word").distinct().select("word", runs("word")).select("word", "x.kind", F.explode("x.runs").alias("gram"))
-    wanted = parts.select("pid", "part", runs("part")).where(F.col("x.kind") == size("part")).select("pid", "x.kind", F.explode("x.runs").alias("gram"))
-    words = there.join(_rarest(wanted, there), ["kind", "gram"]).join(parts, "pid").where(F.col("word").contains(F.col("part")))
-    return held.join(words.select("pid", "word").distinct(), "word").select("pid", "tid")
+    wanted = parts.select("part").distinct().mapInArrow(_wanted_in_words, "part string, kind int, gram long")
+    bits, kinds = bitmap(wanted, "gram", "kind")
+    there = texts.select("text").mapInArrow(lambda b: _in_words(b, bits, kinds), "word string, gram long").distinct()
+    words = there.join(_rarest(wanted.select("part", "gram"), there, "part"), "gram").where(F.col("word").contains(F.col("part"))).select("part", "word").distinct().persist()
+    return parts.join(words, "part").select("pid", F.col("word").alias("passage"))
 
 
 def contained(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """passages(pid, passage), texts(tid, text) -> (pid, tid) of each text that has the whole passage verbatim, once each.
 
     A passage's words but for the first and last, which can be parts of words of a text, are words of the text in the same
-    order. Runs of up to RUN_WORDS of them are counted over all texts; only the rarest of each passage is joined with the
-    texts', and the candidates are then compared. Where no whole word is inside, the longest part is looked for in the distinct
-    words of the texts. Neither passages nor texts come to the driver, only the lengths of runs there are. Empty, blank and
-    null passages are nowhere."""
-    passages = passages.where(F.btrim("passage", F.lit(" \t\n\x0b\x0c\r")) != "").select("pid", "passage").withColumn("words", _words(F.col("passage")))
-    passages = passages.withColumn("inner", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))).withColumn("own", F.least(F.size("inner"), F.lit(RUN_WORDS)))
-    worded = texts.where("text is not null").select("tid", _words(F.col("text")).alias("words"))
-    long, short = passages.where("own > 0"), passages.where("own = 0")
-    found = None
-    for rows, find in ((long, _by_runs), (short, _by_parts)):
-        if not rows.isEmpty():
-            found = find(rows, worded) if found is None else found.union(find(rows, worded))
-    if found is None:
-        return passages.join(texts.select("tid"), F.lit(False)).select("pid", "tid")
-    compared = found.distinct().join(texts.select("tid", "text"), "tid").join(passages.select("pid", "passage"), "pid")
+    order. Runs of up to RUN_WORDS of them are hashed; of the texts' runs only those become rows whose bit is in a map of all that
+    are looked for. The rarest of each passage is joined with them, and the candidates are then compared. Where no whole word is
+    inside, the longest part is looked for in the distinct words of the texts, and the words that have it are looked for as runs.
+    Neither passages nor texts come to the driver, only the map and the lengths of runs there are. Empty, blank and null
+    passages are nowhere."""
+    passages = passages.where(F.btrim("passage", F.lit(" \t\n\x0b\x0c\r")) != "").select("pid", "passage")
+    texts = texts.where("text is not null").select("tid", "text")
+    pid, tid = dict(passages.dtypes)["pid"], dict(texts.dtypes)["tid"]
+    long = passages.mapInArrow(lambda b: _wanted(b, True), f"pid {pid}, kind int, gram long")
+    short = passages.withColumn("words", F.split("passage", r"\s+")).where(F.size("words") < 3)
+    parts = None
+    if not short.isEmpty():
+        parts = _words_with_parts(short, texts).mapInArrow(lambda b: _wanted(b, False), f"pid {pid}, kind int, gram long")
+    bits, kinds = bitmap(long if parts is None else long.union(parts), "gram", "kind")
+    there = texts.mapInArrow(lambda b: _there(b, bits, kinds), f"tid {tid}, gram long")
+    asked = _rarest(long.select("pid", "gram"), there, "pid")
+    found = there.join(asked if parts is None else asked.union(parts.select("pid", "gram")), "gram").select("pid", "tid").distinct()
+    # Passages come before texts, so that each text moves once and not with every candidate.
+    compared = found.join(passages, "pid").join(texts, "tid")
     return compared.where(F.col("text").contains(F.col("passage"))).select("pid", "tid").distinct()
 
 

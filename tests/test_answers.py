@@ -123,3 +123,25 @@ def test_source_chunks(spark):
     chunks = spark.createDataFrame([("c2", 2, "some words that stand here"), ("c1", 1, "before some words that stand here"), ("c3", 3, "other")], "chunk_id string, place int, text string")
     contexts = spark.createDataFrame([(1, 0, "  some words that stand\n"), (2, 0, "nowhere to be found"), (2, 1, "other"), (3, 0, " "), (3, 1, None), (4, 1, "some words that stand here"), (4, 0, "other")], "qid int, position int, context string")
     assert sorted(tuple(r) for r in containment.source_chunks(contexts, chunks).collect()) == [(1, 0, "c1"), (2, 1, "c3"), (4, 0, "c3")]
+
+
+def test_only_runs_that_are_looked_for_become_rows(spark):
+    import pyarrow as pa
+
+    from folio.functions.batches import bitmap
+
+    passages = spark.createDataFrame([(1, "x a b c d e f g y"), (2, "q r s")], "pid int, passage string")
+    wanted = passages.mapInArrow(lambda b: containment._wanted(b, True), "pid int, kind int, gram long")
+    bits, kinds = bitmap(wanted, "gram", "kind")
+    assert kinds == [1, 4] and wanted.count() == 5
+    texts = ["x a b c d e f g y " + " ".join(f"w{i}" for i in range(5000)), " ".join(f"v{i}" for i in range(5000)) + " r r", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(texts)], ["tid", "text"])
+    rows = [r for b in containment._there(iter([batch]), bits, kinds) for r in b.to_pylist()]
+    assert sorted({r["tid"] for r in rows}) == [7, 8] and len(rows) == 5
+
+
+def test_parts_of_words_of_several_scripts(spark):
+    texts = [(1, "ein Straßenname und 漢字仮名 hier"), (2, "nothing"), (3, "xStraßeny"), (4, "")]
+    passages = [(1, "Straßen"), (2, "字仮"), (3, "thing"), (4, "absent"), (5, "Straßenname und"), (6, "n"), (7, " ")]
+    found = containment.contained(spark.createDataFrame(passages, "pid long, passage string"), spark.createDataFrame(texts, "tid long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((p, t) for p, passage in passages for t, text in texts if passage.strip() and passage in text)
