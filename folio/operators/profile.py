@@ -114,7 +114,9 @@ def item_formats(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     heads, signs = (F.slice(F.regexp_extract_all(text, pattern, F.lit(i)), 1, FIRST_HEADINGS) for i in (1, 2))
     case = lambda h: F.when(h == F.upper(h), CASES[0]).when(F.substring(h, 1, 1).rlike(r"\p{Lu}"), CASES[1]).otherwise(CASES[2])
-    forms = F.transform(heads, lambda h, i: F.concat(case(h), F.lit(" + '"), F.get(signs, i), F.lit("'")))
+    # Both in one array: inside the transform the text would be searched again for every heading.
+    pairs = F.arrays_zip(heads.alias("head"), signs.alias("sign"))
+    forms = F.transform(pairs, lambda x: F.concat(case(x["head"]), F.lit(" + '"), x["sign"], F.lit("'")))
     each = docs.select("doc_id", F.posexplode(forms).alias("at", "form"))
     counted = each.groupBy("doc_id", "form").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))

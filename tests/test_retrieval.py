@@ -206,3 +206,12 @@ def test_name_pattern_is_made_once_a_row(spark):
     rows = spark.createDataFrame([("What did The Acme Widgets Inc's unit earn in fiscal 2019?", "ACM", "The Acme Widgets Inc.")], "q string, t string, c string")
     found = rows.select(retrieval.keyword_query(F.col("q"), F.col("t"), F.col("c")).alias("k"))
     assert _plan(found).count("split(") == 1
+
+
+def test_headings_are_searched_once_a_document(spark):
+    from folio.operators import profile
+
+    docs = spark.createDataFrame([(1, "Item 1. ITEM 2: item 3- Item 4."), (2, None)], "doc_id long, text string")
+    found = profile.item_formats(docs)
+    assert [tuple(r) for r in found.orderBy("place").collect()] == [(1, 1, "Capitalizado + '.'", 2), (1, 2, "MAYUSCULAS + ':'", 1), (1, 3, "minusculas + '-'", 1)]
+    assert "get(regexp_extract_all" not in _plan(found)
