@@ -25,10 +25,12 @@ def first_ranks(results: DataFrame, labels: DataFrame) -> DataFrame:
 
 def records(questions: DataFrame, results: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a question: n_results, n_labels, first_rank (null: missed, or nothing to find)."""
-    counted = results.groupBy("qid").agg(F.count("*").alias("n_results"))
+    # Results are named once, as each naming of a search runs it again.
+    relevant = labels.select("qid", "doc_id").distinct().withColumn("relevant", F.lit(True))
+    counted = results.join(relevant, ["qid", "doc_id"], "left").groupBy("qid").agg(F.count("*").alias("n_results"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_rank"))
     wanted = labels.groupBy("qid").agg(F.count("*").alias("n_labels"))
     return (
-        questions.join(counted, "qid", "left").join(wanted, "qid", "left").join(first_ranks(results, labels), "qid", "left")
+        questions.join(counted, "qid", "left").join(wanted, "qid", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_results", "n_labels")})
     )
 

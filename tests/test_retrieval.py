@@ -215,3 +215,14 @@ def test_headings_are_searched_once_a_document(spark):
     found = profile.item_formats(docs)
     assert [tuple(r) for r in found.orderBy("place").collect()] == [(1, 1, "Capitalizado + '.'", 2), (1, 2, "MAYUSCULAS + ':'", 1), (1, 3, "minusculas + '-'", 1)]
     assert "get(regexp_extract_all" not in _plan(found)
+
+
+def test_records_name_a_search_once(spark):
+    from pyspark.sql import functions as F
+
+    questions = spark.createDataFrame([(1,), (2,), (3,)], "qid int")
+    results = spark.range(4).select(F.lit(1).alias("qid"), F.col("id").alias("doc_id"), (F.col("id") + 1).alias("rank"))
+    labels = spark.createDataFrame([(1, 2), (1, 3), (2, 9)], "qid int, doc_id long")
+    found = evaluation.records(questions, results, labels)
+    assert sorted(tuple(r) for r in found.select("qid", "n_results", "n_labels", "first_rank").collect()) == [(1, 4, 2, 3), (2, 0, 1, None), (3, 0, 0, None)]
+    assert _plan(found).count("Range (0, 4") == 1
