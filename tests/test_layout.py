@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import chunking, layout, sections, wordpiece
+from folio.plans import documents
 
 WORDS = "doc_id string, page int, width double, x0 double, y0 double, x1 double, y1 double, word string, row int"
 
@@ -107,6 +108,23 @@ def test_gutters_against_brute_force(spark):
     assert found == want and 5 < len(want) < 55
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_a_page_moves_once(spark):
+    """Words of a table are dealt by page once, and pages that come whole never."""
+    assert shuffles(layout.page_lines(page_frame(spark, {1: (612.0, on_grid(LEFT, 40))}))) == 1
+    docs = spark.createDataFrame([(1, "a b"), (2, "Title " + "word " * 500), (3, None), (4, " "), (None, "x")], "doc_id long, text string")
+    lines = layout.lines_of_pages(documents.typeset(docs))
+    assert shuffles(lines) == 0
+    found = {(r.doc_id, r.page, r.line_no): r.line for r in lines.collect()}
+    assert found[1, 1, 1] == "a b" and found[2, 1, 1] == "Title" and found[2, 1, 2] == " ".join(["word"] * 4)
+    assert {k[:2] for k in found} == {(1, 1), (2, 1), (2, 2)} and sum(v.count("word") for v in found.values()) == 500
+    odd = spark.createDataFrame([(1, 1, None, None), (1, 2, 612.0, []), (1, None, 612.0, [(0.0, 0.0, 1.0, 1.0, "y")]), (None, 3, None, [(0.0, 0.0, 1.0, 1.0, "x"), (0.0, float("nan"), 1.0, 1.0, "n"), None])], "doc_id long, page int, width double, words array<struct<x0 double, y0 double, x1 double, y1 double, word string>>")
+    assert [tuple(r)[:4] for r in layout.lines_of_pages(odd).collect()] == [(None, 3, 1, "x")]
+
+
 def brute_tokens(word, vocabulary):
     import unicodedata
 
