@@ -1,15 +1,23 @@
-"""Tokens of words under a vocabulary of word pieces, counted once for each distinct word.
+"""Tokens of words under a vocabulary of word pieces.
 
-A text's tokens are those of its words together, so a corpus needs each distinct word counted once, and its occurrences joined
-with that. The vocabulary is a table; what is longest at each place of a word is found by a join with it.
+A text's tokens are those of its words together. A vocabulary is a model of fixed size whatever the corpus, so tasks get it whole
+and count each distinct word once, where the texts are read. One of more than MAX_PIECES pieces stays a table: what is longest at
+each place of a word is then found by a join with it, and the words' counts are joined with their occurrences.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 #: Characters of a word beyond which it is one unknown token, and the mark of a piece inside a word.
 MAX_CHARS, INSIDE = 100, "##"
@@ -22,6 +30,13 @@ ACCENTED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 
 
+#: Pieces of a vocabulary that is sent to tasks, and words whose counts a worker remembers.
+MAX_PIECES, REMEMBERED = 500_000, 500_000
+DROPPED, MARKS = regex.compile(r"[\p{Cc}\p{Cf}\uFFFD]"), regex.compile(r"\p{Mn}+")
+RUNS = regex.compile(regex.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{m[1]:0>8}", RUN), regex.DOTALL)
+PLAIN_OF = str.maketrans(ACCENTED, PLAIN)
+
+
 def basic_tokens(word: Column) -> Column:
     """The runs and signs of a word without white space: in small letters, without accents and control characters."""
     clean = F.regexp_replace(F.lower(word), r"[\p{Cc}\p{Cf}\x{FFFD}]", "")
@@ -74,10 +89,71 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 
 
+class Pieces:
+    """A vocabulary in a task: the tokens of words, by the rules of basic_tokens() and run_tokens()."""
+
+    def __init__(self, tokens: Iterable[str]):
+        tokens = {t for t in tokens if t}
+        self.inside = {t[len(INSIDE) :] for t in tokens if t.startswith(INSIDE) and len(t) > len(INSIDE)}
+        self.heads = {t for t in tokens if not (t.startswith(INSIDE) and len(t) > len(INSIDE))}
+        self.longest = max(map(len, self.inside | self.heads), default=0)
+        self.known: dict[str, int] = {}
+
+    def of_run(self, run: str) -> int:
+        at, n, size, pieces = 0, 0, len(run), self.heads
+        while at < size <= MAX_CHARS:
+            for end in range(min(size, at + self.longest), at, -1):
+                if run[at:end] in pieces:
+                    break
+            else:
+                return 1
+            at, n, pieces = end, n + 1, self.inside
+        return n or 1
+
+    def of_word(self, word: str) -> int:
+        if (n := self.known.get(word)) is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            plain = word.lower()
+            if plain.isascii() and plain.isalnum():  # no signs, marks or accents
+                n = self.of_run(plain)
+            else:
+                n = sum(map(self.of_run, RUNS.findall(MARKS.sub("", DROPPED.sub("", plain).translate(PLAIN_OF)))))
+            self.known[word] = n
+        return n
+
+    def of_texts(self, texts: list[str]) -> list[int]:
+        return [sum(map(self.of_word, t.split())) for t in texts]
+
+
+def shipped(vocabulary: DataFrame) -> Broadcast | None:
+    """The vocabulary(token) for tasks, or None if it has too many pieces."""
+    found = vocabulary.select("token").where("token is not null and token != ''").distinct().limit(MAX_PIECES + 1).collect()
+    return vocabulary.sparkSession.sparkContext.broadcast(Pieces(r.token for r in found)) if len(found) <= MAX_PIECES else None
+
+
 def token_counts(texts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """texts(key, text) -> (key, n_tokens), a row for each key. Word occurrences are joined with the distinct words' counts,
-    which Spark broadcasts where they are few and otherwise deals by word once; sums by key are combined before they move.
-    Null and empty texts have no tokens."""
+    """texts(key, text) -> (key, n_tokens), a row for each key. Null and empty texts have no tokens."""
+    pieces = shipped(vocabulary)
+    if pieces is None:
+        return joined_counts(texts, vocabulary, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.split_pattern(pc.fill_null(batch["text"], ""), " ")
+            coded = words.flatten().dictionary_encode()
+            sizes = np.array([*map(pieces.value.of_word, coded.dictionary.to_pylist()), 0], np.int64)
+            upto = np.append(0, np.cumsum(sizes[coded.indices.to_numpy()]))
+            ends = np.cumsum(pc.list_value_length(words).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(np.diff(upto[np.append(0, ends)]))], [key, "n"])
+
+    texts = texts.select(key, F.regexp_replace("text", r"(?U)\s+", " ").alias("text"))
+    return texts.mapInArrow(run, StructType([texts.schema[key], *StructType().add("n", LongType())])).groupBy(key).agg(F.sum("n").alias("n_tokens"))
+
+
+def joined_counts(texts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """token_counts() of a vocabulary of any size. Word occurrences are joined with the distinct words' counts, which Spark
+    broadcasts where they are few and otherwise deals by word once; sums by key are combined before they move."""
     each = texts.select(key, F.explode_outer(words_of(F.col("text"))).alias("word"))
     counts = word_tokens(each.select("word"), vocabulary)
     return each.join(counts, "word", "left").groupBy(key).agg(F.sum(F.coalesce("n", F.lit(0))).alias("n_tokens"))

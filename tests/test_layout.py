@@ -164,6 +164,20 @@ def test_word_pieces_against_brute_force(spark):
     assert {r.n for r in wordpiece.word_tokens(spark.createDataFrame([("abc",)], "word string"), vocabulary.limit(0)).collect()} == {1}
 
 
+def test_words_do_not_move_to_be_counted(spark, monkeypatch):
+    """Tasks count words under a vocabulary that they get whole; a larger one is joined, with the same counts."""
+    vocabulary = spark.createDataFrame([(t,) for t in [*VOCABULARY, None, "", "a"]], "token string")
+    texts = [(1, "un aff\u2003unaffable\x1cUN"), (2, None), (3, " \n"), (4, "Déjà,x\x85" + "b" * 101 + " 世a (ab)"), (4, "ab"), (5, "")]
+    df = spark.createDataFrame(texts, "k int, text string")
+    found = wordpiece.token_counts(df, vocabulary, "k")
+    assert shuffles(found) == 1  # a number a document
+    counts = {(r.k, r.n_tokens) for r in found.collect()}
+    assert counts == {(1, sum(brute_tokens(w, set(VOCABULARY)) for w in ("un", "aff", "unaffableun"))), (2, 0), (3, 0), (5, 0), (4, sum(brute_tokens(w, set(VOCABULARY)) for w in ("Déjà,x", "b" * 101, "世a", "(ab)", "ab")))}
+    monkeypatch.setattr(wordpiece, "MAX_PIECES", 3)
+    assert wordpiece.shipped(vocabulary) is None
+    assert {(r.k, r.n_tokens) for r in wordpiece.token_counts(df, vocabulary, "k").collect()} == counts
+
+
 def doc_lines(spark, *pages):
     return spark.createDataFrame([("d", p, n, x) for p, page in enumerate(pages, 1) for n, x in enumerate(page)], "doc_id string, page long, line_no long, line string")
 
