@@ -195,6 +195,18 @@ def test_chunks_by_word_pieces(spark):
     assert min(size(r) for r in by_pieces if r.content_type == "text" and r.page == 1) > 100
 
 
+def test_a_document_moves_once_to_be_cut(spark, monkeypatch):
+    """Lines are dealt by document and nothing moves after that; a vocabulary too large for tasks gives the same chunks."""
+    vocabulary = spark.createDataFrame([(p + c,) for c in "abcdefghijklmnopqrstuvwxyz0123456789.|-:()" for p in ("", "##")], "token string")
+    marked = sections.label_lines(doc_lines(spark, [f"Sentence number {i} has some words." for i in range(60)], ["Sales", "Region | 2020 | 2019", *[f"Row {i} | 1 | 2" for i in range(30)]], ["few"]))
+    found = chunking.chunk(marked, vocabulary=vocabulary)
+    assert shuffles(found) == 1
+    ids = {tuple(r) for r in found.collect()}
+    assert len(ids) > 4 and {r[0] for r in ids} == {f"d_p{p}_c{n}" for p in (1, 2) for n in range(1, 1 + sum(r[2] == p for r in ids))}
+    monkeypatch.setattr(wordpiece, "MAX_PIECES", 3)
+    assert {tuple(r) for r in chunking.chunk(marked, vocabulary=vocabulary).collect()} == ids
+
+
 def kinds(spark, *pages):
     return [r.kind for r in chunking.segments(sections.label_lines(doc_lines(spark, *pages))).orderBy("page", "line_no").collect()]
 
