@@ -1,4 +1,4 @@
-"""Words of Arrow batches of texts as numbers, and one bitmap of fixed size that says which hashes are looked for.
+"""Words and bytes of Arrow batches of texts as numbers, and bitmaps of fixed size that say which hashes are looked for.
 
 Tasks count and compare words without a row for each; only what the bitmap lets through becomes rows, and joins decide on them.
 """
@@ -22,6 +22,8 @@ from .text import WORD
 #: Texts looked at together, and the bits of the map (16 MB at every size of input).
 TEXTS, MAP_BITS = 512, 27
 WORDS = regex.compile(WORD)
+#: Bytes of a window, and odd factors: of a window's first half, and of a hash for each of its bits in a map.
+WINDOWS, HALF, PROBES = (1, 2, 4, 8, 64), np.uint64(0xC2B2AE3D27D4EB4F), tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,3 +78,65 @@ def bitmap(rows: DataFrame, column: str, kind: str | None = None) -> tuple[Broad
 def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes in UTF-8 of texts without nulls, where each text begins and the last one ends)."""
+    texts = texts.cast(pa.large_string())
+    _, starts, data = texts.buffers()
+    starts = np.frombuffer(starts, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), starts
+
+
+def window_hashes(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hash) for each size of WINDOWS: of so many bytes from each place on, as if zeros followed. Up to eight bytes the hash is
+    the bytes themselves."""
+    hashes, size = np.zeros(len(data) + WINDOWS[-1], np.uint64), 1
+    hashes[: len(data)] = data
+    while True:
+        if size in WINDOWS:
+            yield size, hashes[: len(data)]
+        if size == WINDOWS[-1]:
+            return
+        if size < 8:
+            hashes = hashes[size:] << np.uint64(8 * size) | hashes[:-size]
+        else:
+            later, hashes = hashes[size:], hashes[:-size] * HALF
+            hashes += later
+            hashes ^= hashes >> np.uint64(29)
+        size *= 2
+
+
+def span_hashes(first: np.ndarray, last: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes by their first and last windows and their lengths."""
+    mixed = (first * HALF + last) * HALF + length.astype(np.uint64)
+    return mixed ^ mixed >> np.uint64(31)
+
+
+def map_bits(hashes: np.ndarray) -> np.ndarray:
+    """The bits of a map that stand for hashes."""
+    return np.concatenate([(hashes * p >> np.uint64(64 - MAP_BITS)).view(np.int64) for p in PROBES])
+
+
+def places_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes all of whose bits the map has."""
+    places = None
+    for p in PROBES:
+        mixed = (hashes if places is None else hashes[places]) * p
+        byte = bits.take((mixed >> np.uint64(67 - MAP_BITS)).view(np.int64))
+        some = np.flatnonzero(byte)
+        bit = (mixed[some] >> np.uint64(64 - MAP_BITS) & np.uint64(7)).astype(np.uint8)
+        some = some[(byte[some] >> bit & 1).astype(bool)]
+        places = some if places is None else places[some]
+    return places
+
+
+def bit_array(rows: DataFrame, column: str) -> np.ndarray:
+    """The bits whose numbers are in a column, in bytes. Spark combines them; the driver gets at most as many bits as the largest
+    number, whatever the number of rows."""
+    bit = F.col(column) + 1
+    found = rows.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bits = np.zeros(4096 * max((r.bucket for r in found), default=0), np.uint8)
+    for r in found:
+        bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits

@@ -11,10 +11,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batches import bitmap, has_bit, run_hashes, slices, word_codes, word_hashes
+from ..functions.batches import MAP_BITS, WINDOWS, bit_array, bitmap, has_bit, map_bits, places_in, run_hashes, slices, span_hashes, text_bytes, window_hashes, word_codes, word_hashes
 
 #: Words of a run, runs of a passage that are looked for, and characters of one inside a word where a passage has no whole word inside.
 RUN_WORDS, RUNS, RUN_CHARS = 4, 4, 8
+#: Bytes of texts that are searched at once, places and lengths that are compared at once, and the maps' sizes in bits and in bytes.
+STRETCH, PAIRS, MAP, MAP_BYTES = 1 << 15, 1 << 18, 1 << MAP_BITS, 1 << (MAP_BITS - 3)
 
 
 def _runs(hashes: np.ndarray, rows: np.ndarray, most: int, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -125,12 +127,91 @@ def contained(passages: DataFrame, texts: DataFrame) -> DataFrame:
     return compared.where(F.col("text").contains(F.col("passage"))).select("pid", "tid").distinct()
 
 
+def _window_of(lengths: np.ndarray) -> np.ndarray:
+    """The longest window that fits each length."""
+    return np.array(WINDOWS)[np.searchsorted(WINDOWS, lengths, "right") - 1]
+
+
+def _span_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bit) of batches (passage): of each passage the bits of its first window, one map further those of its first and last window and
+    its length, and behind both maps its length."""
+    for batch in slices(batches):
+        data, starts = text_bytes(batch["passage"].unique())
+        data, starts = data[starts[0] : starts[-1]], starts - starts[0]
+        lengths, found = np.diff(starts), []
+        for size, hashes in window_hashes(data):
+            own = np.flatnonzero(_window_of(lengths) == size)
+            first, length = hashes[starts[own]], lengths[own]
+            spans = span_hashes(first, hashes[starts[own] + length - size], length)
+            found += [map_bits(first), MAP + map_bits(spans), 2 * MAP + length]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["bit"])
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, bits: np.ndarray, by_size: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, place, length) of the stretches of the texts that the maps let through; by place among those of one length and stretch of
+    data. Of equal ones under eight bytes only the first in a stretch of data."""
+    longest = max(int(x[-1]) for x in by_size.values())
+    step = max(STRETCH, 4 * longest)
+    for a in range(int(starts[0]), int(starts[-1]), step):
+        for size, hashes in window_hashes(data[a : min(a + step + longest, int(starts[-1]))]):
+            if size not in by_size:
+                continue
+            heads, lengths = places_in(bits[:MAP_BYTES], hashes[:step]), by_size[size]
+            row = np.searchsorted(starts, heads + a, "right") - 1
+            room = starts[row + 1] - heads - a
+            block = max(1, PAIRS // len(lengths))
+            for b in range(0, len(heads), block):
+                i, j = np.nonzero(room[b : b + block, None] >= lengths)
+                at, length = heads[b + i], lengths[j]
+                first, last = hashes[at], hashes[at + length - size]
+                kept = places_in(bits[MAP_BYTES : 2 * MAP_BYTES], span_hashes(first, last, length))
+                if size < 8:
+                    whole = first[kept] | last[kept] << (8 * (length[kept] - size)).astype(np.uint64) | length[kept].astype(np.uint64) << np.uint64(56)
+                    kept = kept[np.sort(np.unique(whole, return_index=True)[1])]
+                yield row[b + i[kept]], at[kept] + a, length[kept]
+
+
+def _first_with(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(passage, place, tid) of batches (place, tid, text): of each stretch of the batch's texts that the maps let through, as bytes,
+    the first text by (place, tid) that has it."""
+    lengths = np.flatnonzero(np.unpackbits(bits.value[2 * MAP_BYTES :], bitorder="little"))
+    by_size = {size: lengths[_window_of(lengths) == size] for size in np.unique(_window_of(lengths)).tolist()}
+    for batch in batches if by_size else ():
+        order = pc.sort_indices(batch.select(["place", "tid"]), sort_keys=[("place", "ascending"), ("tid", "ascending")], null_placement="at_start")
+        batch = batch.take(order)
+        if not batch.num_rows:
+            continue
+        data, starts = text_bytes(batch["text"])
+        view, found = memoryview(data), {}
+        for rows, places, sizes in _spans(data, starts, bits.value, by_size):
+            for row, place, size in zip(rows.tolist(), places.tolist(), sizes.tolist()):
+                passage = bytes(view[place : place + size])
+                if row < found.get(passage, len(starts)):
+                    found[passage] = row
+        rows = pa.array(list(found.values()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), batch["place"].take(rows), batch["tid"].take(rows)], ["passage", "place", "tid"])
+
+
+def first_places(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """passages(passage), texts(tid, place, text) -> (passage, at), at(place, tid): of each passage, in bytes, that some text has
+    verbatim the first text by place and then tid. Rows that no passage equals can be among them, so join by the passage.
+
+    Two maps of bits go to the tasks: of the first bytes of each passage, and of its first and last bytes and its length. What they let
+    through in a text is a row with its own bytes, once in a batch of texts: the join by equal bytes decides, and no text moves.
+    Empty and null passages are nowhere."""
+    wanted = passages.where("passage != ''").select("passage").mapInArrow(_span_bits, "bit long")
+    bits = passages.sparkSession.sparkContext.broadcast(bit_array(wanted, "bit"))
+    texts = texts.where("text is not null and tid is not null").select("place", "tid", "text")
+    kinds = dict(texts.dtypes)
+    found = texts.mapInArrow(lambda b: _first_with(b, bits), f"passage binary, place {kinds['place']}, tid {kinds['tid']}")
+    return found.groupBy("passage").agg(F.min(F.struct("place", "tid")).alias("at"))
+
+
 def source_chunks(contexts: DataFrame, chunks: DataFrame) -> DataFrame:
     """contexts(qid, position, context), chunks(chunk_id, place, text) -> (qid, position, chunk_id), a row for each question that
     has a source: the first chunk by place that has the first context by position (white space at its ends aside) as its text
     or in it."""
-    rows = contexts.select("qid", "position", F.btrim("context", F.lit(" \t\n\x0b\x0c\r")).alias("passage"))
-    passages = rows.select(F.xxhash64("passage").alias("pid"), "passage").where("passage != ''").distinct()
-    first = chunks.select("chunk_id", "place", F.col("chunk_id").alias("tid"), "text")
-    found = contained(passages, first).join(first.select("tid", "place"), "tid").groupBy("pid").agg(F.min_by("tid", F.struct("place", "tid")).alias("chunk_id"), F.min(F.struct("place", "tid")).alias("at"))
-    return rows.withColumn("pid", F.xxhash64("passage")).join(found, "pid").groupBy("qid").agg(F.min("position").alias("position"), F.min_by("chunk_id", F.struct("position", "at")).alias("chunk_id"))
+    rows = contexts.select("qid", "position", F.btrim("context", F.lit(" \t\n\x0b\x0c\r")).alias("passage")).where("passage != ''")
+    found = first_places(rows, chunks.select(F.col("chunk_id").alias("tid"), "place", "text"))
+    sources = rows.withColumn("passage", F.col("passage").cast("binary")).join(found, "passage")
+    return sources.groupBy("qid").agg(F.min("position").alias("position"), F.min_by("at.tid", F.struct("position", "at")).alias("chunk_id"))

@@ -125,6 +125,57 @@ def test_source_chunks(spark):
     assert sorted(tuple(r) for r in containment.source_chunks(contexts, chunks).collect()) == [(1, 0, "c1"), (2, 1, "c3"), (4, 0, "c3")]
 
 
+@pytest.mark.parametrize("batch_rows", [7, 10000])
+def test_source_chunks_against_brute_force(spark, batch_rows):
+    """Parts of texts of every length, in several scripts and across the ends of neighbouring texts; a text longer than a stretch that
+    is searched at once; chunks of one text, of equal places and of none."""
+    rng = random.Random(5)
+    words = ["aa", "ab", "ü", "漢字", "x.y", "\u00a0z", "Straße", "- -", "😀"]
+    prose = lambda n: rng.choice([" ", "  ", "\n"]).join(rng.choice(words) for _ in range(n))
+    texts = ["", " ", "a", "aa", "solo", prose(9000) + " the end"] + [prose(rng.randrange(120)) for _ in range(60)]
+    texts += [texts[7], texts[8]]
+    chunks = [(f"c{i:03}", rng.choice([None, *range(20)]), t) for i, t in enumerate(texts)] + [("null", 0, None), (None, -1, prose(50))]
+    joined, contexts = "".join(texts), []
+    for q in range(400):
+        source = joined if q % 10 == 0 else rng.choice(texts)
+        a = rng.randrange(len(source) + 1)
+        contexts += [(q // 2, q % 2, source[a : a + rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 15, 20, 63, 64, 65, 130, 500])])]
+    contexts += [(900, 0, texts[5]), (901, 0, texts[5][:-4]), (902, 0, None), (902, 1, " \n"), (903, 0, "the end"), (904, 0, texts[5] + "x"), (904, 1, "a"), (905, 0, "absent")]
+    want = {}
+    for q, position, context in sorted(contexts, key=lambda c: c[:2]):
+        part = (context or "").strip(" \t\n\x0b\x0c\r")
+        found = [(place is not None, place or 0, c) for c, place, t in chunks if c and t and part and part in t]
+        if found and q not in want:
+            want[q] = (q, position, min(found)[2])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        rows = containment.source_chunks(spark.createDataFrame(contexts, "qid int, position int, context string"), spark.createDataFrame(chunks, "chunk_id string, place int, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in rows) == sorted(want.values())
+    none = spark.createDataFrame([], "qid int, position int, context string")
+    assert containment.source_chunks(none, spark.createDataFrame(chunks, "chunk_id string, place int, text string")).count() == 0
+
+
+def test_short_contexts_in_many_chunks_make_no_pairs(spark):
+    """Each of 150 short contexts is in each of 1,500 chunks; what is shuffled grows with their sum."""
+    parts = [f"{a}{b}" for a in "abcdefghijklmno" for b in "pqrstuvwxy"]
+    chunks = spark.range(1500).selectExpr("id AS chunk_id", "id AS place", f"concat('{' '.join(parts)} ', id) AS text").repartition(8)
+    contexts = spark.createDataFrame([(i, 0, x) for i, x in enumerate(parts)], "qid int, position int, context string")
+    sc = spark.sparkContext
+    sc.setJobGroup("short contexts", "short contexts")
+    try:
+        assert {(r.position, r.chunk_id) for r in containment.source_chunks(contexts, chunks).collect()} == {(0, 0)}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {i for j in sc.statusTracker().getJobIdsForGroup("short contexts") for i in sc.statusTracker().getJobInfo(j).stageIds}
+    store, written = sc._jsc.sc().statusStore(), 0
+    for i in stages:
+        written += store.lastStageAttempt(i).shuffleWriteRecords()
+    assert 0 < written < 10 * (1500 + len(parts))
+
+
 def test_only_runs_that_are_looked_for_become_rows(spark):
     import pyarrow as pa
 
